@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, token_count, warc
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe,)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+ d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS original FROM p)
+SELECT page_id, payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + ((CAST('0x' || substr(s, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+ CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> original THEN original END AS refers_to
+FROM d
+"""
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op8_token_counts, op9_warc)}
+
+ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count, warc
+from . import bpe, license_scan, token_count, warc
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -35,6 +39,6 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op8_token_counts, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_license_scan, op8_token_counts, op9_warc)}
 
 ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}

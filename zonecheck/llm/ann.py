@@ -122,8 +122,8 @@ def walk(index: Index, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
 
-def _postings(vectors: DataFrame, index: Index, most: int, ratio: float, met: int) -> DataFrame:
-    """(vec_id, v, list): the lists of each vector, by the walk and the distance ratio; vectors of another width have none."""
+def _postings(vectors: DataFrame, index: Index, least: int, most: int, ratio: float, met: int) -> DataFrame:
+    """(vec_id, v, list): the lists of each vector, the nearest ``least`` and by the distance ratio up to ``most``; vectors of another width have none."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
     width = index.centroids.shape[1] - 1
 
@@ -134,7 +134,8 @@ def _postings(vectors: DataFrame, index: Index, most: int, ratio: float, met: in
             for part in np.array_split(keep, max(1, len(keep) // 512)) if keep and width else []:
                 x = np.array([vs[i] for i in part])
                 c, d = walk(shared.value, _lift(x, shared.value.top), max(met, most))
-                use = (c >= 0) & (d <= d[:, :1] * ratio + 1e-12) & (np.arange(c.shape[1]) < most)
+                place = np.arange(c.shape[1])
+                use = (c >= 0) & ((d <= d[:, :1] * ratio) | (place < least)) & (place < most)
                 row, col = np.nonzero(use)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[part[r]] for r in row], pa.int64()), pa.array([vs[part[r]] for r in row], pa.list_(pa.float64())), pa.array(c[row, col], pa.int32())], names=["vec_id", "v", "list"]
@@ -147,12 +148,12 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = 20, co
     """(query_id, rank, vec_id, score): the ``k`` nearest of each query's lists, other rows than its own.
 
     ``vectors`` and ``queries`` have (vec_id, v). A vector is posted to at most ``copies`` lists within ``near`` times
-    its nearest distance; a query probes at most ``probes`` lists within ``reach`` times its nearest. Scores are inner
+    its nearest distance; a query probes its nearest 32 lists and up to ``probes`` within ``reach`` times its nearest distance. Scores are inner
     products in double precision; ties go to the smaller vec_id. Rows that share a vec_id are one candidate, by their
     best score; an empty table gives an empty result.
     """
-    posted = _postings(vectors, index, copies, near, 24)
-    asked = _postings(queries, index, probes, reach, probes)
+    posted = _postings(vectors, index, 1, copies, near, 24)
+    asked = _postings(queries, index, 32, probes, reach, probes)
     # blocks of each list, from its size: one row per list
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     rounds = asked.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("rounds"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, language_id, license_scan, token_count, warc
+from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, token_count, warc
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "deleted", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), containment=0.8, width=5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -47,6 +56,6 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op8_token_counts, op9_warc, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op5_line_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann)}
 
 ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}

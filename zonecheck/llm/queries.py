@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, token_count, warc
+from . import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, token_count, warc
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), threshold=0.8, width=5).select("doc_id", "class_id", "n_links")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", "deleted", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -56,6 +60,6 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op5_line_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann)}
 
 ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}

@@ -243,18 +243,23 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return map_batches(source, rows, schema)
 
 
-def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document.
+def encoded(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every document.
 
     The digests, in lowercase hex, are of the decimal ids joined by commas and of the bytes that the ids decode to.
     """
     coded = encode(documents.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    names = ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         voc = vocabulary(path)
         ids = [np.asarray(x.values) for x in batch.column(1)]
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         columns = [pa.array(map(len, ids), pa.int64()), pa.array([sha(voc.listed(x)) for x in ids], pa.string()), pa.array([sha(voc.decode(x)) for x in ids], pa.string())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+
+    return map_batches(coded, rows, coded.select("doc_id", "ids", F.lit(0).cast("long").alias(names[2]), F.lit("").alias(names[3]), F.lit("").alias(names[4])).schema)
 
-    return map_batches(coded, rows, coded.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema)
+
+def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    return encoded(documents, path, pattern).drop("ids")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, token_count, warc
+from . import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, suffix_dedup, token_count, warc
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "deleted", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.cut(table(spark, sf_dir, "documents"), length=400)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), containment=0.8, width=5)
 
@@ -60,6 +65,6 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann)}
 
 ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}

@@ -224,7 +224,7 @@ def predict_documents(documents: DataFrame) -> DataFrame:
 def keep_identified(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents, with their own columns, that have a leading language with at least the proportion ``least``."""
     if not model.langs:  # nothing to judge by: texts with letters stay
-        return documents.filter(F.col("text").rlike(r"\\p{L}"))
+        return documents.filter(F.col("text").rlike(r"\p{L}"))
     columns = documents.columns
     marked = documents.withColumn("__row", F.struct(*columns)).select("__row", "text")
     return identify(marked, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")

@@ -5,10 +5,9 @@ and groups of one are dropped pass by pass; the groups left after the last digit
 
 The first digit is the window's anchor: of its 64-byte strings the one with the smallest hash, the first of equals.
 Equal windows have equal anchors at equal offsets, and successive windows mostly share theirs, so runs of windows move
-as one row, about one for every 170 bytes. The second digit is the anchor with half a window on its left or right, one
-of which a repeated window covers; the third is all that a run's windows cover, which settles runs that are repeated
-whole; the last, for windows of the runs left, is the window itself, a 128-bit hash. Runs settled as a whole go into
-the last pass once for each kind.
+as one row, about one for every 170 bytes. The second digit is all that a run's windows cover, which settles runs that
+are repeated as a whole; the last, for the runs left and one of each settled kind, is the window itself, by a 128-bit
+hash: within a task for groups of few runs, by a shuffle for large ones.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import CHUNK_BYTES, map_batches, mix, ragged, stored, text_chunks
 
 ANCHOR = 64
+#: Runs of a group that are compared in one task; the windows of larger groups are shuffled.
+GROUP = 256
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _VALUES = [mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(m)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _POWERS: dict[int, np.ndarray] = {}
@@ -51,13 +52,12 @@ class _Hashes:
 
 
 def _passes(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each run of windows that share an anchor: text, first start, last start, and the digits: the anchor string,
-    the string that begins ``(length - ANCHOR) / 2`` bytes before it, the one that ends as far behind it, and all bytes of its windows."""
+    """For each run of windows that share an anchor: text, first start, last start, and the digits: the anchor string and all bytes of its windows."""
     raw = b"".join(texts)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     if len(raw) < length or not (sizes >= length).any():
-        return [np.zeros(0, np.int64)] * 7
+        return [np.zeros(0, np.int64)] * 5
     hashes = _Hashes(np.frombuffer(raw, np.uint8), 0)
     places = np.arange(len(raw) - ANCHOR + 1)
     grams = hashes.at(places, places + ANCHOR)
@@ -75,18 +75,15 @@ def _passes(texts: list[bytes], length: int) -> list[np.ndarray]:
     last = np.append(cut[1:], n) - 1
     cut, last = cut[fits[cut]], last[fits[cut]]
     of, at = doc[cut], anchor[cut]
-    begin, half = (ends - sizes)[of], (length - ANCHOR) // 2
-    # too near an end of the text, the digit is of what is there and so differs
-    left = hashes.at(np.maximum(at - half, begin), at + ANCHOR)
-    right = hashes.at(at, np.minimum(at + ANCHOR + half, ends[of]))
+    begin = (ends - sizes)[of]
     whole = hashes.at(cut, last + length)
     offsets = ((at - cut) << 20 | (last - cut)).astype(np.uint64)
-    digits = [grams[at], left, right, mix(whole ^ mix(offsets))]
+    digits = [grams[at], mix(whole ^ mix(offsets))]
     return [of, cut - begin, last - begin, *(d.view(np.int64) for d in digits)]
 
 
 def _runs(texts: DataFrame, length: int) -> DataFrame:
-    """(id, t, first, last, g, l, r, w) for (id, t, text): the runs of each text with their digits."""
+    """(id, t, first, last, g, w) for (id, t, text): the runs of each text with their digits."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
@@ -98,27 +95,91 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
         doc, first, last, *digits = (np.concatenate(x) for x in zip(*parts, strict=True))
         take = pa.array(doc)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32()), *map(pa.array, digits)], names=["id", "t", "first", "last", "g", "l", "r", "w"]
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32()), *map(pa.array, digits)], names=["id", "t", "first", "last", "g", "w"]
         )
 
-    return map_batches(texts, rows, "id long, t long, first int, last int, g long, l long, r long, w long")
+    return map_batches(texts, rows, "id long, t long, first int, last int, g long, w long")
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """(id, t, start, n, h1, h2) for (id, t, text, runs): every window of the runs; n: 2 where it is known to be repeated."""
+def _pieces(texts: DataFrame, length: int) -> DataFrame:
+    """(g, id, t, first, last, n, large, piece) for (id, t, text, runs): the bytes that each run's windows cover."""
 
     def rows(batches):
         for batch in batches:
+            out = []
             for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(2)[i].as_py().encode(), np.uint8)
-                runs = batch.column(3)[i].values
-                first, last, n = (np.asarray(runs.field(j)).astype(np.int64) for j in range(3))
-                starts = ragged(first, last - first + 1)
-                h = [pa.array(_Hashes(raw, w).at(starts, starts + length).view(np.int64)) for w in range(2)]
-                same = [pa.repeat(batch.column(j)[i], len(starts)) for j in range(2)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(starts, pa.int32()), pa.array(np.repeat(n, last - first + 1), pa.int32()), *h], names=["id", "t", "start", "n", "h1", "h2"])
+                raw = batch.column(2)[i].as_py().encode()
+                who = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                out += [(r["g"], *who, r["first"], r["last"], r["n"], r["large"], raw[r["first"] : r["last"] + length]) for r in batch.column(3)[i].as_py()]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["g", "id", "t", "first", "last", "n", "large", "piece"])
+
+    return texts.mapInArrow(rows, "g long, id long, t long, first int, last int, n int, large boolean, piece binary")
+
+
+def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start in its text, two hashes) of every window of a batch of pieces."""
+    first, last = (batch.column(j).to_numpy().astype(np.int64) for j in (3, 4))
+    raw = [x.as_py() for x in batch.column(7)]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    count = last - first + 1
+    starts = ragged(np.cumsum(sizes) - sizes, count)
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    row = np.repeat(np.arange(len(raw)), count)
+    h1, h2 = (_Hashes(buf, w).at(starts, starts + length).view(np.int64) for w in range(2))
+    return row, starts - (np.cumsum(sizes) - sizes)[row] + first[row], h1, h2
+
+
+def _compared(pieces: DataFrame, length: int) -> DataFrame:
+    """(id, t, start): repeated windows of pieces whose rows lie together by ``g``, one whole group of ``g`` after another."""
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, h1, h2 = _windows(batch, length)
+        n = batch.column(5).to_numpy()[row]
+        order = np.lexsort((h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        group = np.cumsum(new) - 1
+        total = np.bincount(group, n[order])
+        found = order[(total[group] > 1) & (n[order] == 1)]
+        take = pa.array(row[found])
+        return pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(start[found], pa.int32())], names=["id", "t", "start"])
 
-    return texts.mapInArrow(rows, "id long, t long, start int, n int, h1 long, h2 long")
+    def rows(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                g = part.column(0).to_numpy()
+                cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
+                before = held[-1].column(0)[-1].as_py() if held else None
+                if cut or (before is not None and before != g[0]):
+                    held.append(part.slice(0, cut)) if cut else None
+                    yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held = []
+                held.append(part.slice(cut))
+        if held:
+            yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return pieces.mapInArrow(rows, "id long, t long, start int")
+
+
+def _hashed(pieces: DataFrame, length: int) -> DataFrame:
+    """(id, t, start, n, h1, h2): every window of the pieces."""
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                row, start, h1, h2 = _windows(part, length)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), pa.array(start, pa.int32()), part.column(5).take(take), pa.array(h1), pa.array(h2)], names=["id", "t", "start", "n", "h1", "h2"])
+
+    return pieces.mapInArrow(rows, "id long, t long, start int, n int, h1 long, h2 long")
+
+
+def _named(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _often(frame: DataFrame, *by: str) -> DataFrame:
@@ -131,28 +192,24 @@ def repeats(documents: DataFrame, length: int = 400) -> DataFrame:
 
     A document is named by its doc_id and t, the hash of its text.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text").filter(F.octet_length("text") >= length)
+    texts = _named(documents)
     all_runs = stored(_runs(texts, length))
     # digit 1: the anchor string
     alive = stored(all_runs.join(_often(all_runs, "g"), "g"))
-    # digit 2: half a window's bytes on either side; a repeated window reaches that far on one of them
-    sides = alive.select("*", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("d")), F.struct(F.lit(1).alias("side"), F.col("r").alias("d")))).alias("x")).select("*", "x.side", "x.d")
-    alive = sides.join(_often(sides, "g", "side", "d"), ["g", "side", "d"]).select(*all_runs.columns).groupBy("id", "t", "first", "last", "g", "w").agg(F.count("*").alias("rows"))
-    alive = stored(alive)
-    # digit 3: all bytes of the run's windows; runs that share it are repeated as a whole
-    whole = alive.groupBy("g", "w").agg(F.sum(F.greatest(F.lit(1), F.col("rows") / 2)).alias("n"), F.min(F.struct(F.col("id").isNotNull(), "id", "t", "first", "last")).alias("one")).withColumn("sure", F.col("n") > 1)
-    whole = stored(whole)
+    # digit 2: all bytes of the run's windows; runs that share it are repeated as a whole
+    whole = alive.groupBy("g", "w").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNotNull(), "id", "t", "first", "last")).alias("one"))
+    whole = stored(whole.withColumn("sure", F.col("n") > 1).select("g", "w", "sure", "one.id", "one.t", "one.first", "one.last"))
     sure = alive.join(whole.filter("sure").select("g", "w"), ["g", "w"], "left_semi").select("id", "t", "first", "last")
-    # digit 4: every window of the others, against each other and one run of each sure kind
-    open_ = whole.filter("not sure").select("g").distinct()
-    known = whole.filter("sure").join(open_, "g", "left_semi").select("one.id", "one.t", "one.first", "one.last", F.lit(2).alias("n"))
-    unsure = whole.filter("not sure").select("one.id", "one.t", "one.first", "one.last", F.lit(1).alias("n"))
-    wanted = known.unionByName(unsure).groupBy("id", "t").agg(F.collect_list(F.struct("first", "last", "n")).alias("runs"))
+    # digit 3: every window of the others, against each other and one run of each sure kind
+    left = whole.groupBy("g").agg(F.count("*").alias("runs"), F.bool_and("sure").alias("settled")).filter("not settled").select("g", (F.col("runs") > GROUP).alias("large"))
+    wanted = whole.join(left, "g").groupBy("id", "t").agg(F.collect_list(F.struct("g", "first", "last", F.when(F.col("sure"), 2).otherwise(1).alias("n"), "large")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"id": "wid", "t": "wt"})
-    held = texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("t") == F.col("wt"))).select("id", "t", "text", "runs")
-    windows = _windows(held, length)
+    pieces = _pieces(texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("t") == F.col("wt"))).select("id", "t", "text", "runs"), length)
+    # groups of a bounded number of runs are compared where they lie, the windows of larger ones dealt out by their hashes
+    small = _compared(pieces.filter("not large").repartition("g").sortWithinPartitions("g"), length)
+    windows = _hashed(pieces.filter("large"), length)
     many = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
-    single = windows.filter("n = 1").join(many, ["h1", "h2"]).select("id", "t", "start")
+    single = small.unionByName(windows.filter("n = 1").join(many, ["h1", "h2"]).select("id", "t", "start"))
     found = sure.groupBy("id", "t").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumn("starts", F.array().cast("array<int>"))
     found = found.unionByName(single.groupBy("id", "t").agg(F.array().cast("array<struct<first: int, last: int>>").alias("runs"), F.collect_list("start").alias("starts")))
     return found.groupBy("id", "t").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("starts")).alias("starts"))
@@ -166,8 +223,7 @@ def cut(documents: DataFrame, length: int = 400) -> DataFrame:
     documents that repeat each other.
     """
     found = repeats(documents, length).withColumnsRenamed({"id": "__id", "t": "__t"})
-    frame = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = frame.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t")), "left").select("doc_id", "text", "runs", "starts")
+    joined = _named(documents).join(found, F.col("id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t")), "left").select("id", "text", "runs", "starts")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

@@ -127,7 +127,7 @@ def run_metadata(verdicts: DataFrame, districts: DataFrame, findings: DataFrame)
 def condition_breakdown(latest: DataFrame) -> DataFrame:
     """Counts of each value per condition, one column per value."""
     values = ["PASS", "FAIL", "INCOMPLETE", "RISK", "INSUFFICIENT_DATA", "SIGNAL", "NO_SIGNAL", "NOT_EVALUATED"]
-    return latest.groupBy("condition_code").pivot("value", values).agg(F.count("*")).na.fill(0)
+    return latest.groupBy("condition_code").pivot("value", values).agg(F.count("value")).na.fill(0)
 
 
 def traffic_light_counts(compositions: DataFrame) -> DataFrame:

@@ -47,6 +47,34 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, key: str, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 2000) -> DataFrame:
+    """``f`` over batches of about ``rows`` rows that hold the rows of each ``key``, the first column, whole and together."""
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                keys = part.column(0).to_numpy()
+                other = np.flatnonzero(keys != keys[-1])
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut or (held and held[-1].column(0)[-1].as_py() != keys[0]):
+                    if cut:
+                        held.append(part.slice(0, cut))
+                    out = f(whole(held))
+                    held = []
+                    if out is not None:
+                        yield out
+                held.append(part.slice(cut))
+        if held and (out := f(whole(held))) is not None:
+            yield out
+
+    return df.select(key, *[c for c in df.columns if c != key]).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of (first row, UTF-8 texts) of about ``most`` bytes; null counts as empty, a longer text is alone."""
     first, run, size = 0, [], 0

@@ -14,11 +14,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, mix, stored
+from .common import map_batches, map_groups, mix, ragged, stored
 from .shingles import shingle_chunks
 
 WIDTH = 64
@@ -114,51 +113,79 @@ def _blocked(frame: DataFrame, block: int) -> DataFrame:
     own = frame.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("s", "bucket"), F.col("n")).cast("int"))
     return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right")
-    )
-
-
-def _first_shared(lists: list[np.ndarray], x: np.ndarray, y: np.ndarray, bucket: int) -> np.ndarray:
-    """Whether ``bucket`` is the smallest that sets x and y share."""
-    width = max(map(len, lists))
-    table = np.full((len(lists), width), np.iinfo(np.int64).max)
-    for i, row in enumerate(lists):
-        table[i, : len(row)] = np.sort(row)
-    out = np.ones(len(x), bool)
-    for k in range(width):
-        mine = table[x, k]
-        out &= ~((mine < bucket) & (table[y] == mine[:, None]).any(1))
-    return out
-
-
-def _candidates(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Sets of one pair of blocks that may be similar to one on the other side, by their MinHash values."""
-    bucket = int(frame["bucket"].iloc[0])
-    sigs = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, WIDTH)
-    left, right = np.flatnonzero(frame["left"].to_numpy()), np.flatnonzero(frame["right"].to_numpy())
-    lists = frame["all"].to_list()
-    hot = np.zeros(len(frame), bool)
-    one_block = frame["i"].iloc[0] == frame["j"].iloc[0]
-    for at in range(0, len(left), 64):
-        part = left[at : at + 64]
-        same = np.zeros((len(part), len(right)), np.int16)
-        for k in range(WIDTH):
-            same += sigs[part, k][:, None] == sigs[right, k]
-        p, q = np.nonzero(same >= least * WIDTH)
-        x, y = part[p], right[q]
-        keep = x < y if one_block else x != y
-        x, y = x[keep], y[keep]
-        if len(x):
-            mine = _first_shared(lists, x, y, bucket)
-            hot[x[mine]] = hot[y[mine]] = True
-    return frame.loc[hot, ["s", "bucket", "size", "all"]]
-
-
-def _links(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(s, links, to): for each set of a pair of blocks the documents it is linked to here, and the smallest set of its linked group here."""
-    bucket = int(frame["bucket"].iloc[0])
-    left, right = np.flatnonzero(frame["left"].to_numpy()), np.flatnonzero(frame["right"].to_numpy())
-    one_block = frame["i"].iloc[0] == frame["j"].iloc[0]
-    sets = [np.asarray(x) for x in frame["shingles"]]
+    ).withColumn("pair", F.xxhash64("bucket", "i", "j"))
+
+
+class _Blocks:
+    """The rows of a batch by group: each group is a pair of blocks of one bucket."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        key = self.columns["pair"].to_numpy()
+        self.starts = np.flatnonzero(np.diff(key, prepend=~key[0]))
+        self.sizes = np.diff(np.append(self.starts, len(key)))
+        self.bucket = self.columns["bucket"].to_numpy()
+        self.left, self.right = (self.columns[c].to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        lists = self.columns["all"]
+        ends = lists.offsets.to_numpy()
+        size = np.diff(ends)
+        self.shared = np.full((len(key), int(size.max())), np.iinfo(np.int64).max)
+        self.shared[np.arange(self.shared.shape[1]) < size[:, None]] = lists.values.to_numpy()[ends[0] : ends[-1]]
+
+    def first(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether its bucket is the smallest that sets x and y share."""
+        out = self.bucket[x] == self.bucket[y]
+        for k in range(self.shared.shape[1]):
+            mine = self.shared[x, k]
+            out &= ~((mine < self.bucket[x]) & (self.shared[y] == mine[:, None]).any(1))
+        return out
+
+    def groups(self):
+        """(first row, end, left rows, right rows, whether left and right are one block) of each group."""
+        for a, n in zip(self.starts, self.sizes, strict=True):
+            left, right = a + np.flatnonzero(self.left[a : a + n]), a + np.flatnonzero(self.right[a : a + n])
+            yield a, a + n, left, right, len(left) == len(right) == n
+
+
+def _candidates(batch: pa.RecordBatch, least: float) -> pa.RecordBatch:
+    """Sets that may be similar to one on the other side of their pair of blocks, by their MinHash values."""
+    blocks = _Blocks(batch)
+    sigs = np.frombuffer(b"".join(blocks.columns["sig"].to_pylist()), np.uint32).reshape(-1, WIDTH)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    # small groups together: every pair of rows of a group
+    row = np.arange(len(sigs))
+    group = np.repeat(np.arange(len(blocks.sizes)), blocks.sizes)
+    end = (blocks.starts + blocks.sizes)[group]
+    small = blocks.sizes[group] <= 64
+    after = np.where(small, end - row - 1, 0)
+    for part in np.array_split(row, max(1, int(after.sum()) >> 18)):
+        x = np.repeat(part, after[part])
+        y = ragged(part + 1, after[part])
+        keep = (sigs[x] == sigs[y]).sum(1) >= least * WIDTH
+        keep &= (blocks.left[x] & blocks.right[y]) | (blocks.right[x] & blocks.left[y])
+        found.append((x[keep], y[keep]))
+    for a, b, left, right, one in blocks.groups():
+        if b - a <= 64:
+            continue
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            same = np.zeros((len(part), len(right)), np.int16)
+            for k in range(WIDTH):
+                same += sigs[part, k][:, None] == sigs[right, k]
+            p, q = np.nonzero(same >= least * WIDTH)
+            x, y = part[p], right[q]
+            keep = x < y if one else x != y
+            found.append((x[keep], y[keep]))
+    hot = np.zeros(len(sigs), bool)
+    for x, y in found:
+        mine = blocks.first(x, y)
+        hot[x[mine]] = hot[y[mine]] = True
+    take = pa.array(np.flatnonzero(hot))
+    return pa.RecordBatch.from_arrays([blocks.columns[c].take(take) for c in ("s", "bucket", "all")], names=["s", "bucket", "all"])
+
+
+def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in left, place in right) of sets with a Jaccard similarity of at least ``threshold``, exactly."""
     sizes = np.array([len(x) for x in sets])
     doc = np.repeat(np.arange(len(sets)), sizes)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -176,26 +203,38 @@ def _links(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
         common += x[left] @ x[right].T
     p, q = np.nonzero(common >= threshold * (sizes[left][:, None] + sizes[right] - common) - 1e-3)
     shared = common[p, q].astype(np.int64)
-    x, y = left[p], right[q]
-    # exact, as a ratio of whole numbers
-    keep = (shared >= threshold * (sizes[x] + sizes[y] - shared)) & (x < y if one_block else x != y)
-    x, y = x[keep], y[keep]
-    if not len(x):
-        return pd.DataFrame({"s": [], "links": [], "to": []})
-    mine = _first_shared(frame["all"].to_list(), x, y, bucket)
-    x, y = x[mine], y[mine]
-    weight, ids = frame["docs"].to_numpy(), frame["s"].to_numpy()
-    links = np.bincount(x, weight[y], len(sets)) + np.bincount(y, weight[x], len(sets))
-    group = ids.copy()
-    while True:  # the smallest id spreads over the links of this block
-        low = group.copy()
-        np.minimum.at(low, x, group[y])
-        np.minimum.at(low, y, group[x])
-        if (low == group).all():
-            break
-        group = low
-    has = np.unique(np.concatenate([x, y]))
-    return pd.DataFrame({"s": ids[has], "links": links[has].astype(np.int64), "to": group[has]})
+    keep = shared >= threshold * (sizes[left[p]] + sizes[right[q]] - shared)
+    return p[keep], q[keep]
+
+
+def _links(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
+    """(s, links, to): for each set of a pair of blocks the documents it is linked to here, and the smallest set of its linked group here."""
+    blocks = _Blocks(batch)
+    lists = blocks.columns["shingles"]
+    weight, ids = blocks.columns["docs"].to_numpy(), blocks.columns["s"].to_numpy()
+    links, group, has = np.zeros(len(ids), np.int64), ids.copy(), np.zeros(len(ids), bool)
+    for a, b, left, right, one in blocks.groups():
+        p, q = _similar([lists[i].values.to_numpy() for i in range(a, b)], left - a, right - a, threshold)
+        x, y = left[p], right[q]
+        keep = x < y if one else x != y
+        x, y = x[keep], y[keep]
+        mine = blocks.first(x, y)
+        x, y = x[mine], y[mine]
+        if not len(x):
+            continue
+        np.add.at(links, x, weight[y])
+        np.add.at(links, y, weight[x])
+        has[x] = has[y] = True
+        own = group[a:b]
+        while True:  # the smallest id spreads over the links of this group
+            low = own.copy()
+            np.minimum.at(low, x - a, own[y - a])
+            np.minimum.at(low, y - a, own[x - a])
+            if (low == own).all():
+                break
+            own = low
+        group[a:b] = own
+    return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(links[has]), pa.array(group[has])], names=["s", "links", "to"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,7 +273,7 @@ def link(documents: DataFrame, threshold: float = 0.8, width: int = 5, recall: f
     found = buckets(sets, threshold, recall, small, depth)
     lists = found.groupBy("s").agg(F.collect_list("bucket").alias("all"))  # as many as runs and splits
     ready = found.join(lists, "s").join(sets.select("s", "sig"), "s")
-    near = _blocked(ready, BLOCK).groupBy("bucket", "i", "j").applyInPandas(lambda f: _candidates(f, threshold - 0.25), "s long, bucket long, size long, all array<long>")
+    near = map_groups(_blocked(ready, BLOCK).select("pair", "bucket", "s", "sig", "all", "left", "right"), "pair", lambda b: _candidates(b, threshold - 0.25), "s long, bucket long, all array<long>")
     near = stored(near.groupBy("s", "bucket").agg(F.any_value("all").alias("all")))
     near = near.join(near.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
     # texts of the sets that are compared exactly
@@ -242,7 +281,8 @@ def link(documents: DataFrame, threshold: float = 0.8, width: int = 5, recall: f
     hashed = base.withColumn("t", F.xxhash64("text"))
     texts = hashed.join(texts, (F.col("t") == F.col("one_t")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("s", "docs", "text").dropDuplicates(["s"])
     exact = near.join(_sets(texts, width), "s")
-    linked = stored(_blocked(exact, BLOCK).groupBy("bucket", "i", "j").applyInPandas(lambda f: _links(f, threshold), "s long, links long, to long"))
+    pairs = _blocked(exact, BLOCK).select("pair", "bucket", "s", "docs", "shingles", "all", "left", "right")
+    linked = stored(map_groups(pairs, "pair", lambda b: _links(b, threshold), "s long, links long, to long", rows=256))
     degree = linked.groupBy("s").agg(F.sum("links").alias("links"))
     roots = components(linked.select("s", "to"))
     per_set = sets.select("a", "b", "s", "docs").join(degree, "s", "left").join(roots, "s", "left").select("a", "b", "docs", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "s").alias("root"))

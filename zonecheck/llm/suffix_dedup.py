@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CHUNK_BYTES, map_batches, mix, ragged, stored, text_chunks
+from .common import CHUNK_BYTES, map_batches, map_groups, mix, ragged, stored, text_chunks
 
 ANCHOR = 64
 #: Runs of a group that are compared in one task; the windows of larger groups are shuffled.
@@ -131,7 +131,7 @@ def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _compared(pieces: DataFrame, length: int) -> DataFrame:
-    """(id, t, start): repeated windows of pieces whose rows lie together by ``g``, one whole group of ``g`` after another."""
+    """(id, t, start): repeated windows of pieces, compared within each ``g``."""
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, start, h1, h2 = _windows(batch, length)
@@ -145,23 +145,7 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
         take = pa.array(row[found])
         return pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(start[found], pa.int32())], names=["id", "t", "start"])
 
-    def rows(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                g = part.column(0).to_numpy()
-                cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
-                before = held[-1].column(0)[-1].as_py() if held else None
-                if cut or (before is not None and before != g[0]):
-                    held.append(part.slice(0, cut)) if cut else None
-                    yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                    held = []
-                held.append(part.slice(cut))
-        if held:
-            yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-    return pieces.mapInArrow(rows, "id long, t long, start int")
+    return map_groups(pieces, "g", settle, "id long, t long, start int")
 
 
 def _hashed(pieces: DataFrame, length: int) -> DataFrame:
@@ -206,7 +190,7 @@ def repeats(documents: DataFrame, length: int = 400) -> DataFrame:
     wanted = wanted.withColumnsRenamed({"id": "wid", "t": "wt"})
     pieces = _pieces(texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("t") == F.col("wt"))).select("id", "t", "text", "runs"), length)
     # groups of a bounded number of runs are compared where they lie, the windows of larger ones dealt out by their hashes
-    small = _compared(pieces.filter("not large").repartition("g").sortWithinPartitions("g"), length)
+    small = _compared(pieces.filter("not large"), length)
     windows = _hashed(pieces.filter("large"), length)
     many = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
     single = small.unionByName(windows.filter("n = 1").join(many, ["h1", "h2"]).select("id", "t", "start"))

@@ -179,7 +179,7 @@ def walking_status(routes: DataFrame, districts: DataFrame) -> DataFrame:
 
 def sample_origins(addresses: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
     """At most ``n`` addresses per district, in the order of a seeded hash of their id."""
-    order = Window.partitionBy("district_id").orderBy(F.xxhash64(F.lit(seed), "address_id"), "address_id")
+    order = Window.partitionBy("district_id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("address_id").cast("string"))), "address_id")
     return addresses.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n).drop("n")
 
 

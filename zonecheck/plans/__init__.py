@@ -1,0 +1,6 @@
+"""The registered queries and their SQL."""
+
+from . import spatial_queries  # noqa: F401  registers its queries
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -156,7 +156,7 @@ def marked(documents: DataFrame, **options) -> DataFrame:
     whole, lines = deletions(documents, **options)
     found = lines.withColumn("all", F.lit(False)).unionByName(whole.select("doc_id", "t", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("all")))
     found = found.select(F.col("doc_id").alias("__id"), F.col("t").alias("__ft"), "gone", "all").withColumnsRenamed({"gone": "__gone", "all": "__all"})
-    joined = _with_lines(frame).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__ft")), "left")
+    joined = frame.withColumn("__t", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__ft")), "left").withColumn("__lines", F.split("text", "\n", -1))
     left = F.when(F.col("__all"), F.lit("")).when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("filter(__lines, (x, i) -> not array_contains(__gone, i))"), "\n"))
     n = F.coalesce(F.size("__lines"), F.lit(0))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")

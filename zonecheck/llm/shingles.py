@@ -70,7 +70,7 @@ def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     first = np.cumsum(n) - n
     out = np.zeros(len(words), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         out[: len(words) - k] += words[k:] * np.uint64((_BASE * (2 * k + 1) + 0x632BE59BD9B4E019 * k * 2) & _MASK)
     out = mix(out)
     short = np.flatnonzero((n > 0) & (n < width))

@@ -102,7 +102,7 @@ def severity_of(value: Column | str) -> Column:
 
 def split_outside_parens(c: Column | str) -> Column:
     """Pieces between commas that are not inside parentheses, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(_col(c), r",(?![^(]*\))"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_col(c), r",(?![^(]*\))"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def street_entry(c: Column | str) -> Column:
@@ -118,7 +118,7 @@ def street_entry(c: Column | str) -> Column:
 def shared_municipalities(c: Column | str) -> Column:
     """The municipalities in a list, without remarks in parentheses and what follows; empty or a dash gives none."""
     bare = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\(žiaci[^)]*\)|\(ulica:[^)]*\)", "")
-    return F.filter(F.transform(F.split(bare, r"[,;]"), F.trim), lambda x: ~x.isin("", "–", "-"))
+    return F.filter(F.transform(F.split(bare, r"[,;]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: ~x.isin("", "–", "-"))
 
 
 def house_int(c: Column | str) -> Column:
@@ -133,7 +133,7 @@ def only_digits(c: Column | str) -> Column:
 
 def number_list(c: Column | str) -> Column:
     """The numbers of '93 – 101, 105 – 117, 119', in order; pieces that are neither a number nor a range are left out."""
-    pieces = F.transform(F.split(F.regexp_replace(F.coalesce(_col(c), F.lit("")), "[–—−]", "-"), ","), F.trim)
+    pieces = F.transform(F.split(F.regexp_replace(F.coalesce(_col(c), F.lit("")), "[–—−]", "-"), ","), lambda x: F.trim(x))
     fine = F.filter(pieces, lambda x: x.rlike(r"^\d+(\s*-\s*\d+)?$"))
     return F.flatten(F.transform(fine, lambda x: F.transform(F.split(x, r"\s*-\s*"), lambda y: y.cast("int"))))
 

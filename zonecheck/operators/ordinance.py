@@ -6,6 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -58,7 +59,7 @@ def street_ranges(entries: DataFrame) -> DataFrame:
     return entries.withColumn("r", F.explode(ranges)).select(*entries.columns, "r.range_type", "r.numbers")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 

@@ -279,3 +279,41 @@ def test_upsert_keeps_other_columns(spark):
     assert {tuple(r) for r in io.upsert(old, new, ["k"]).collect()} == {(1, "a", "x", None), (2, "c", "y", 1), (3, "d", None, 2), (None, "m", "z", 3)}
     assert {tuple(r) for r in io.upsert(old, spark.createDataFrame([(1,), (9,)], "k int"), ["k"]).collect()} == {(1, "a", "x"), (2, "b", "y"), (None, "n", "z"), (9, None, None)}
     assert io.with_provenance(old, "s", "2024-01-02", 7).first()["provenance"] == '{"source":"s","source_date":"2024-01-02","source_quality":7}'
+
+
+def test_faults_and_thinning():
+    assert spatial.ring_fault([]) == "empty" and spatial.ring_fault([(0, 0), (1, 0), (0, 0)]) == "fewer than 4 points" and spatial.ring_fault([(0, 0), (1, 0), (1, 1), (0, 1)]) == "unclosed"
+    assert spatial.ring_fault([(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)]) == "self-intersection" and spatial.ring_fault(L_SHAPE) is None
+    assert spatial.thinned([(0, 0), (1, 0.01), (2, 0), (2, 2)], 0.1) == [(0, 0), (2, 0), (2, 2)] and spatial.thinned([], 1.0) == []
+
+
+def test_islands(spark):
+    cells = grid(spark, "1122211 1122211 1122233")
+    labelled = tessellate.parts(cells)
+    houses = spark.createDataFrame([(1, 1, 5.5, 0.5), (1, 2, 3.5, 0.5)], "municipality_id long, district_id long, x double, y double")
+    got = {(r["district_id"], r["area_m2"]): (r["status"], r["blockers"]) for r in tessellate.connect_islands(labelled, houses, 1.0).collect()}
+    assert got[1, 6.0] == ("main_body", None) and got[1, 4.0] == ("unresolved_anomaly", [2]) and got[3, 2.0] == ("main_body", None)
+    candidates = tessellate.absorb_evidenceless(cells, houses.filter("district_id = 2"), 1.0, dry_run=True)
+    assert sorted(r["area_m2"] for r in candidates.collect()) == [4.0, 6.0]
+    with pytest.raises(ValueError, match="too large"):
+        tessellate.absorb_evidenceless(cells, houses.filter("district_id = 2"), 1.0, max_km2=1e-9)
+
+
+def test_crs(spark):
+    df = spark.createDataFrame([(1, [(21.2, 49.0)]), (2, [(2359973.2, 6274861.4)]), (3, [(-500000.0, -1200000.0)]), (4, [])], "id int, pts array<struct<x: double, y: double>>")
+    got = {r["id"]: r for r in clean.normalise_crs(df).collect()}
+    assert [got[i]["crs"] for i in (1, 2, 3, 4)] == ["4326", "3857", "5514", "none"]
+    assert abs(got[2]["pts"][0]["x"] - 21.2) < 1e-4 and abs(got[2]["pts"][0]["y"] - 49.0) < 1e-2
+
+
+def test_roads_and_stops(spark):
+    roads = spark.createDataFrame([(1, "I", [[[0.0, 1.0, 9.0], [2.0, 3.0, 9.0]], [[5.0, 5.0]]])], "road_id int, class string, lines array<array<array<double>>>")
+    assert [(r["line_no"], [tuple(p) for p in r["line"]]) for r in clean.road_segments(roads).collect()] == [(0, [(0.0, 1.0), (2.0, 3.0)])]
+    a = spark.createDataFrame([(1,)], "stop int")
+    assert sorted(r["kind"] for r in clean.transit_stops(a, a).collect()) == ["bus", "rail"]
+
+
+def test_containment(spark):
+    s = spark.createDataFrame([("Hlavná",), ("Malá Hlavná",), ("Zzz",)], "street string")
+    n = spark.createDataFrame([("hlavná",), ("Hlavná stará",)], "name string")
+    assert {tuple(r) for r in assign.containment_match(s, n).collect()} == {("Hlavná", "hlavná", "exact"), ("Malá Hlavná", "hlavná", "contained"), ("Zzz", None, "none")}

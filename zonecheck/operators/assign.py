@@ -177,3 +177,34 @@ def first_tier(work: DataFrame, key: str = "adresa") -> DataFrame:
 def budget_cut(work: DataFrame, cap: int, order: list[str]) -> DataFrame:
     """The first ``cap`` rows: a budget, kept by a top-k."""
     return work.orderBy(*order).limit(cap)
+
+
+def containment_match(streets: DataFrame, names: DataFrame) -> DataFrame:
+    """(street, name, how): the equal name in lower case or, where there is none, the first by alphabet that contains the street or is contained in it; no match: null.
+
+    The second kind is sought among names that share a word with the street, as a street contained in a name, or the
+    other way round, by whole words does; only distinct names are joined.
+    """
+    s = streets.select("street").distinct().withColumn("s", F.lower("street"))
+    n = names.select("name").distinct().withColumn("n", F.lower("name"))
+    exact = s.join(n, F.col("s") == F.col("n")).groupBy("street").agg(F.min("name").alias("name")).withColumn("how", F.lit("exact"))
+    rest = s.join(exact, "street", "left_anti")
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda x: x != "")))
+    pairs = rest.withColumn("w", words("s")).join(n.withColumn("w", words("n")), "w").filter(F.contains("s", "n") | F.contains("n", "s"))
+    part = pairs.groupBy("street").agg(F.min("name").alias("name")).withColumn("how", F.lit("contained"))
+    none = rest.join(part, "street", "left_anti").select("street", F.lit(None).cast("string").alias("name"), F.lit("none").alias("how"))
+    return exact.unionByName(part).unionByName(none)
+
+
+def street_worklist(districts: DataFrame, done: DataFrame) -> DataFrame:
+    """(district_id, street) of the districts' street lists, trimmed, without empty and done ones."""
+    listed = districts.select("district_id", F.explode("streets").alias("street")).withColumn("street", F.trim("street")).filter("street <> ''").distinct()
+    return pending(listed, done, ["district_id", "street"])
+
+
+def register_worklist(clean: DataFrame, anchors: DataFrame, borders: DataFrame, cache: DataFrame, cap: int | None = 2000) -> DataFrame:
+    """(adresa, register_id, tier): tier 1 the anchors, tier 2 the other addresses on border streets; the first tier of an address counts, cached addresses are left out, ``cap`` is the budget."""
+    on_border = clean.join(borders.select("municipality_id", F.col("street_norm").alias("ulica_norm")), ["municipality_id", "ulica_norm"], "left_semi").join(anchors.select("register_id"), "register_id", "left_anti")
+    work = anchors.select("adresa", "register_id", F.lit(1).alias("tier")).unionByName(on_border.select("adresa", "register_id", F.lit(2).alias("tier")))
+    left = pending(first_tier(work), cache, ["adresa"])
+    return left if cap is None else budget_cut(left, cap, ["tier", "adresa"])

@@ -163,3 +163,36 @@ def findings_query(findings: DataFrame, severity: str | None = None, status: str
         if value is not None:
             findings = findings.filter(F.col(column) == value)
     return findings
+
+
+def road_segments(roads: DataFrame) -> DataFrame:
+    """(road_id, class, line_no, line): each line of a multi-line road, in two dimensions, with at least two points. ``lines`` is an array of lines of [x, y, ...] arrays."""
+    flat = F.transform("line", lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
+    return roads.select("road_id", "class", F.posexplode("lines").alias("line_no", "line")).withColumn("line", flat).filter(F.size("line") >= 2)
+
+
+def transit_stops(bus: DataFrame, rail: DataFrame) -> DataFrame:
+    """Bus and rail stops with their kind."""
+    return bus.withColumn("kind", F.lit("bus")).unionByName(rail.withColumn("kind", F.lit("rail")), allowMissingColumns=True)
+
+
+def validate_geom_type(df: DataFrame, key: str, column: str = "geometry_type") -> DataFrame:
+    """(key, geometry_type): rows that are no polygons."""
+    return df.filter(~F.coalesce(F.col(column).isin("Polygon", "MultiPolygon"), F.lit(False))).select(key, column)
+
+
+def mercator_to_degrees(x: Column, y: Column) -> Column:
+    """struct(lon, lat) of spherical Mercator metres."""
+    radius = 6378137.0
+    return F.struct(F.degrees(x / radius).alias("lon"), F.degrees(2 * F.atan(F.exp(y / radius)) - F.lit(1.5707963267948966)).alias("lat"))
+
+
+def normalise_crs(df: DataFrame) -> DataFrame:
+    """``df`` (pts: array of struct(x, y)) with crs, sniffed from the first point, and Mercator points turned to degrees; others pass through."""
+    first = F.get("pts", 0)
+    crs = (
+        F.when(first.isNull(), "none").when((F.abs(first["x"]) <= 180) & (F.abs(first["y"]) <= 90), "4326")
+        .when((F.abs(first["x"]) > 1e6) & (F.abs(first["x"]) < 2e7), "3857").when(first["x"].between(-9e5, -4e5), "5514").otherwise("other")
+    )
+    turned = F.transform("pts", lambda p: F.struct(mercator_to_degrees(p["x"], p["y"])["lon"].alias("x"), mercator_to_degrees(p["x"], p["y"])["lat"].alias("y")))
+    return df.withColumn("crs", crs).withColumn("pts", F.when(F.col("crs") == "3857", turned).otherwise(F.col("pts")))

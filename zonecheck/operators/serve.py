@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.io import to_geojson
 
 LEGAL, INDICATORS = ["S1", "S2", "S3"], ["Pa", "Pb", "Pc", "Pd"]
 
@@ -186,3 +187,24 @@ def sample_origins(addresses: DataFrame, n: int = 20, seed: int = 0) -> DataFram
 def with_demo_values(card: DataFrame, mock: DataFrame) -> DataFrame:
     """Scorecard rows with a demo value beside them, where there is one; never an input of a verdict."""
     return card.join(mock.select("district_id", "condition_code", "demo_value"), ["district_id", "condition_code"], "left")
+
+
+def map_features(districts: DataFrame, schools: DataFrame, compositions: DataFrame) -> DataFrame:
+    """Districts with colour (NONE without one), the outline as GeoJSON and the school's point."""
+    s = schools.select("school_id", F.struct("x", "y").alias("school_point"))
+    joined = districts.join(s, "school_id", "left").join(compositions.select("district_id", "composition_color", "composition_reason"), "district_id", "left")
+    return joined.select("district_id", "name", "municipality_id", "school_id", F.coalesce("composition_color", F.lit("NONE")).alias("composition_color"), "composition_reason", to_geojson("rings").alias("geojson"), "school_point")
+
+
+def islands_view(islands: DataFrame) -> DataFrame:
+    """Islands with counts, from their lists where a count is missing."""
+    n = lambda c, a: F.coalesce(F.col(c), F.when(F.col(a).isNotNull(), F.size(a)), F.lit(0)).cast("long").alias(c)
+    kept = [c for c in islands.columns if c not in ("street_count", "house_count")]
+    return islands.select(*kept, n("street_count", "streets"), n("house_count", "house_numbers"))
+
+
+def multipart_findings(parts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(district_id, verdict_id, condition_code, severity, status, tag): one open finding for each district of several parts, on its latest S2 verdict if there is one; the tag makes it replaceable."""
+    several = parts.groupBy("district_id").agg(F.count("*").alias("n")).filter("n > 1").select("district_id")
+    s2 = latest_verdicts(verdicts.filter("condition_code = 'S2'")).select("district_id", "verdict_id")
+    return several.join(s2, "district_id", "left").select("district_id", "verdict_id", F.lit("S2").alias("condition_code"), F.lit("medium").alias("severity"), F.lit("open").alias("status"), F.concat(F.lit("geo:multipart:"), F.col("district_id").cast("string")).alias("tag"))

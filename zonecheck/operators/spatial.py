@@ -248,3 +248,99 @@ def convex_hull(points: np.ndarray) -> list[tuple[float, float]]:
 
     lower, upper = half(ordered), half(reversed(ordered))
     return lower[:-1] + upper[:-1]
+
+
+def area_totals(districts: DataFrame) -> DataFrame:
+    """(municipality_id, districts, area): areas summed, overlaps twice."""
+    return districts.groupBy("municipality_id").agg(F.count("*").alias("districts"), F.sum(G.area_m2(F.col("rings"))).alias("area"))
+
+
+def coverage_gap_area(cells: DataFrame, districts: DataFrame, cell: float) -> DataFrame:
+    """(municipality_id, cells, uncovered, gap_m2, gap_share) on a raster of cell middles (municipality_id, cx, cy, x, y)."""
+    hits = points_in_polygons(cells.withColumnsRenamed({"cx": "gx", "cy": "gy"}), districts, boundary=True).select("municipality_id", F.col("gx").alias("cx"), F.col("gy").alias("cy")).distinct().withColumn("hit", F.lit(True))
+    per = cells.join(hits, ["municipality_id", "cx", "cy"], "left").groupBy("municipality_id").agg(F.count("*").alias("cells"), F.count_if(F.col("hit").isNull()).alias("uncovered"))
+    return per.withColumn("gap_m2", F.col("uncovered") * cell * cell).withColumn("gap_share", F.col("uncovered") / F.col("cells"))
+
+
+def hausdorff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, distance): the largest distance from a corner of one outline to the nearest corner of the other, either way. Both have key and rings."""
+    corners = lambda df, x, y: df.select(key, F.explode(F.flatten(F.transform("rings", lambda r: r["pts"]))).alias("p")).select(key, F.col("p.x").alias(x), F.col("p.y").alias(y)).distinct()
+    met = corners(a, "ax", "ay").join(corners(b, "bx", "by"), key).withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
+    one = met.groupBy(key, "ax", "ay").agg(F.min("d").alias("d")).groupBy(key).agg(F.max("d").alias("one"))
+    two = met.groupBy(key, "bx", "by").agg(F.min("d").alias("d")).groupBy(key).agg(F.max("d").alias("two"))
+    return one.join(two, key).select(key, F.greatest("one", "two").alias("distance"))
+
+
+def ring_fault(points: list[tuple[float, float]]) -> str | None:
+    """Why a ring is not valid: empty, too few points, unclosed or crossing itself."""
+    if not points:
+        return "empty"
+    if len(points) < 4:
+        return "fewer than 4 points"
+    if points[0] != points[-1]:
+        return "unclosed"
+    p = np.array(points)
+    a, b = p[:-1], p[1:]
+    turn = lambda o, q, r: np.sign((q[..., 0] - o[..., 0]) * (r[..., 1] - o[..., 1]) - (q[..., 1] - o[..., 1]) * (r[..., 0] - o[..., 0]))
+    n = len(a)
+    for i in range(n - 1):
+        j = np.arange(i + 2, n if i else n - 1)
+        if len(j) and ((turn(a[i], b[i], a[j]) * turn(a[i], b[i], b[j]) < 0) & (turn(a[j], b[j], a[i]) * turn(a[j], b[j], b[i]) < 0)).any():
+            return "self-intersection"
+    return None
+
+
+def validity(polygons: DataFrame, key: str) -> DataFrame:
+    """(key, valid, reason): the first fault of the rings; no rings: empty."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            faults = [next((x for r in (rings if rings is not None else []) if (x := ring_fault([(p["x"], p["y"]) for p in r["pts"]]))), None) if rings is not None and len(rings) else "empty" for rings in f["rings"]]
+            yield pd.DataFrame({key: f[key], "valid": [x is None for x in faults], "reason": faults})
+
+    return polygons.select(key, "rings").mapInPandas(run, f"{key} {dict(polygons.dtypes)[key]}, valid boolean, reason string")
+
+
+def thinned(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """The line without points that are nearer than ``tolerance`` to the line without them; the ends stay."""
+    keep, stack = {0, len(points) - 1}, [(0, len(points) - 1)]
+    p = np.array(points, float).reshape(-1, 2)
+    while stack:
+        i, j = stack.pop()
+        if j - i < 2:
+            continue
+        span, off = p[j] - p[i], p[i + 1 : j] - p[i]
+        far = np.hypot(*off.T) if not span.any() else np.abs(span[0] * off[:, 1] - span[1] * off[:, 0]) / np.hypot(*span)
+        k = int(far.argmax())
+        if far[k] > tolerance:
+            keep.add(i + 1 + k)
+            stack += [(i, i + 1 + k), (i + 1 + k, j)]
+    return [points[i] for i in sorted(keep)] if points else []
+
+
+def simplify(polygons: DataFrame, tolerance: float) -> DataFrame:
+    """``polygons`` with thinned rings; a ring that would fall below a triangle stays as it is."""
+    schema = polygons.schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for rings in f["rings"]:
+                thin = []
+                for r in rings if rings is not None else []:
+                    line = [(p["x"], p["y"]) for p in r["pts"]]
+                    less = thinned(line, tolerance)
+                    thin.append({"hole": r["hole"], "pts": [{"x": x, "y": y} for x, y in (less if len(less) > 3 else line)]})
+                out.append(thin)
+            yield f.assign(rings=out)
+
+    return polygons.mapInPandas(run, schema)
+
+
+def topology_report(districts: DataFrame, points: DataFrame, schools: DataFrame) -> DataFrame:
+    """(check, failures): invalid outlines, points not in exactly one district, overlapping pairs, districts without a school of theirs inside."""
+    n = lambda name, df: df.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check"), "failures")
+    return (
+        n("T1 validity", validity(districts, "district_id").filter("not valid")).unionByName(n("T2 coverage", coverage_failures(points, districts)))
+        .unionByName(n("T3 overlaps", overlap_pairs(districts))).unionByName(n("T4 school inside", schools_per_district(schools, districts).filter("school_count = 0")))
+    )

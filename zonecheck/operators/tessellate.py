@@ -156,3 +156,74 @@ def keep_non_empty(evidence: DataFrame, areas: DataFrame) -> DataFrame:
     one = Window.partitionBy("district_id")
     ranked = evidence.join(areas, ["municipality_id", "district_id", "part"]).withColumn("most", F.max("houses").over(one)).withColumn("rank", F.row_number().over(one.orderBy(F.col("area_m2").desc(), "part")))
     return ranked.filter((F.col("houses") > 0) | ((F.col("most") == 0) & (F.col("rank") == 1))).drop("most", "rank")
+
+
+def seeds(lines: DataFrame, fallback: DataFrame, houses: DataFrame) -> DataFrame:
+    """(municipality_id, district_id, x, y): points of the densified street lines, the street's own point where a district's street has no line, and houses.
+
+    ``lines`` and ``fallback`` have municipality_id, district_id, street_norm, x, y; ``houses`` the same without street_norm.
+    """
+    columns = ["municipality_id", "district_id", "x", "y"]
+    missing = fallback.join(lines.select("district_id", "street_norm").distinct(), ["district_id", "street_norm"], "left_anti")
+    return lines.select(*columns).unionByName(missing.select(*columns)).unionByName(houses.select(*columns)).distinct()
+
+
+def absorb_evidenceless(owned: DataFrame, houses: DataFrame, cell: float, max_km2: float = 0.10, passes: int = 4, dry_run: bool = False) -> DataFrame:
+    """Cells after parts without houses of their own went to the neighbour with the longest border, in up to ``passes`` rounds.
+
+    Only parts of districts with several parts move. A candidate above ``max_km2`` refuses the run. With ``dry_run``
+    the candidates of the first round are returned.
+    """
+    cells = owned.select("municipality_id", "cx", "cy", "district_id")
+    for _ in range(passes):
+        labelled = parts(cells)
+        areas = part_shares(part_areas(labelled, cell))
+        empty = areas.filter("parts > 1").join(part_evidence(labelled, houses, cell).filter("houses = 0"), ["municipality_id", "district_id", "part"])
+        if dry_run:
+            return empty
+        if not empty.filter(F.col("area_m2") > max_km2 * 1e6).isEmpty():
+            raise ValueError("a part without evidence is too large to be absorbed")
+        if empty.isEmpty():
+            break
+        cells = absorb(labelled, empty).checkpoint() if cells.sparkSession.sparkContext.getCheckpointDir() else absorb(labelled, empty)
+    return cells
+
+
+def island_status(islands: DataFrame) -> DataFrame:
+    """Adds status: the main body is the largest part, others are connected_to_main if they have houses and are not blocked, else unresolved."""
+    rank = F.row_number().over(Window.partitionBy("district_id").orderBy(F.col("area_m2").desc(), "part"))
+    blocked = F.coalesce(F.size("blockers") > 0, F.lit(False))
+    return islands.withColumn("status", F.when(rank == 1, "main_body").when((F.col("houses") > 0) & ~blocked, "connected_to_main").otherwise("unresolved_anomaly"))
+
+
+def island_links(labelled: DataFrame, cell: float) -> DataFrame:
+    """(line_id, municipality_id, district_id, part, ax, ay, bx, by): for each part but the largest of a district the shortest line between a cell of it and one of the largest part; ties by the cells.
+
+    Only cells on a part's rim take part, and a part meets the main body of its own district alone.
+    """
+    areas = part_areas(labelled, cell).withColumn("rank", F.row_number().over(Window.partitionBy("district_id").orderBy(F.col("area_m2").desc(), "part")))
+    rim = labelled.join(neighbour_free(labelled), ["municipality_id", "cx", "cy"], "left_semi").join(areas.select("municipality_id", "district_id", "part", "rank"), ["municipality_id", "district_id", "part"])
+    main = rim.filter("rank = 1").select("municipality_id", "district_id", F.col("cx").alias("mx"), F.col("cy").alias("my"))
+    d = F.pow(F.col("cx") - F.col("mx"), 2) + F.pow(F.col("cy") - F.col("my"), 2)
+    best = rim.filter("rank > 1").join(main, ["municipality_id", "district_id"]).groupBy("municipality_id", "district_id", "part").agg(F.min(F.struct(d.alias("d"), "cx", "cy", "mx", "my")).alias("b"))
+    middle = lambda c: (F.col(f"b.{c}") + 0.5) * cell
+    return best.select(F.concat_ws(":", "municipality_id", "district_id", "part").alias("line_id"), "municipality_id", "district_id", "part", middle("cx").alias("ax"), middle("cy").alias("ay"), middle("mx").alias("bx"), middle("my").alias("by"))
+
+
+def neighbour_free(labelled: DataFrame) -> DataFrame:
+    """Cells with fewer than four neighbours of their own part: its rim."""
+    c = labelled.select("municipality_id", "cx", "cy", "district_id", "part")
+    beside = F.array(*[F.struct(F.lit(x).cast("long").alias("dx"), F.lit(y).cast("long").alias("dy")) for x, y in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    steps = c.withColumn("s", F.explode(beside)).select("municipality_id", "district_id", "part", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
+    inner = steps.join(c, ["municipality_id", "cx", "cy", "district_id", "part"]).groupBy("municipality_id", "cx", "cy").agg(F.count("*").alias("n")).filter("n = 4")
+    return c.join(inner, ["municipality_id", "cx", "cy"], "left_anti").select("municipality_id", "cx", "cy")
+
+
+def connect_islands(labelled: DataFrame, houses: DataFrame, cell: float) -> DataFrame:
+    """(municipality_id, district_id, part, area_m2, houses, blockers, status): each part with the districts whose houses lie within 50 m of its line to the main body."""
+    from .spatial import corridor_blockers
+
+    lines = island_links(labelled, cell)
+    blocked = corridor_blockers(lines, houses).join(lines.select("line_id", "municipality_id", "district_id", "part"), "line_id").drop("line_id")
+    keys = ["municipality_id", "district_id", "part"]
+    return island_status(part_areas(labelled, cell).join(part_evidence(labelled, houses, cell), keys).join(blocked, keys, "left"))

@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import spatial_queries, text_queries  # noqa: F401  register their queries
+from . import more_queries, spatial_queries, text_queries  # noqa: F401  register their queries
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

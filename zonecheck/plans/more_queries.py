@@ -60,7 +60,7 @@ def area_totals(v: Views) -> DataFrame:
 
 
 @query(f"""WITH {OWNED}, h AS (SELECT c.municipality_id, c.cx, c.cy, count(d.district_id) AS n FROM cells c LEFT JOIN f_district d ON d.municipality_id = c.municipality_id AND c.x >= d.x0 AND c.x <= d.x1 AND c.y >= d.y0 AND c.y <= d.y1 GROUP BY 1, 2, 3)
- SELECT municipality_id, count(*) AS cells, count(*) FILTER (n = 0) AS uncovered, count(*) FILTER (n = 0) * {CELL * CELL} AS gap_m2, count(*) FILTER (n = 0) / count(*) AS gap_share FROM h GROUP BY 1""")
+ SELECT municipality_id, count(*) AS cells, count(*) FILTER (n = 0) AS uncovered, count(*) FILTER (n = 0) * {CELL * CELL}e0 AS gap_m2, count(*) FILTER (n = 0) / count(*) AS gap_share FROM h GROUP BY 1""")
 def coverage_gap_area(v: Views) -> DataFrame:
     bounds = v("f_district").groupBy("municipality_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return spatial.coverage_gap_area(tessellate.raster(bounds, CELL), districts(v), CELL)

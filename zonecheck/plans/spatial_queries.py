@@ -51,20 +51,20 @@ def all_failures(v: Views) -> DataFrame:
     return part("hits = 0", "uncovered").unionByName(part("hits > 1", "multi"))
 
 
-@query(f"WITH {PAIRS} SELECT * FROM pairs")
+@query(f"WITH {PAIRS} SELECT a, b, municipality_id, round(area, 3) AS area FROM pairs")
 def overlap_pairs(v: Views) -> DataFrame:
-    return spatial.overlap_pairs(districts(v))
+    return spatial.overlap_pairs(districts(v)).withColumn("area", F.round("area", 3))
 
 
-@query(f"WITH {PAIRS} SELECT count(*) AS pairs, coalesce(sum(area), 0.0) AS area FROM pairs")
+@query(f"WITH {PAIRS} SELECT count(*) AS pairs, round(coalesce(sum(area), 0.0), 3) AS area FROM pairs")
 def overlap_totals(v: Views) -> DataFrame:
-    return spatial.overlap_totals(spatial.overlap_pairs(districts(v)))
+    return spatial.overlap_totals(spatial.overlap_pairs(districts(v))).withColumn("area", F.round("area", 3))
 
 
-@query(f"SELECT a.district_id, coalesce(sum({SHARED}) FILTER (b.district_id IS NOT NULL), 0.0) AS shared_area FROM f_district a LEFT JOIN f_district b ON b.school_type = 'MS' AND {SHARED} > 0 GROUP BY 1")
+@query(f"SELECT a.district_id, round(coalesce(sum({SHARED}) FILTER (b.district_id IS NOT NULL), 0.0), 3) AS shared_area FROM f_district a LEFT JOIN f_district b ON b.school_type = 'MS' AND {SHARED} > 0 GROUP BY 1")
 def intersection_area(v: Views) -> DataFrame:
     d = districts(v)
-    return spatial.intersection_area(d, d.filter("school_type = 'MS'"), "district_id")
+    return spatial.intersection_area(d, d.filter("school_type = 'MS'"), "district_id").withColumn("shared_area", F.round("shared_area", 3))
 
 
 @query("""WITH p AS (SELECT a.address_id, s.school_id, sqrt((a.x - s.x) * (a.x - s.x) + (a.y - s.y) * (a.y - s.y)) AS d FROM f_address a JOIN f_school s ON abs(a.x - s.x) <= 500 AND abs(a.y - s.y) <= 500)
@@ -140,7 +140,7 @@ def tessellate_cells(v: Views) -> DataFrame:
     return owned(v)
 
 
-@query(f"WITH {OWNED} SELECT district_id, count(*) AS cells, count(*) * {CELL * CELL} AS area FROM owned GROUP BY 1")
+@query(f"WITH {OWNED} SELECT district_id, count(*) AS cells, count(*) * {CELL * CELL}e0 AS area FROM owned GROUP BY 1")
 def district_cells(v: Views) -> DataFrame:
     return tessellate.district_cells(owned(v), CELL)
 
@@ -256,14 +256,14 @@ S1 = f"""{FAILURES}, t AS (SELECT municipality_id, count(*) AS n FROM f_address
  s1 AS (SELECT d.district_id, n IS NOT NULL AND coalesce(bad, 0) = 0 AS fine FROM f_district d LEFT JOIN t ON t.municipality_id = d.municipality_id LEFT JOIN b ON b.municipality_id = d.municipality_id)"""
 
 
-@query(f"WITH {S1} SELECT district_id, 'S1' AS condition_code, CASE WHEN fine THEN 'PASS' ELSE 'INCOMPLETE' END AS value, CASE WHEN fine THEN 0.8 ELSE 0.4 END AS confidence, CASE WHEN fine THEN 0.9 ELSE 0.3 END AS data_completeness, NOT fine AS is_proxy, false AS is_illustrative FROM s1")
+@query(f"WITH {S1} SELECT district_id, 'S1' AS condition_code, CASE WHEN fine THEN 'PASS' ELSE 'INCOMPLETE' END AS value, CASE WHEN fine THEN 0.8e0 ELSE 0.4e0 END AS confidence, CASE WHEN fine THEN 0.9e0 ELSE 0.3e0 END AS data_completeness, NOT fine AS is_proxy, false AS is_illustrative FROM s1")
 def check_s1(v: Views) -> DataFrame:
     return rules.check_s1(districts(v), addresses(v))
 
 
 @query(f"""WITH {PAIRS}, n AS (SELECT district_id, count(*) AS k FROM (SELECT a AS district_id FROM pairs UNION ALL SELECT b FROM pairs) u GROUP BY 1)
  SELECT d.district_id, 'S2' AS condition_code, CASE WHEN k IS NULL THEN 'PASS' WHEN geometry_confidence IN ('low','medium') THEN 'INCOMPLETE' ELSE 'FAIL' END AS value,
- CASE WHEN k IS NULL THEN 0.7 WHEN geometry_confidence IN ('low','medium') THEN 0.3 ELSE 0.7 END AS confidence FROM f_district d LEFT JOIN n ON n.district_id = d.district_id""")
+ CASE WHEN k IS NULL THEN 0.7e0 WHEN geometry_confidence IN ('low','medium') THEN 0.3e0 ELSE 0.7e0 END AS confidence FROM f_district d LEFT JOIN n ON n.district_id = d.district_id""")
 def check_s2(v: Views) -> DataFrame:
     return rules.check_s2(districts(v), spatial.overlap_pairs(districts(v))).select("district_id", "condition_code", "value", "confidence")
 
@@ -271,21 +271,21 @@ def check_s2(v: Views) -> DataFrame:
 @query(f"""WITH s AS (SELECT d.district_id, d.school_id, d.geometry_confidence, count(a.school_id) AS n, coalesce(bool_or(a.school_id = d.school_id), false) AS own FROM f_district d LEFT JOIN f_school a ON a.is_public AND a.type = d.school_type AND {IN} GROUP BY 1, 2, 3),
  w AS (SELECT *, coalesce(geometry_confidence IN ('low','medium'), false) AS weak FROM s)
  SELECT district_id, CASE WHEN school_id IS NULL THEN 'INCOMPLETE' WHEN n = 1 THEN 'PASS' WHEN n = 0 THEN CASE WHEN weak THEN 'INCOMPLETE' ELSE 'FAIL' END ELSE CASE WHEN own AND weak THEN 'INCOMPLETE' ELSE 'FAIL' END END AS value,
- CASE WHEN school_id IS NULL THEN 0.0 WHEN n = 1 THEN CASE WHEN own THEN 0.75 ELSE 0.55 END WHEN n = 0 THEN CASE WHEN weak THEN 0.3 ELSE 0.6 END ELSE CASE WHEN own AND weak THEN 0.4 ELSE 0.7 END END AS confidence FROM w""")
+ CASE WHEN school_id IS NULL THEN 0.0e0 WHEN n = 1 THEN CASE WHEN own THEN 0.75e0 ELSE 0.55e0 END WHEN n = 0 THEN CASE WHEN weak THEN 0.3e0 ELSE 0.6e0 END ELSE CASE WHEN own AND weak THEN 0.4e0 ELSE 0.7e0 END END AS confidence FROM w""")
 def check_s3(v: Views) -> DataFrame:
     return rules.check_s3(districts(v), v("f_school")).select("district_id", "value", "confidence")
 
 
 @query("""WITH r AS (SELECT district_id, median(distance_m) AS m, median(duration_s) AS s, count(distance_m) AS n FROM f_route GROUP BY 1), j AS (SELECT d.district_id, d.school_id, m, s, coalesce(n, 0) AS n FROM f_district d LEFT JOIN r ON r.district_id = d.district_id)
  SELECT district_id, CASE WHEN school_id IS NULL OR n = 0 THEN 'INCOMPLETE' WHEN m <= 2000 AND s <= 1800 THEN 'PASS' WHEN m <= 4000 THEN 'RISK' ELSE 'FAIL' END AS value,
- CASE WHEN school_id IS NULL OR n = 0 THEN 0.0 WHEN n >= 10 THEN 0.7 WHEN n >= 5 THEN 0.55 ELSE 0.3 END AS confidence FROM j""")
+ CASE WHEN school_id IS NULL OR n = 0 THEN 0.0e0 WHEN n >= 10 THEN 0.7e0 WHEN n >= 5 THEN 0.55e0 ELSE 0.3e0 END AS confidence FROM j""")
 def check_pb(v: Views) -> DataFrame:
     return rules.check_pb(v("f_district"), v("f_route")).select("district_id", "value", "confidence")
 
 
 @query(f"""WITH s AS (SELECT a.district_id, (a.x1 - a.x0) * (a.y1 - a.y0) AS area, coalesce(sum({SHARED}) FILTER (b.district_id IS NOT NULL), 0.0) AS shared FROM f_district a LEFT JOIN f_district b ON b.school_type = 'MS' AND {SHARED} > 0 GROUP BY 1, 2), {HITS},
  h AS (SELECT district_id, count(*) AS n FROM hits GROUP BY 1)
- SELECT s.district_id, CASE WHEN shared = 0 AND coalesce(n, 0) = 0 THEN 'NOT_EVALUATED' WHEN shared > 0.1 * area THEN 'SIGNAL' ELSE 'NO_SIGNAL' END AS value, CASE WHEN shared > 0 THEN 0.5 ELSE 0.0 END AS confidence FROM s LEFT JOIN h ON h.district_id = s.district_id""")
+ SELECT s.district_id, CASE WHEN shared = 0 AND coalesce(n, 0) = 0 THEN 'NOT_EVALUATED' WHEN shared > 0.1 * area THEN 'SIGNAL' ELSE 'NO_SIGNAL' END AS value, CASE WHEN shared > 0 THEN 0.5e0 ELSE 0.0e0 END AS confidence FROM s LEFT JOIN h ON h.district_id = s.district_id""")
 def check_pe(v: Views) -> DataFrame:
     d = districts(v).withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     shared = spatial.intersection_area(d, d.filter("school_type = 'MS'"), "district_id")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of text are handed to numpy in chunks of about this many bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,14 +35,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``f`` over the Arrow batches of ``df``; a batch may give None."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
+    """``f`` over the Arrow batches of ``df``, ``rows`` rows at a time; a batch may give None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = f(batch)
-            if out is not None:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                out = f(batch.slice(at, rows))
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from .common import mix, ragged, text_chunks
 
 #: Words longer than this many bytes are taken as several words, so that the tables of powers stay small.
-LONGEST = 1 << 20
+LONGEST = 1 << 18
 
 _KIND = np.zeros(256, bool)
 _KIND[0x30:0x3A] = _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = True

@@ -29,10 +29,10 @@ def street_worklist(v: Views) -> DataFrame:
  b AS (SELECT municipality_id, street_norm FROM streets GROUP BY 1, 2 HAVING count(DISTINCT district_id) > 1),
  w AS (SELECT 'a' || (register_id // 2) AS adresa, register_id, 1 AS tier FROM an UNION ALL SELECT 'a' || (c.register_id // 2), c.register_id, 2 FROM clean c WHERE EXISTS (SELECT 1 FROM b WHERE b.municipality_id = c.municipality_id AND b.street_norm = c.ulica_norm) AND c.register_id NOT IN (SELECT register_id FROM an)),
  f AS (SELECT adresa, min(tier) AS tier, arg_min(register_id, tier * 1000000000 + register_id) AS register_id FROM w GROUP BY 1)
- SELECT * FROM f WHERE adresa NOT IN (SELECT 'a' || (address_id // 2) FROM f_address WHERE municipality_id = 0) ORDER BY tier, adresa LIMIT 2000""")
+ SELECT * FROM f WHERE adresa NOT IN (SELECT 'a' || (register_id // 2) FROM f_register WHERE obyvatelna = false) ORDER BY tier, adresa LIMIT 2000""")
 def register_worklist(v: Views) -> DataFrame:
     named = neat(v).withColumn("adresa", F.concat(F.lit("a"), F.floor(F.col("register_id") / 2).cast("string")))
-    cache = addresses(v).filter("municipality_id = 0").select(F.concat(F.lit("a"), F.floor(F.col("address_id") / 2).cast("string")).alias("adresa"))
+    cache = v("f_register").filter("obyvatelna = false").select(F.concat(F.lit("a"), F.floor(F.col("register_id") / 2).cast("string")).alias("adresa"))
     return assign.register_worklist(named, clean.street_anchors(named), assign.border_streets(streets(v)), cache)
 
 
@@ -100,7 +100,7 @@ def connect_islands(v: Views) -> DataFrame:
 
 @query()
 def absorb_evidenceless(v: Views) -> DataFrame:
-    houses = v("f_seed").filter("l_linenumber = 1").select("municipality_id", "district_id", "x", "y")
+    houses = spatial.points_in_polygons(addresses(v), districts(v)).select("municipality_id", "district_id", "x", "y")
     return tessellate.district_cells(tessellate.absorb_evidenceless(owned(v), houses, CELL, max_km2=10.0, passes=2), CELL)
 
 

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.shared import stored
+
 
 def raster(boundaries: DataFrame, cell: float) -> DataFrame:
     """(municipality_id, cx, cy, x, y): cells whose middle lies in the municipality's box x0, y0, x1, y1."""
@@ -36,7 +38,7 @@ def tessellate(cells: DataFrame, seeds: DataFrame, tile: float = 1000.0) -> Data
         spread = todo.withColumn("tx", F.explode(F.transform(around, lambda d: at("x") + d))).withColumn("ty", F.explode(F.transform(around, lambda d: at("y") + d)))
         d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
         met = spread.join(s.withColumn("tx", at("sx")).withColumn("ty", at("sy")), ["municipality_id", "tx", "ty"], "left")
-        best = met.groupBy("municipality_id", "cx", "cy", "x", "y").agg(F.min(F.when(F.col("sx").isNotNull(), F.struct(d.alias("d"), "district_id", "sx", "sy"))).alias("b"))
+        best = stored(met.groupBy("municipality_id", "cx", "cy", "x", "y").agg(F.min(F.when(F.col("sx").isNotNull(), F.struct(d.alias("d"), "district_id", "sx", "sy"))).alias("b")))
         last = tile > 2 * (extent + far)
         sure = F.lit(True) if last else F.coalesce(F.col("b.d") <= tile, F.lit(False))
         owned = best.filter(sure & F.col("b").isNotNull()).select("municipality_id", "cx", "cy", F.col("b.district_id").alias("district_id"), F.col("b.d").alias("distance"))
@@ -140,7 +142,7 @@ def absorb(labelled: DataFrame, moving: DataFrame) -> DataFrame:
 
 def absorb_slivers(owned: DataFrame, cell: float, max_km2: float = 0.05, max_share: float = 0.02) -> DataFrame:
     """Cells after slivers were absorbed by their neighbours; every cell keeps exactly one owner."""
-    labelled = parts(owned.select("municipality_id", "cx", "cy", "district_id"))
+    labelled = stored(parts(owned.select("municipality_id", "cx", "cy", "district_id")))
     return absorb(labelled, sliver_parts(part_areas(labelled, cell), max_km2, max_share))
 
 
@@ -176,7 +178,7 @@ def absorb_evidenceless(owned: DataFrame, houses: DataFrame, cell: float, max_km
     """
     cells = owned.select("municipality_id", "cx", "cy", "district_id")
     for _ in range(passes):
-        labelled = parts(cells)
+        labelled = stored(parts(cells))
         areas = part_shares(part_areas(labelled, cell))
         empty = areas.filter("parts > 1").join(part_evidence(labelled, houses, cell).filter("houses = 0"), ["municipality_id", "district_id", "part"])
         if dry_run:
@@ -185,7 +187,7 @@ def absorb_evidenceless(owned: DataFrame, houses: DataFrame, cell: float, max_km
             raise ValueError("a part without evidence is too large to be absorbed")
         if empty.isEmpty():
             break
-        cells = absorb(labelled, empty).checkpoint() if cells.sparkSession.sparkContext.getCheckpointDir() else absorb(labelled, empty)
+        cells = stored(absorb(labelled, empty))
     return cells
 
 

@@ -229,9 +229,9 @@ def brute_cut(texts, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group", [256, 2])
+@pytest.mark.parametrize("group", [4 << 20, 1000])
 def test_suffix_dedup_against_brute_force(docs, empty, spark, monkeypatch, group):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
     shared = prose(21, 90)
     more = [(500 + i, prose(f"l{i}", 10 * i) + shared[i * 7 : 480 + i * 11] + prose(f"r{i}", 5 * i), None, None, None) for i in range(12)]
     frame = docs.filter("coalesce(doc_id, -1) <> 18 and coalesce(doc_id, -1) <> 19").unionByName(spark.createDataFrame(more, DOCS))

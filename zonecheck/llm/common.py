@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.shared import shared_dir, stored
+
+__all__ = ["map_batches", "map_groups", "mix", "ragged", "shared_dir", "stored", "table", "text_chunks"]
 
 #: Rows of text are handed to numpy in chunks of about this many bytes.
 CHUNK_BYTES = 1 << 18
@@ -18,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again, which cuts its lineage."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
     """``f`` over the Arrow batches of ``df``, ``rows`` rows at a time; a batch may give None."""
 
@@ -104,8 +89,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
-
-
-def doc_key(df: DataFrame) -> DataFrame:
-    """Adds ``key``, which names a row by doc_id and text, so that rows sharing a doc_id stay apart."""
-    return df.withColumn("key", F.xxhash64(F.lit(7), "doc_id", "text"))

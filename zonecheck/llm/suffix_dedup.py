@@ -7,7 +7,7 @@ The first digit is the window's anchor: of its 64-byte strings the one with the
 Equal windows have equal anchors at equal offsets, and successive windows mostly share theirs, so runs of windows move
 as one row, about one for every 170 bytes. The second digit is all that a run's windows cover, which settles runs that
 are repeated as a whole; the last, for the runs left and one of each settled kind, is the window itself, by a 128-bit
-hash: within a task for groups of few runs, by a shuffle for large ones.
+hash: within a task for groups of a bounded size, by a shuffle for large ones.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import CHUNK_BYTES, map_batches, map_groups, mix, ragged, stored, text_chunks
 
 ANCHOR = 64
-#: Runs of a group that are compared in one task; the windows of larger groups are shuffled.
-GROUP = 256
+#: Bytes under the runs of a group that is compared in one task; the windows of larger groups are shuffled.
+GROUP_BYTES = 4 << 20
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _VALUES = [mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(m)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _POWERS: dict[int, np.ndarray] = {}
@@ -185,11 +185,11 @@ def repeats(documents: DataFrame, length: int = 400) -> DataFrame:
     whole = stored(whole.withColumn("sure", F.col("n") > 1).select("g", "w", "sure", "one.id", "one.t", "one.first", "one.last"))
     sure = alive.join(whole.filter("sure").select("g", "w"), ["g", "w"], "left_semi").select("id", "t", "first", "last")
     # digit 3: every window of the others, against each other and one run of each sure kind
-    left = whole.groupBy("g").agg(F.count("*").alias("runs"), F.bool_and("sure").alias("settled")).filter("not settled").select("g", (F.col("runs") > GROUP).alias("large"))
+    left = whole.groupBy("g").agg(F.sum(F.col("last") - F.col("first") + length).alias("bytes"), F.bool_and("sure").alias("settled")).filter("not settled").select("g", (F.col("bytes") > GROUP_BYTES).alias("large"))
     wanted = whole.join(left, "g").groupBy("id", "t").agg(F.collect_list(F.struct("g", "first", "last", F.when(F.col("sure"), 2).otherwise(1).alias("n"), "large")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"id": "wid", "t": "wt"})
     pieces = _pieces(texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("t") == F.col("wt"))).select("id", "t", "text", "runs"), length)
-    # groups of a bounded number of runs are compared where they lie, the windows of larger ones dealt out by their hashes
+    # groups of a bounded size are compared where they lie, the windows of larger ones dealt out by their hashes
     small = _compared(pieces.filter("not large"), length)
     windows = _hashed(pieces.filter("large"), length)
     many = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")

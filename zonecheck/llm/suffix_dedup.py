@@ -104,17 +104,18 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
 def _pieces(texts: DataFrame, length: int) -> DataFrame:
     """(g, id, t, first, last, n, large, piece) for (id, t, text, runs): the bytes that each run's windows cover."""
 
-    def rows(batches):
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_py().encode()
-                who = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                out += [(r["g"], *who, r["first"], r["last"], r["n"], r["large"], raw[r["first"] : r["last"] + length]) for r in batch.column(3)[i].as_py()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["g", "id", "t", "first", "last", "n", "large", "piece"])
-
-    return texts.mapInArrow(rows, "g long, id long, t long, first int, last int, n int, large boolean, piece binary")
+    names = ["g", "id", "t", "first", "last", "n", "large", "piece"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for i in range(batch.num_rows):
+            raw = batch.column(2)[i].as_py().encode()
+            who = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            out += [(r["g"], *who, r["first"], r["last"], r["n"], r["large"], raw[r["first"] : r["last"] + length]) for r in batch.column(3)[i].as_py()]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=names)
+
+    return map_batches(texts, rows, "g long, id long, t long, first int, last int, n int, large boolean, piece binary", rows=200)
 
 
 def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -213,6 +213,20 @@ def test_a_common_line_alone_stays(spark):
     assert all(r["n_removed"] == 0 for r in rows(line_dedup.marked(df)))
 
 
+@pytest.mark.parametrize("n", [8, 9, 30])
+def test_passages_go_whatever_the_number_of_holders(spark, n):
+    """A passage of one long line, and full lines parted by blank and short ones of which each text has another number."""
+    single = prose(900, 60)
+    parted = [prose(f"part {k}", 10) for k in range(3)]
+    texts = [prose(i + 300, 20) + "\n" + single + "\n" + prose(i + 600, 20) for i in range(n)]
+    texts += [prose(i + 1300, 20) + "\n" + ("\n" * (1 + i % 3) + "-\n").join(parted) + "\n" + prose(i + 1600, 20) for i in range(n)]
+    out = {r["doc_id"]: r for r in rows(line_dedup.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i in range(n):
+        assert (single in out[i]["kept"]) == (i == 0) and prose(i + 300, 20) in out[i]["kept"] and prose(i + 600, 20) in out[i]["kept"]
+        kept = out[n + i]["kept"]
+        assert all((x in kept) == (i == 0) for x in parted) and prose(i + 1300, 20) in kept and prose(i + 1600, 20) in kept
+
+
 # --- 6
 
 

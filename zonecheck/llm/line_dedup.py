@@ -1,25 +1,29 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share evidence: a full line (of at least ``least`` characters) that at most ``rare`` distinct
-texts hold or, as near copies of which there are more share no such line, two full lines in a row. Evidence links each document to the first one
-(smallest id) that holds it, so links are as many as lines at most. Each linked pair is aligned by patience diff over
-its lines, and blocks of aligned lines that hold evidence are deleted from the later document. Equal documents are
-collapsed first: all but the first are deleted whole. A line that many unrelated documents share stays where it stands alone.
+Documents overlap if they share evidence: a long line (of 50 words or 200 characters), however many hold it; a full line
+(of at least ``least`` characters) that at most ``rare`` distinct texts hold; or two successive full lines, whatever blank
+and shorter lines stand between them. Evidence links each document to the first one (smallest id) that holds it, so links
+are at most twice as many as lines. Each linked pair is aligned by patience diff over its lines, and blocks of aligned
+lines that hold evidence are deleted from the later document. Equal documents are collapsed first: all but the first are
+deleted whole. A line that is not long and that many unrelated documents share stays where it stands alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
 
-#: Documents that may hold a rare line.
+#: Documents that may hold a rare line that is not long.
 RARE = 8
 #: Characters of a full line; shorter ones, as headings, are no evidence.
 LEAST = 25
+#: Words, or characters for texts without spaces, of a line that is evidence alone, whatever the number of its holders.
+LONG_WORDS, LONG_CHARS = 50, 200
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -78,6 +82,14 @@ def _with_lines(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__lines", F.split("text", "\n", -1)).withColumn("__t", F.xxhash64("text"))
 
 
+def _kind(line: Column, least: int) -> Column:
+    """2 for a long line, 1 for a full one, else 0."""
+    size = F.length(F.trim(line))
+    # so many words have at least as many letters and the spaces between them
+    long = (size >= LONG_CHARS) | ((size >= 2 * LONG_WORDS - 1) & (F.size(F.split(F.trim(line), r"\s+")) >= LONG_WORDS))
+    return F.when(long, 2).when(size >= least, 1).otherwise(0).cast("byte")
+
+
 def deletions(documents: DataFrame, rare: int = RARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(documents to delete whole: doc_id, t; lines to delete: doc_id, t, gone), t being the hash of the text, gone line numbers from 0.
 
@@ -86,38 +98,34 @@ def deletions(documents: DataFrame, rare: int = RARE, least: int = LEAST) -> tup
     base = stored(
         _with_lines(documents.select("doc_id", "text").filter(F.trim("text") != "")).select(
             "doc_id", F.col("__t").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"),
-            F.transform("__lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("__lines", lambda x: F.length(F.trim(x)) >= least).alias("full"),
+            F.transform("__lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("__lines", lambda x: _kind(x, least)).alias("kind"),
         )
     )
     # one row for each distinct text; min() passes over nulls, so a null doc_id comes first by its own flag
-    same = base.groupBy("t", "t2").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("f"), F.any_value("lines").alias("lines"), F.any_value("full").alias("full"))
-    texts = stored(same.select(F.col("f.doc_id").alias("doc_id"), "t", "t2", "lines", "full"))
+    same = base.groupBy("t", "t2").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("f"), F.any_value("lines").alias("lines"), F.any_value("kind").alias("kind"))
+    texts = stored(same.select(F.col("f.doc_id").alias("doc_id"), "t", "t2", "lines", "kind"))
     firsts = texts.select(F.col("doc_id").alias("first_id"), F.col("t").alias("ft"), F.col("t2").alias("ft2"))
     whole = base.join(firsts, (F.col("t") == F.col("ft")) & (F.col("t2") == F.col("ft2")) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "t").distinct()
 
-    pairs = F.expr("filter(transform(sequence(0, size(lines) - 2), i -> if(full[i] and full[i + 1], xxhash64(lines[i], lines[i + 1]), null)), x -> x is not null)")
-    evidence = texts.select(
-        "doc_id", "t",
-        F.explode(
-            F.concat(
-                F.transform(F.array_distinct(F.expr("filter(lines, (x, i) -> full[i])")), lambda x: F.struct(x.alias("h"), F.lit(False).alias("two"))),
-                F.when(F.size("lines") < 2, F.array().cast("array<struct<h: bigint, two: boolean>>")).otherwise(F.transform(F.array_distinct(pairs), lambda x: F.struct(x.alias("h"), F.lit(True).alias("two")))),
-            )
-        ).alias("e"),
-    ).select("doc_id", "t", "e.h", "e.two")
-    held = evidence.groupBy("h", "two").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "t")).alias("f"))
-    held = held.filter((F.col("n") > 1) & (F.col("two") | (F.col("n") <= rare))).select("h", "two", F.col("f.doc_id").alias("first_id"), F.col("f.t").alias("first_t"))
-    links = evidence.join(held, ["h", "two"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("t") == F.col("first_t"))))
-    # a pair is linked by as many rows as it shares evidence, at most its lines
-    linked = links.groupBy("doc_id", "t", "first_id", "first_t").agg(F.collect_set(F.when(~F.col("two"), F.col("h"))).alias("rare"))
-    sides = texts.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "lines", "full")
+    pairs = F.expr("transform(sequence(0, size(fulls) - 2), i -> xxhash64(fulls[i].h, fulls[i + 1].h))")
+    none = F.array().cast("array<struct<h: bigint, two: boolean, long: boolean>>")
+    single = F.transform(F.array_distinct("fulls"), lambda x: F.struct(x["h"].alias("h"), F.lit(False).alias("two"), x["long"].alias("long")))
+    double = F.when(F.size("fulls") < 2, none).otherwise(F.transform(F.array_distinct(pairs), lambda x: F.struct(x.alias("h"), F.lit(True).alias("two"), F.lit(False).alias("long"))))
+    fulls = texts.select("doc_id", "t", F.expr("filter(transform(lines, (x, i) -> if(kind[i] > 0, struct(x as h, kind[i] = 2 as long), null)), x -> x is not null)").alias("fulls"))
+    evidence = fulls.select("doc_id", "t", F.explode(F.concat(single, double)).alias("e")).select("doc_id", "t", "e.h", "e.two", "e.long")
+    held = evidence.groupBy("h", "two").agg(F.count("*").alias("n"), F.max("long").alias("long"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "t")).alias("f"))
+    held = held.filter((F.col("n") > 1) & (F.col("two") | F.col("long") | (F.col("n") <= rare))).select("h", "two", F.col("f.doc_id").alias("first_id"), F.col("f.t").alias("first_t"))
+    links = evidence.drop("long").join(held, ["h", "two"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("t") == F.col("first_t"))))
+    # a pair is linked by as many rows as it shares evidence, at most twice its lines
+    linked = links.groupBy("doc_id", "t", "first_id", "first_t").agg(F.collect_set(F.when(~F.col("two"), F.col("h"))).alias("alone"))
+    sides = texts.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "lines", "kind")
     one = linked.join(sides, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).drop("d", "dt")
-    two = sides.select("d", "dt", F.col("lines").alias("first_lines"))
-    both = one.join(two, F.col("first_id").eqNullSafe(F.col("d")) & (F.col("first_t") == F.col("dt"))).select("doc_id", "t", "lines", "full", "rare", "first_lines")
+    two = sides.select("d", "dt", F.col("lines").alias("first_lines"), F.col("kind").alias("first_kind"))
+    both = one.join(two, F.col("first_id").eqNullSafe(F.col("d")) & (F.col("first_t") == F.col("dt"))).select("doc_id", "t", "lines", "kind", "alone", "first_lines", "first_kind")
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            gone = [_deleted(list(r.first_lines), list(r.lines), list(r.full), set(r.rare)) for r in frame.itertuples()]
+            gone = [_deleted(list(r.first_lines), list(r.lines), list(r.first_kind), list(r.kind), set(r.alone)) for r in frame.itertuples()]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "t": frame["t"], "gone": gone})
 
     aligned = both.mapInPandas(align, "doc_id long, t long, gone array<int>")
@@ -125,23 +133,25 @@ def deletions(documents: DataFrame, rare: int = RARE, least: int = LEAST) -> tup
     return whole, lines
 
 
-def _deleted(first: list[int], later: list[int], full: list[bool], rare: set[int]) -> list[int]:
-    """Lines of ``later`` in aligned blocks that hold a rare line or two full lines in a row."""
+def _deleted(first: list[int], later: list[int], first_kind: list[int], kind: list[int], alone: set[int]) -> list[int]:
+    """Lines of ``later`` in aligned blocks that hold a line that is evidence ``alone`` or one of two successive full lines."""
+    aligned = patience(first, later)
+    strong = {q for _, q in aligned if later[q] in alone}
+    nth, first_nth = list(accumulate(int(k > 0) for k in kind)), list(accumulate(int(k > 0) for k in first_kind))
+    fulls = [(p, q) for p, q in aligned if kind[q] > 0]
+    for (p, q), (p2, q2) in zip(fulls, fulls[1:], strict=False):
+        if first_nth[p2] == first_nth[p] + 1 and nth[q2] == nth[q] + 1:
+            strong |= {q, q2}
     out: list[int] = []
     block: list[int] = []
-
-    def close() -> None:
-        if any(later[q] in rare for q in block) or any(full[p] and full[q] for p, q in zip(block, block[1:], strict=False)):
-            out.extend(block)
-
     before = (-2, -2)
-    for p, q in patience(first, later):
+    for p, q in [*aligned, (-2, -2)]:
         if (p - 1, q - 1) != before:
-            close()
+            if not strong.isdisjoint(block):
+                out.extend(block)
             block = []
         block.append(q)
         before = (p, q)
-    close()
     return out
 
 

@@ -1,5 +1,6 @@
 import difflib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,28 @@ def test_classes_of_streets(spark):
         else:
             assert got[s] == ("NOT_FOUND", None, None)
     assert got["Jaboňová"][0] == "FUZZY" and got["Neznáma"][0] == "NOT_FOUND"
+
+
+def test_classes_agree_with_the_full_product(spark):
+    r = random.Random(3)
+    name = lambda: "".join(r.choice("abcdenorst ") for _ in range(r.choice([4, 5, 6, 9, 30, 70]))).strip()
+    register = {m: sorted({name() for _ in range(60)} | {"jasna", "letna", "hodna", "zz"}) for m in (1, 2)}
+    listed = {m: sorted({name() for _ in range(60)} | {"jarna", "lesna", "horna", "qqq"} | {x[:2] + r.choice("xyz") + x[3:] for x in register.get(m, []) if len(x) > 4}) for m in (1, 2, 3)}
+    o, g = (spark.createDataFrame([(m, s) for m, x in side.items() for s in x], f"municipality_id int, {c} string") for side, c in ((listed, "street"), (register, "ulica")))
+    for nearest in (True, False):
+        got = {(x["municipality_id"], x["street"]): (x["match_class"], x["best"], x["score"]) for x in ordinance.classify_streets(o, g, nearest=nearest).collect()}
+        assert len(got) == sum(map(len, listed.values()))
+        for m, streets in listed.items():
+            streets_of = register.get(m, [])
+            keys = dict(zip(streets_of, column(spark, streets_of, T.norm_street), strict=True)) if streets_of else {}
+            for s, k in zip(streets, column(spark, streets, T.norm_street), strict=True):
+                if s in streets_of or k in keys.values():
+                    assert got[m, s][0] in ("EXACT", "NORMALIZED")
+                    continue
+                best, score = None, 0.0
+                for x in streets_of:
+                    if (y := difflib.SequenceMatcher(None, k, keys[x]).ratio()) > score:
+                        best, score = x, y
+                want = ("FUZZY" if score >= 0.8 else "NOT_FOUND", best, round(score, 3))
+                assert got[m, s] == (want if nearest or score >= 0.8 else ("NOT_FOUND", None, None))
+        assert got[1, "jarna"][0] == got[1, "lesna"][0] == got[1, "horna"][0] == "FUZZY"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
@@ -69,11 +71,58 @@ def ratio(a: Column, b: Column) -> Column:
     return _ratio(a, b)
 
 
-def classify_streets(ordinance: DataFrame, register: DataFrame, threshold: float = 0.8) -> DataFrame:
+def _most(a: str, codes: np.ndarray, letters: dict[str, int], lengths: np.ndarray) -> np.ndarray:
+    """For the texts of ``codes`` (a row of letter numbers each, padded by the last number) a ratio to ``a`` that none exceeds: what matches is a common subsequence, whose longest length comes from one bit per letter of ``a``."""
+    if len(a) > 64:
+        held = Counter(a)
+        common = sum(np.minimum((codes == letters[c]).sum(axis=1), n) for c, n in held.items() if c in letters) + np.zeros(len(codes), int)
+    else:
+        masks = np.zeros(len(letters) + 1, np.uint64)
+        for i, c in enumerate(a):
+            if c in letters:
+                masks[letters[c]] |= np.uint64(1 << i)
+        v = np.full(len(codes), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for j in range(codes.shape[1]):
+            u = v & masks[codes[:, j]]
+            v = (v + u) | (v - u)
+        common = np.bitwise_count(~v & np.uint64((1 << len(a)) - 1)).astype(int)
+    return 2.0 * common / np.maximum(len(a) + lengths, 1)
+
+
+def _closest(wanted: list[str], keys: list[str], names: list[str], floor: float) -> tuple[list[str | None], list[float]]:
+    """For each wanted key the name of the key with the highest ratio, of equal ones the first name, and that ratio; none below ``floor``."""
+    letters = {c: n for n, c in enumerate(sorted(set("".join(keys))))}
+    lengths = np.array([len(k) for k in keys], int)
+    codes = np.full((len(keys), max(map(len, keys), default=0)), len(letters), np.int32)
+    for i, k in enumerate(keys):
+        codes[i, :len(k)] = [letters[c] for c in k]
+    best: list[str | None] = []
+    scores: list[float] = []
+    for a in wanted:
+        name, score = None, 0.0
+        if a is not None and len(keys):
+            most = _most(a, codes, letters, lengths)
+            for j in np.argsort(-most, kind="stable"):
+                if most[j] <= 0 or most[j] < max(score, floor):
+                    break
+                x = difflib.SequenceMatcher(None, a, keys[j]).ratio()
+                if x >= floor and (x > score or (x == score and name is not None and names[j] < name)):
+                    name, score = names[j], x
+        best.append(name)
+        scores.append(score)
+    return best, scores
+
+
+#: Tasks that the unmatched streets of one municipality are dealt to.
+DEALT = 16
+
+
+def classify_streets(ordinance: DataFrame, register: DataFrame, threshold: float = 0.8, nearest: bool = False) -> DataFrame:
     """(municipality_id, street, match_class, best, score) of ordinance streets against register streets of the same municipality: EXACT, NORMALIZED, FUZZY by the ratio of keys, else NOT_FOUND.
 
-    Fuzzy candidates share a trigram of their keys; a ratio of 0.8 leaves no room for keys without one in names of
-    more than a few letters, and keys too short for a trigram are their own.
+    A street that is neither EXACT nor NORMALIZED meets every key of its municipality; a bound from the longest common
+    subsequence leaves out those that cannot be the best, which changes no result. With ``nearest`` NOT_FOUND rows give
+    the best register street and its score too (null and 0 where no letter is shared), else null.
     """
     o = ordinance.select("municipality_id", "street").distinct().withColumn("k", T.norm_street("street"))
     r = register.select("municipality_id", F.col("ulica").alias("best")).distinct().withColumn("rk", T.norm_street("best"))
@@ -82,18 +131,24 @@ def classify_streets(ordinance: DataFrame, register: DataFrame, threshold: float
     rest = o.join(exact, ["municipality_id", "street"], "left_anti")
     normal = rest.join(keys, (rest["municipality_id"] == keys["municipality_id"]) & (rest["k"] == keys["rk"])).select(rest["municipality_id"], "street", "best")
     rest = rest.join(normal, ["municipality_id", "street"], "left_anti")
-    grams = lambda c: F.array_distinct(F.when(F.length(c) < 3, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3))))
-    left = rest.withColumn("g", F.explode(grams(F.col("k"))))
-    right = keys.withColumn("g", F.explode(grams(F.col("rk"))))
-    close = F.abs(F.length("k") - F.length("rk")) <= (2 / threshold - 2) * F.least(F.length("k"), F.length("rk")) + 1
-    pairs = left.join(right, ["municipality_id", "g"]).filter(close).select("municipality_id", "street", "k", "rk", "best").distinct()
-    scored = pairs.withColumn("score", F.round(ratio(F.col("k"), F.col("rk")), 3)).filter(F.col("score") >= threshold)
-    fuzzy = scored.groupBy("municipality_id", "street").agg(F.max_by(F.struct("best", "score"), F.struct("score", "best")).alias("b")).select("municipality_id", "street", "b.best", "b.score")
-    lost = rest.join(fuzzy, ["municipality_id", "street"], "left_anti")
-    row = lambda df, kind, best, score: df.select("municipality_id", "street", F.lit(kind).alias("match_class"), best.alias("best"), score.cast("double").alias("score"))
+    floor = 0.0 if nearest else threshold
+
+    @F.pandas_udf("best array<string>, score array<double>")
+    def closest(wanted: pd.Series, keys: pd.Series, names: pd.Series) -> pd.DataFrame:
+        found = [_closest(list(w), [] if k is None else list(k), [] if n is None else list(n), floor) for w, k, n in zip(wanted, keys, names, strict=True)]
+        return pd.DataFrame({"best": [b for b, _ in found], "score": [s for _, s in found]})
+
+    listed = keys.filter(F.col("rk").isNotNull()).groupBy("municipality_id").agg(F.collect_list(F.struct("rk", "best")).alias("r"))
+    dealt = rest.groupBy("municipality_id", F.pmod(F.xxhash64("k"), F.lit(DEALT)).alias("deal")).agg(F.collect_list(F.struct("street", "k")).alias("o")).join(listed, "municipality_id", "left")
+    dealt = dealt.repartition("municipality_id", "deal")
+    found = dealt.select("municipality_id", F.col("o.street").alias("street"), closest("o.k", "r.rk", "r.best").alias("c"))
+    found = found.select("municipality_id", F.explode(F.arrays_zip("street", F.col("c.best").alias("best"), F.col("c.score").alias("score"))).alias("x")).select("municipality_id", "x.*")
+    fuzzy = F.col("score") >= threshold
+    shown = fuzzy | F.lit(nearest)
+    kinds = lambda df, kind, best, score: df.select("municipality_id", "street", kind.alias("match_class"), best.alias("best"), score.cast("double").alias("score"))
     return (
-        row(exact, "EXACT", F.col("street"), F.lit(1.0)).unionByName(row(normal, "NORMALIZED", F.col("best"), F.lit(1.0)))
-        .unionByName(row(fuzzy, "FUZZY", F.col("best"), F.col("score"))).unionByName(row(lost, "NOT_FOUND", F.lit(None).cast("string"), F.lit(None)))
+        kinds(exact, F.lit("EXACT"), F.col("street"), F.lit(1.0)).unionByName(kinds(normal, F.lit("NORMALIZED"), F.col("best"), F.lit(1.0)))
+        .unionByName(kinds(found, F.when(fuzzy, "FUZZY").otherwise("NOT_FOUND"), F.when(shown, F.col("best")), F.when(shown, F.round("score", 3))))
     )
 
 

@@ -44,7 +44,7 @@ def street_ranges(v: Views) -> DataFrame:
 @query()
 def classify_streets(v: Views) -> DataFrame:
     o = v("f_street_range").join(v("f_district").select("district_id", "municipality_id"), "district_id").select("municipality_id", "street")
-    return ordinance.classify_streets(o, v("f_register").select("municipality_id", "ulica"))
+    return ordinance.classify_streets(o, v("f_register").select("municipality_id", "ulica"), nearest=True)
 
 
 @query(f"""WITH {CLEAN}, {STREETS}, k AS (SELECT DISTINCT municipality_id, ulica_norm FROM clean), m AS (SELECT s.district_id, k.ulica_norm IS NOT NULL AS ok FROM streets s LEFT JOIN k ON k.municipality_id = s.municipality_id AND k.ulica_norm = s.street_norm),

@@ -317,3 +317,23 @@ def test_containment(spark):
     s = spark.createDataFrame([("Hlavná",), ("Malá Hlavná",), ("Zzz",)], "street string")
     n = spark.createDataFrame([("hlavná",), ("Hlavná stará",)], "name string")
     assert {tuple(r) for r in assign.containment_match(s, n).collect()} == {("Hlavná", "hlavná", "exact"), ("Malá Hlavná", "hlavná", "contained"), ("Zzz", None, "none")}
+
+
+NAMES = ["park", "Parkova", "Nova-parkova 2", "a", "Ab", "ab", "abeceda", "", " Hlavná ", "hlavná", "bc", "cde", "stará", "Hlavná/stará", "zzz", "x y"]
+
+
+def test_containment_and_prefixes_against_the_full_product(spark):
+    streets, names = NAMES[::2] + ["parkova", "B"], NAMES[1::2] + ["ovapa", "kov", "eceda"]
+    for left, right in ((streets, names), (names, streets), (streets, [x for x in names if x]), (["park", "qqq"], ["Parkova"])):
+        want = set()
+        for s in left:
+            low = s.lower().strip(" ")
+            equal = [x for x in right if x.lower() == low]
+            inside = [x for x in right if low in x.lower() or x.lower() in low]
+            want.add((s, min(equal), "exact") if equal else (s, min(inside), "contained") if inside else (s, None, "none"))
+        a, b = spark.createDataFrame([(x,) for x in left], "street string"), spark.createDataFrame([(x,) for x in right], "name string")
+        assert {tuple(r) for r in assign.containment_match(a, b).collect()} == want
+        p, q = (spark.createDataFrame(list(enumerate(x)), f"{k} int, street string") for x, k in ((right, "point_id"), (left, "street_id")))
+        low = lambda x: x.lower().strip(" ")
+        pairs = sorted((i, j) for i, s in enumerate(left) for j, x in enumerate(right) if low(s).startswith(low(x)) or low(x).startswith(low(s)))
+        assert sorted(tuple(r) for r in assign.prefix_match(p, q).collect()) == pairs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 
@@ -91,10 +91,15 @@ def assign_by_house(addresses: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def prefix_match(points: DataFrame, streets: DataFrame, most: int = 50) -> DataFrame:
-    """Points of each street whose name equals the street's or begins with it or the other way round, ``most`` by id per street; candidates share their first three characters."""
-    a = points.select("point_id", F.lower("street").alias("p"), F.left(F.lower("street"), F.lit(3)).alias("k"))
-    b = streets.select("street_id", F.lower("street").alias("s"), F.left(F.lower("street"), F.lit(3)).alias("k"))
-    pairs = a.join(b, "k").filter((F.length("p") >= 3) & (F.length("s") >= 3) & (F.startswith("p", "s") | F.startswith("s", "p")))
+    """Points of each street whose trimmed name equals the street's or begins with it or the other way round, ``most`` by id per street; candidates share their first three characters or, where one is shorter, all of it."""
+    a = points.select("point_id", F.lower(F.trim("street")).alias("p"))
+    b = streets.select("street_id", F.lower(F.trim("street")).alias("s"))
+    key = lambda c: F.left(F.col(c), F.lit(3)).alias("k")
+    starts = lambda c: F.explode(F.array_distinct(F.array(*[F.left(F.col(c), F.lit(n)) for n in range(3)]))).alias("k")
+    pairs = a.filter(F.length("p") >= 3).select("*", key("p")).join(b.filter(F.length("s") >= 3).select("*", key("s")), "k").filter(F.startswith("p", "s") | F.startswith("s", "p"))
+    # a short name is itself one of the beginnings of the other; equal short names meet once
+    pairs = pairs.unionByName(a.select("*", starts("p")).join(b.filter(F.length("s") < 3).select("*", key("s")), "k"))
+    pairs = pairs.unionByName(a.filter(F.length("p") < 3).select("*", key("p")).join(b.select("*", starts("s")), "k").filter(F.col("p") != F.col("s")))
     ranked = pairs.withColumn("n", F.row_number().over(Window.partitionBy("street_id").orderBy("point_id")))
     return ranked.filter(F.col("n") <= most).select("street_id", "point_id")
 
@@ -179,19 +184,36 @@ def budget_cut(work: DataFrame, cap: int, order: list[str]) -> DataFrame:
     return work.orderBy(*order).limit(cap)
 
 
-def containment_match(streets: DataFrame, names: DataFrame) -> DataFrame:
-    """(street, name, how): the equal name in lower case or, where there is none, the first by alphabet that contains the street or is contained in it; no match: null.
+def _grams(c: str, *sizes: int) -> Column:
+    """The distinct substrings of ``c`` of each of the sizes."""
+    one = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, n)))
+    return F.array_distinct(F.concat(*[F.coalesce(one(n), F.array().cast("array<string>")) for n in sizes]))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(x, y) of ``inner`` (x) and ``outer`` (y), both distinct, where y contains x.
 
-    The second kind is sought among names that share a word with the street, as a street contained in a name, or the
-    other way round, by whole words does; only distinct names are joined.
+    All trigrams of x (x itself if shorter) must be in y, so x is sought by that one which the fewest of ``outer`` hold.
     """
-    s = streets.select("street").distinct().withColumn("s", F.lower("street"))
+    held = outer.select("y", F.explode(_grams("y", 0, 1, 2, 3)).alias("g"))
+    own = F.when(F.length("x") >= 3, _grams("x", 3)).otherwise(F.array("x"))
+    grams = inner.filter(F.col("x").isNotNull()).select("x", F.explode(own).alias("g"))
+    counts = held.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = grams.join(counts, "g", "left").groupBy("x").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("b")).filter("b.n > 0").select("x", F.col("b.g").alias("g"))
+    return rarest.join(held, "g").filter(F.contains("y", "x")).select("x", "y")
+
+
+def containment_match(streets: DataFrame, names: DataFrame) -> DataFrame:
+    """(street, name, how): the equal name in lower case or, where there is none, the first by alphabet that contains the street or is contained in it, inside words too; no match: null."""
+    s = streets.select("street").distinct().withColumn("s", F.lower(F.trim("street")))
     n = names.select("name").distinct().withColumn("n", F.lower("name"))
     exact = s.join(n, F.col("s") == F.col("n")).groupBy("street").agg(F.min("name").alias("name")).withColumn("how", F.lit("exact"))
     rest = s.join(exact, "street", "left_anti")
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda x: x != "")))
-    pairs = rest.withColumn("w", words("s")).join(n.withColumn("w", words("n")), "w").filter(F.contains("s", "n") | F.contains("n", "s"))
-    part = pairs.groupBy("street").agg(F.min("name").alias("name")).withColumn("how", F.lit("contained"))
+    first = n.groupBy("n").agg(F.min("name").alias("name"))
+    left, right = rest.select("s").distinct(), first.select("n")
+    pairs = _contained(left.toDF("x"), right.toDF("y")).toDF("s", "n").unionByName(_contained(right.toDF("x"), left.toDF("y")).toDF("n", "s"))
+    best = pairs.join(first, "n").groupBy("s").agg(F.min("name").alias("name"))
+    part = rest.join(best, "s").select("street", "name", F.lit("contained").alias("how"))
     none = rest.join(part, "street", "left_anti").select("street", F.lit(None).cast("string").alias("name"), F.lit("none").alias("how"))
     return exact.unionByName(part).unionByName(none)
 

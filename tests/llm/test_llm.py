@@ -227,6 +227,20 @@ def test_passages_go_whatever_the_number_of_holders(spark, n):
         assert all((x in kept) == (i == 0) for x in parted) and prose(i + 1300, 20) in kept and prose(i + 1600, 20) in kept
 
 
+def test_repeated_and_moved_passages_go(spark):
+    assert line_dedup.patience([9, 1, 2, 8, 1, 2, 7], [5, 1, 2, 6]) == [(1, 1), (2, 2)]
+    own = iter(range(5000, 6000))
+    x = lambda: prose(next(own), 20)
+    p, q, r = (prose(f"moved {k}", 12) + "\n-\n" + prose(f"moved {k} too", 12) for k in range(3))
+    texts = [[x(), p, x(), p, x()], [x(), p, x()], [x(), p, x(), p, x()], [x(), q, x(), r, x()], [x(), r, x(), q, x(), q, x(), r, x()]]
+    for more in (0, 10):  # rare lines, and lines of more holders than rare ones have
+        held = texts + [[x(), p, x(), q, x(), r, x()] for _ in range(more)]
+        frame = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(held)], "doc_id long, text string")
+        kept = {d["doc_id"]: d["kept"] for d in rows(line_dedup.marked(frame))}
+        for i, t in enumerate(held):
+            assert kept[i] == "\n".join(t if i in (0, 3) else [y for y in t if y not in (p, q, r)])
+
+
 # --- 6
 
 

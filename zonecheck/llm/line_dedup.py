@@ -4,12 +4,14 @@ Documents overlap if they share evidence: a long line (of 50 words or 200 charac
 (of at least ``least`` characters) that at most ``rare`` distinct texts hold; or two successive full lines, whatever blank
 and shorter lines stand between them. Evidence links each document to the first one (smallest id) that holds it, so links
 are at most twice as many as lines. Each linked pair is aligned by patience diff over its lines, and blocks of aligned
-lines that hold evidence are deleted from the later document. Equal documents are collapsed first: all but the first are
+lines that hold evidence are deleted from the later document; evidence that the order of lines leaves out, as in moved
+or repeated passages, is aligned by itself with the equal lines around it. Equal documents are collapsed first: all but the first are
 deleted whole. A line that is not long and that many unrelated documents share stays where it stands alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -28,7 +30,8 @@ LONG_WORDS, LONG_CHARS = 50, 200
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of two line sequences: lines that are equal at both ends, then those that are unique in both
-    and in the longest increasing order, with the gaps between them aligned the same way."""
+    and in the longest increasing order, with the gaps between them aligned the same way. Where no line is unique in
+    both, lines are told apart by their number among equal ones."""
     out: list[tuple[int, int]] = []
     stack = [(0, len(a), 0, len(b))]
     while stack:
@@ -44,6 +47,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         once_a, once_b = _once(a, i, i2), _once(b, j, j2)
         common = sorted((p, once_b[x]) for x, p in once_a.items() if x in once_b)
         anchors = _increasing(common)
+        if not anchors:
+            nth_a, nth_b = _numbered(a, i, i2), _numbered(b, j, j2)
+            anchors = _increasing(sorted((p, nth_b[x]) for x, p in nth_a.items() if x in nth_b))
         if not anchors:
             continue
         edges = [(i - 1, j - 1), *anchors, (i2, j2)]
@@ -59,6 +65,16 @@ def _once(x: list[int], start: int, stop: int) -> dict[int, int]:
     return {k: p for k, p in seen.items() if p >= 0}
 
 
+def _numbered(x: list[int], start: int, stop: int) -> dict[tuple[int, int], int]:
+    """The position of each line and its number among equal ones."""
+    seen: Counter[int] = Counter()
+    out = {}
+    for p in range(start, stop):
+        out[x[p], seen[x[p]]] = p
+        seen[x[p]] += 1
+    return out
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs that increases in both."""
     import bisect
@@ -134,7 +150,7 @@ def deletions(documents: DataFrame, rare: int = RARE, least: int = LEAST) -> tup
 
 
 def _deleted(first: list[int], later: list[int], first_kind: list[int], kind: list[int], alone: set[int]) -> list[int]:
-    """Lines of ``later`` in aligned blocks that hold a line that is evidence ``alone`` or one of two successive full lines."""
+    """Lines of ``later`` in aligned blocks that hold a line that is evidence ``alone`` or one of two successive full lines; then those of the evidence that is left."""
     aligned = patience(first, later)
     strong = {q for _, q in aligned if later[q] in alone}
     nth, first_nth = list(accumulate(int(k > 0) for k in kind)), list(accumulate(int(k > 0) for k in first_kind))
@@ -152,7 +168,31 @@ def _deleted(first: list[int], later: list[int], first_kind: list[int], kind: li
             block = []
         block.append(q)
         before = (p, q)
-    return out
+    return sorted(_moved(first, later, first_kind, kind, alone, set(out)))
+
+
+def _moved(first: list[int], later: list[int], first_kind: list[int], kind: list[int], alone: set[int], gone: set[int]) -> set[int]:
+    """``gone`` with the evidence of ``later`` that is not in it and the equal lines around, each line looked at a few times only."""
+    fulls = [p for p, k in enumerate(first_kind) if k > 0]
+    single = {first[p]: p for p in reversed(fulls)}
+    double = {(first[p], first[p2]): (p, p2) for p, p2 in reversed(list(zip(fulls, fulls[1:], strict=False)))}
+
+    def grow(p: int, q: int) -> None:
+        for step in (-1, 1):
+            i, j = (p, q) if step < 0 else (p + 1, q + 1)
+            while 0 <= i < len(first) and 0 <= j < len(later) and first[i] == later[j] and j not in gone:
+                gone.add(j)
+                i, j = i + step, j + step
+
+    own = [q for q, k in enumerate(kind) if k > 0]
+    for q, q2 in zip(own, own[1:], strict=False):
+        if (q not in gone or q2 not in gone) and (at := double.get((later[q], later[q2]))):
+            grow(at[0], q)
+            grow(at[1], q2)
+    for q in own:
+        if q not in gone and later[q] in alone and later[q] in single:
+            grow(single[later[q]], q)
+    return gone
 
 
 def marked(documents: DataFrame, **options) -> DataFrame:

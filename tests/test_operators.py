@@ -337,3 +337,17 @@ def test_containment_and_prefixes_against_the_full_product(spark):
         low = lambda x: x.lower().strip(" ")
         pairs = sorted((i, j) for i, s in enumerate(left) for j, x in enumerate(right) if low(s).startswith(low(x)) or low(x).startswith(low(s)))
         assert sorted(tuple(r) for r in assign.prefix_match(p, q).collect()) == pairs
+
+
+def test_house_worklist_takes_a_hundred_of_each_street(spark):
+    from zonecheck.plans import QUERIES, queries
+    from zonecheck.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    done = {tuple(r) for r in v("f_house_geocode").filter("status = 'OK' AND house_number <> 'x'").selectExpr("district_id", "street", "CAST(house_number AS INT)").collect()}
+    streets = {}
+    for r in assign.expand_ranges(queries.range_rows(v)).collect():
+        streets.setdefault((r["district_id"], r["street"]), []).append(r["house_number"])
+    want = {(*k, sorted(n)[i * len(n) // min(len(n), 100)]) for k, n in streets.items() for i in range(min(len(n), 100))} - done
+    assert max(map(len, streets.values())) > 10
+    assert {(r["district_id"], r["street"], r["house_number"]) for r in QUERIES["house_worklist"](spark, "/root/testdata/sf0.001").collect()} == want

@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.shared import shared_dir, stored
 
-__all__ = ["map_batches", "map_groups", "mix", "ragged", "shared_dir", "stored", "table", "text_chunks"]
+__all__ = ["map_batches", "map_groups", "mix", "ragged", "salted_join", "shared_dir", "stored", "table", "text_chunks"]
 
 #: Rows of text are handed to numpy in chunks of about this many bytes.
 CHUNK_BYTES = 1 << 18
@@ -61,6 +61,24 @@ def map_groups(df: DataFrame, key: str, f: Callable[[pa.RecordBatch], pa.RecordB
     return df.select(key, *[c for c in df.columns if c != key]).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+#: A key with more than one of so many rows is dealt to SALTS partitions; there are fewer such keys than this.
+HOT_SHARE, SALTS = 1000, 64
+
+
+def salted_join(frame: DataFrame, keys: DataFrame, by: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``frame`` joined on ``by``, without nulls, to ``keys``, a stored table with a row per key and its number ``n`` of rows in ``frame``; ``n`` is dropped.
+
+    Keys that hold more than a thousandth of the rows, fewer than a thousand, are broadcast as a mark; their rows are
+    dealt out by the hash of ``spread``, and the keys' own rows repeated for each part.
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(total // HOT_SHARE, HOT_SHARE)
+    marks = keys.filter(hot).select(*by, F.lit(True).alias("__hot"))
+    left = frame.join(F.broadcast(marks), by, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
+    right = keys.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return left.join(right, [*by, "__salt"], how).drop("__salt")
+
+
 def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of (first row, UTF-8 texts) of about ``most`` bytes; null counts as empty, a longer text is alone."""
     first, run, size = 0, [], 0

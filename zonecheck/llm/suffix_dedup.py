@@ -7,7 +7,8 @@ The first digit is the window's anchor: of its 64-byte strings the one with the
 Equal windows have equal anchors at equal offsets, and successive windows mostly share theirs, so runs of windows move
 as one row, about one for every 170 bytes. The second digit is all that a run's windows cover, which settles runs that
 are repeated as a whole; the last, for the runs left and one of each settled kind, is the window itself, by a 128-bit
-hash: within a task for groups of a bounded size, by a shuffle for large ones.
+hash: within a task for groups of a bounded size, by a shuffle for large ones. Counts are combined before each shuffle
+and keys that hold many rows are salted, so a passage that a third of all documents share is no task of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CHUNK_BYTES, map_batches, map_groups, mix, ragged, stored, text_chunks
+from .common import CHUNK_BYTES, map_batches, map_groups, mix, ragged, salted_join, stored, text_chunks
 
 ANCHOR = 64
 #: Bytes under the runs of a group that is compared in one task; the windows of larger groups are shuffled.
@@ -167,11 +168,6 @@ def _named(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _often(frame: DataFrame, *by: str) -> DataFrame:
-    """The values of ``by`` that more than one row has."""
-    return frame.groupBy(*by).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-
-
 def repeats(documents: DataFrame, length: int = 400) -> DataFrame:
     """(id, t, runs, starts): where repeated windows start in each document that holds any: runs of starts (first, last) and single ones.
 
@@ -179,22 +175,23 @@ def repeats(documents: DataFrame, length: int = 400) -> DataFrame:
     """
     texts = _named(documents)
     all_runs = stored(_runs(texts, length))
-    # digit 1: the anchor string
-    alive = stored(all_runs.join(_often(all_runs, "g"), "g"))
-    # digit 2: all bytes of the run's windows; runs that share it are repeated as a whole
-    whole = alive.groupBy("g", "w").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNotNull(), "id", "t", "first", "last")).alias("one"))
-    whole = stored(whole.withColumn("sure", F.col("n") > 1).select("g", "w", "sure", "one.id", "one.t", "one.first", "one.last"))
-    sure = alive.join(whole.filter("sure").select("g", "w"), ["g", "w"], "left_semi").select("id", "t", "first", "last")
-    # digit 3: every window of the others, against each other and one run of each sure kind
-    left = whole.groupBy("g").agg(F.sum(F.col("last") - F.col("first") + length).alias("bytes"), F.bool_and("sure").alias("settled")).filter("not settled").select("g", (F.col("bytes") > GROUP_BYTES).alias("large"))
-    wanted = whole.join(left, "g").groupBy("id", "t").agg(F.collect_list(F.struct("g", "first", "last", F.when(F.col("sure"), 2).otherwise(1).alias("n"), "large")).alias("runs"))
+    # digits 1 and 2, the anchor string and all bytes of the run's windows, in one map-side combined count: a row per kind of run
+    kinds = all_runs.groupBy("g", "w").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNotNull(), "id", "t", "first", "last")).alias("one"))
+    kinds = stored(kinds.select("g", "w", "n", "one.id", "one.t", "one.first", "one.last"))
+    # runs of a kind with others are repeated as a whole
+    sure = salted_join(all_runs, stored(kinds.filter("n > 1").select("g", "w", "n")), ["g", "w"], ["id", "t", "first"], "left_semi").select("id", "t", "first", "last")
+    # digit 3: every window of the others, against each other and one run of each sure kind; an anchor with one kind is settled
+    left = kinds.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("last") - F.col("first") + length).alias("bytes"), F.bool_and(F.col("n") > 1).alias("settled"))
+    left = stored(left.filter("n > 1 and not settled").select("g", "n", (F.col("bytes") > GROUP_BYTES).alias("large")))
+    wanted = salted_join(kinds.withColumnRenamed("n", "holders"), left, ["g"], ["w"])
+    wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("g", "first", "last", F.when(F.col("holders") > 1, 2).otherwise(1).alias("n"), "large")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"id": "wid", "t": "wt"})
     pieces = _pieces(texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("t") == F.col("wt"))).select("id", "t", "text", "runs"), length)
     # groups of a bounded size are compared where they lie, the windows of larger ones dealt out by their hashes
     small = _compared(pieces.filter("not large"), length)
     windows = _hashed(pieces.filter("large"), length)
-    many = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
-    single = small.unionByName(windows.filter("n = 1").join(many, ["h1", "h2"]).select("id", "t", "start"))
+    many = stored(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1"))
+    single = small.unionByName(salted_join(windows.filter("n = 1").drop("n"), many, ["h1", "h2"], ["id", "t", "start"], "left_semi").select("id", "t", "start"))
     found = sure.groupBy("id", "t").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumn("starts", F.array().cast("array<int>"))
     found = found.unionByName(single.groupBy("id", "t").agg(F.array().cast("array<struct<first: int, last: int>>").alias("runs"), F.collect_list("start").alias("starts")))
     return found.groupBy("id", "t").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("starts")).alias("starts"))

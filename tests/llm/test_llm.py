@@ -285,6 +285,23 @@ def test_decontamination_against_brute_force(docs, empty, spark):
     assert rows(decontaminate.contaminated(empty, table)) == [] and rows(decontaminate.contaminated(docs, table.limit(0))) == []
 
 
+def test_decontamination_by_minhash_alone(spark, monkeypatch):
+    """Domains of one item of some length ask by MinHash; what they find does not come from shingle look-ups."""
+    items = {i: prose(f"item {i}", 16 + 4 * i) for i in range(20)}
+    texts = {i: prose(f"before {i}", 30 * i) + " " + items[i % 20] + " " + prose(f"after {i}", 3000 if i == 7 else 50) for i in range(60)}
+    texts |= {100 + i: prose(f"clean {i}", 200) for i in range(20)} | {200 + i: texts[3] for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("class", F.lit("x")).withColumn("item_id", F.lit(-1))
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string").withColumn("n", F.lit(0)).withColumn("shingles", F.lit("x"))
+    paths = decontaminate.probes(docs, decontaminate.item_shingles(table)).groupBy("path").count()
+    counts = {r["path"]: r["count"] for r in rows(paths)}
+    assert counts.get("minhash", 0) > 5 * counts.get("shingles", 0)
+    every = decontaminate.item_keys
+    monkeypatch.setattr(decontaminate, "item_keys", lambda own: every(own).filter("path = 'minhash'"))
+    got = {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.contaminated(docs, table))}
+    sets = {i: shingles(t) for i, t in items.items()}
+    assert got == {(d, i) for d, t in texts.items() for i, s in sets.items() if len(s & shingles(t)) >= 0.8 * len(s)}
+
+
 # --- 8
 
 

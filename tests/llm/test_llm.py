@@ -322,6 +322,29 @@ def test_token_counts_agree_with_the_library(docs, empty, spark, monkeypatch):
     assert rows(token_count.count_tokens(empty, path)) == []
 
 
+def test_state_maps_compose_as_reading(monkeypatch):
+    """A map tells the state and count of reading its chunk from any state, one that was not expected too; prefixes of the scan are prefixes of the text."""
+    machine = token_count.transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(8)
+    for _ in range(100):
+        parts = ["".join(r.choice("abethn▁▁s日") for _ in range(r.randrange(1, 20))) for _ in range(r.randrange(1, 9))]
+        states = [machine.open_after("".join(parts[:k])[-3:]) if k else {0} for k in range(len(parts))]
+        maps = [token_count.chunk_map(machine, p, s) for p, s in zip(parts, states, strict=True)]
+        for m, p, known in zip(maps, parts, states, strict=True):
+            assert all(m.table[s] == machine.read(s, p) for s in known)
+            for s in r.sample(range(len(machine.states)), min(5, len(machine.states))):
+                assert m(s) == machine.read(s, p)
+        for k, m in enumerate(token_count.scan(maps)):
+            assert m(0) == machine.read(0, "".join(parts[: k + 1]))
+    # a text without spaces: the states expected at each chunk's start hold the one that is met
+    text = "▁" + "".join(r.choice("aeinrst") for _ in range(4000))
+    met, missed = 0, 0
+    for at in range(200, 4000, 200):
+        expected, got = machine.open_after(text[at - token_count.BEFORE : at]), machine.read(0, text[:at])[0]
+        met, missed = met + (got in expected), missed + (got not in expected)
+    assert met > 3 * missed
+
+
 # --- 9
 
 

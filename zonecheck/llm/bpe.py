@@ -11,20 +11,23 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, ragged
+from .common import map_batches, ragged, text_slices
 
 #: Above every rank; times 128 it still fits 32 bits.
 _NONE = 1 << 23
 #: Matches with more bytes than this are encoded one by one.
 _TOGETHER = 128
-#: Distinct matches that a worker remembers.
-_KNOWN = 250_000
+#: Distinct matches that a worker remembers, and characters of them.
+_KNOWN, _KNOWN_CHARS = 250_000, 1 << 24
+#: Matches of a text that are encoded at once.
+_MATCHES = 1 << 18
 
 
 class Vocabulary:
@@ -175,17 +178,33 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.count, self.first = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > _KNOWN:
+        """The ids of each text; a text with very many matches by itself, a stretch of them at a time."""
+        out: list[np.ndarray] = []
+        for t in texts:
+            if len(t) > 4 * _MATCHES:
+                found = (m.group() for m in self.pattern.finditer(t))
+                parts = [self._encode([p])[0] for p in iter(lambda: list(itertools.islice(found, _MATCHES)), [])]
+                out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+            else:
+                out.append(np.zeros(0, np.int32))
+        short = [i for i, t in enumerate(texts) if len(t) <= 4 * _MATCHES]
+        for i, ids in zip(short, self._encode([self.pattern.findall(texts[i]) for i in short]), strict=True):
+            out[i] = ids
+        return out
+
+    def _encode(self, pieces: list[list[str]]) -> list[np.ndarray]:
+        if len(self.known) > _KNOWN or self.chars > _KNOWN_CHARS:
             self.forget()
-        pieces = [self.pattern.findall(t) for t in texts]
         known = self.known
         new = [p for p in set().union(*pieces) if p not in known]
         if new:
             ids, count = self.vocabulary.encode([p.encode() for p in new])
             known.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+            self.chars += sum(map(len, new))
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
             self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, ids])
         out = []
@@ -218,8 +237,7 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", id
     def rows(batches):
         enc = encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in text_slices(batch, batch.schema.get_field_index(text)):
                 got = enc.encode([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(ends, np.concatenate(got))

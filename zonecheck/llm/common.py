@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.shared import shared_dir, stored
 
-__all__ = ["map_batches", "map_groups", "mix", "ragged", "salted_join", "shared_dir", "stored", "table", "text_chunks"]
+__all__ = ["map_batches", "map_groups", "mix", "ragged", "salted_join", "shared_dir", "stored", "table", "text_chunks", "text_slices"]
 
 #: Rows of text are handed to numpy in chunks of about this many bytes.
 CHUNK_BYTES = 1 << 18
@@ -93,6 +94,16 @@ def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield first, run
 
 
+def text_slices(batch: pa.RecordBatch, column: int, rows: int = 256, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and, unless a row is longer by itself, ``most`` bytes of text."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(size[at : at + rows]), most, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,7 +1,8 @@
 """Token counts of a piece vocabulary (BPE with byte fallback) by a compiled finite-state transducer.
 
 A text is a sequence of segments: a run of spaces and the characters up to the next space. As no piece holds a space
-after another character, no merge crosses a segment, so the transducer starts each segment in its initial state.
+after another character, no merge crosses a segment, so the transducer returns to its initial state before a space that
+follows another character.
 
 Within a segment it reads characters. After each, the tokens of the prefix read so far are known by their last one: of
 the pieces that end here, the longest whose left neighbour (the last token of the prefix before it) and itself stay two
@@ -9,26 +10,33 @@ tokens when merged together. A state is what later characters can depend on: the
 on from, with the last token and the relative count at each position of it. A transition carries the change of the
 count. States are compiled when first met; their number is finite, as pieces are short.
 
-A text is cut in chunks of fixed length, each giving a state map: what it does to the segment that is open where it
-begins (its head), the count of its whole segments, and the segment left open at its end (its tail). Maps compose
-associatively, and a scan over neighbours composes them in a logarithmic number of passes.
+A text longer than a chunk is cut in chunks. Each gives a state map: from every state that may be open where it begins
+to the state at its end and the tokens counted between. Which states may be open follows from the characters before
+the chunk; a state that is met but not among them is read when asked for. Maps compose by looking states up, and a
+prefix scan in a logarithmic number of passes composes them over the text.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from .common import text_slices
+
 #: Characters of a chunk.
-CHUNK = 1 << 14
+CHUNK = 1 << 12
+#: Characters before a chunk that tell which states may be open at its start.
+BEFORE = 32
 #: States kept before compiling starts anew; a bound of memory, not of results.
 _STATES = 1_000_000
-#: Distinct segments that a worker remembers.
+#: Distinct segments that a worker remembers, none longer than _SHORT characters.
 _KNOWN = 600_000
+_SHORT = 64
 
 
 class Transducer:
@@ -99,6 +107,20 @@ class Transducer:
         """Whether the merges reach this piece from its characters."""
         return self.merged(token) == [token]
 
+    def step(self, state: int, char: str) -> tuple[int, int]:
+        """(next state, change of the count); a space after another character begins a segment."""
+        if char == "▁" and state and not self.states[state][0].endswith("▁"):
+            state = 0
+        return self.next[state].get(char) or self.compile(state, char)
+
+    def read(self, state: int, text: str) -> tuple[int, int]:
+        """(state, count) after reading a text from a state."""
+        total = 0
+        for char in text:
+            state, change = self.step(state, char)
+            total += change
+        return state, total
+
     def segment(self, text: str) -> int:
         """The count of one segment."""
         state = total = 0
@@ -110,11 +132,21 @@ class Transducer:
 
     def counts(self, segments: list[str]) -> np.ndarray:
         known = self.known
+        long = {}
         for s in set(segments):
             if s not in known:
-                known[s] = self.segment(s)
+                (known if len(s) <= _SHORT else long)[s] = self.segment(s)
+        if long:
+            return np.fromiter((known[s] if len(s) <= _SHORT else long[s] for s in segments), np.int64, len(segments))
         return np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
 
+    def open_after(self, text: str) -> set[int]:
+        """States that may be open after ``text``: it was read from the initial state at one of its characters."""
+        live: set[int] = set()
+        for char in text:
+            live = {self.step(s, char)[0] for s in live | {0}}
+        return live
+
 
 def _segments(text: str) -> list[str]:
     """``text``, which starts with a space mark, cut before each run of space marks."""
@@ -129,50 +161,70 @@ def _segments(text: str) -> list[str]:
     return out + [run] * bool(run)
 
 
-StateMap = tuple[str, int | None, str]
+class StateMap:
+    """From a state to (state, count): a table of the states expected, and how to read others."""
+
+    def __init__(self, table: dict[int, tuple[int, int]], read: Callable[[int], tuple[int, int]]) -> None:
+        self.table, self.read = table, read
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if (got := self.table.get(state)) is None:
+            got = self.table[state] = self.read(state)
+        return got
 
 
-def chunk_map(machine: Transducer, chunk: str) -> StateMap:
-    """(head, count of whole segments, tail); without a segment's start inside: (chunk, None, '')."""
+def chunk_map(machine: Transducer, chunk: str, states: set[int]) -> StateMap:
+    """The map of one chunk. States flow together where a segment begins, from where the chunk is read once."""
     at = 0
-    while (at := chunk.find("▁", at)) > 0 and chunk[at - 1] == "▁":
-        at += 1
-    if at < 0 or at == 0:  # a space mark at the very start may go on a run of them
-        run = len(chunk) - len(chunk.lstrip("▁"))
-        while run and (at := chunk.find("▁", run)) > 0 and chunk[at - 1] == "▁":
-            run = at + 1
-        at = chunk.find("▁", run) if run else at
-        if at < 0:
-            return chunk, None, ""
-    inner = _segments(chunk[at:])
-    return chunk[:at], int(machine.counts(inner[:-1]).sum()), inner[-1]
-
-
-def compose(machine: Transducer, a: StateMap, b: StateMap) -> StateMap:
-    """What ``a`` and then ``b`` do. A head that begins with a space mark closes the segment before it, unless that is space marks alone."""
-    if a[1] is None and b[1] is None:
-        return a[0] + b[0], None, ""
-    if a[1] is None:
-        return a[0] + b[0], b[1], b[2]
-    if b[1] is None:
-        whole, tail = _closed(machine, a[2] + b[0])
-        return a[0], a[1] + whole, tail
-    return a[0], a[1] + int(machine.counts(_segments(a[2] + b[0])).sum()) + b[1], b[2]
-
-
-def _closed(machine: Transducer, text: str) -> tuple[int, str]:
-    parts = _segments(text)
-    return int(machine.counts(parts[:-1]).sum()), parts[-1]
+    while (at := chunk.find("▁", at + 1)) > 0 and chunk[at - 1] == "▁":
+        pass
+    head, rest = (chunk, "") if at < 0 else (chunk[:at], chunk[at:])
+    if rest:
+        *whole, tail = _segments(rest)
+        end, n = machine.read(0, tail)
+        n += int(machine.counts(whole).sum())
+
+    def read(state: int) -> tuple[int, int]:
+        to, count = machine.read(state, head)
+        return (end, count + n) if rest else (to, count)
+
+    # states that have met go on as one
+    live: dict[int, dict[int, int]] = {s: {s: 0} for s in states}
+    for char in head:
+        after: dict[int, dict[int, int]] = {}
+        for state, froms in live.items():
+            to, change = machine.step(state, char)
+            after.setdefault(to, {}).update({s: c + change for s, c in froms.items()} if change else froms)
+        live = after
+    table = {s: (end, c + n) if rest else (to, c) for to, froms in live.items() for s, c in froms.items()}
+    return StateMap(table, read)
+
+
+def compose(a: StateMap, b: StateMap) -> StateMap:
+    """What ``a`` and then ``b`` do."""
+
+    def read(state: int) -> tuple[int, int]:
+        to, count = a(state)
+        end, more = b(to)
+        return end, count + more
+
+    return StateMap({s: read(s) for s in list(a.table)}, read)
+
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
+    """The composition of every prefix, in passes over neighbours at a distance that doubles."""
+    distance = 1
+    while distance < len(maps):
+        maps = [m if i < distance else compose(maps[i - distance], m) for i, m in enumerate(maps)]
+        distance *= 2
+    return maps
 
 
 def count_text(machine: Transducer, text: str) -> int:
-    """Tokens of one text by its chunks' maps, composed pairwise."""
-    maps = [chunk_map(machine, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-    while len(maps) > 1:
-        odd = maps[len(maps) & ~1 :]
-        maps = [compose(machine, a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)] + odd
-    head, whole, tail = maps[0]
-    return int(machine.counts(_segments(head)).sum()) + (whole or 0) + (int(machine.counts(_segments(tail)).sum()) if tail else 0)
+    """Tokens of one text by the scan of its chunks' maps."""
+    starts = range(0, len(text), CHUNK)
+    maps = [chunk_map(machine, text[i : i + CHUNK], machine.open_after(text[max(0, i - BEFORE) : i]) if i else {0}) for i in starts]
+    return scan(maps)[-1](0)[1]
 
 
 @functools.lru_cache(2)
@@ -194,8 +246,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 4096, text: str =
     def rows(batches):
         machine = transducer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in text_slices(batch, len(kept)):
                 if len(machine.known) > _KNOWN or len(machine.states) > _STATES:
                     machine.forget()
                 texts = part.column(len(kept)).to_pylist()

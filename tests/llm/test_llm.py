@@ -348,11 +348,13 @@ def test_state_maps_compose_as_reading(monkeypatch):
 # --- 9
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [300_000, 1])
+def test_warc_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
     odd = "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
     pages = [(3, "http://a/ b", "same"), (1, "http://b", "same"), (2, None, odd), (4, "http://c", None), (5, "http://d", ""), (6, "http://e", "ž" * 50), (7, "http://f", odd), (8, "u", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in rows(warc.archive(df, per_file=2))}
+    got = {r["page_id"]: r for r in rows(warc.archive(df.withColumn("refers_to", F.lit("x")).withColumn("payload", F.lit("x")).withColumn("sha1", F.lit("x")), file_bytes=300))}
     first = {}
     for i, _, html in sorted(pages):
         payload = (html or "").encode()
@@ -363,6 +365,9 @@ def test_warc_round_trip(spark):
     assert all(r["payload_sha1"] == r["payload_digest"] for r in got.values() if r["record_type"] == "response")
     assert {r["record_type"] for r in rows(warc.archive(df, least_bytes=1000))} == {"response"}
     assert rows(warc.archive(df.limit(0))) == []
+    odd_ids = spark.createDataFrame([(None, "u", "p"), (2, "u", "p"), (2, "u", "p"), (3, "u", "p"), (None, "u", "q")], df.schema)
+    found = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows(warc.archive(odd_ids))), key=str)
+    assert found == sorted([(2, "response", None, 1), (2, "response", None, 1), (3, "revisit", 2, 1), (None, "revisit", 2, 1), (None, "response", None, 1)], key=str)
 
 
 # --- 10

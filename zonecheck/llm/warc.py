@@ -1,9 +1,9 @@
 """WARC archives with revisit records: write pages once per distinct payload, read the archives back.
 
-Headers (digest and id, no payloads) are shuffled by payload digest to find the original of each group; the rows then
-meet their original's id, and records with fresh headers are written as text whose line end is the record end. As
-payloads are UTF-8, the files are plain WARC/1.1. Reading goes by Content-Length, so payloads may hold anything, also
-text that looks like a record.
+Headers (digest and id, no payloads) are shuffled by payload digest to find the original of each group and the records
+that revisit it; records with fresh headers are written as text whose line end is the record end, in files of a bounded
+size. As payloads are UTF-8, the files are plain WARC/1.1. Reading goes by Content-Length, so payloads may hold anything,
+also text that looks like a record. What was read is joined again: a revisit to the response that it names.
 """
 
 from __future__ import annotations
@@ -13,41 +13,54 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import map_batches, shared_dir
+from .common import map_batches, salted_join, shared_dir, stored
 
 _END = "\r\n\r\n"
 _ID = "urn:x-page:"
+#: Characters of records in a file.
+FILE_BYTES = 16 << 20
+#: Revisits that are broadcast, three short values each; more of them are joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def base32(hex_digits: str) -> Column:
+    """The upper-case base32 form of a column of 40 hex digits: 32 digits of five bits, four of them from each five hex digits."""
+    bits = f"shiftright(cast(conv(substr({hex_digits}, 5 * (i div 4) + 1, 5), 16, 10) as bigint), cast(15 - 5 * (i % 4) as int)) & 31"
+    return F.concat_ws("", F.expr(f"transform(sequence(0, 31), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ({bits}) as int), 1))"))
 
 
 def with_digest(pages: DataFrame, payload: str = "html") -> DataFrame:
-    """(page_id, url, payload, payload_digest): the payload as text (null: empty) and its base32 SHA-1."""
+    """(page_id, url, payload, sha1, payload_bytes): the payload as text (null: empty), its SHA-1 in hex and its size; other columns are left out."""
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
-    frame = pages.select("page_id", url.alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
+    frame = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
+    return frame.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [base64.b32encode(hashlib.sha1(x.as_py().encode()).digest()).decode() for x in batch.column(2)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=["page_id", "url", "payload", "payload_digest"])
 
-    return map_batches(frame, rows, "page_id long, url string, payload string, payload_digest string")
+def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(page_id, sha1, refers_to): a row for each page and payload that revisits an original; only headers are shuffled, by digest."""
+    headers = stored(records.filter(F.col("payload_bytes") >= least_bytes).select("page_id", "sha1"))
+    groups = headers.groupBy("sha1").agg(F.count("*").alias("n"), F.min("page_id").alias("refers_to")).filter("n > 1 and refers_to is not null")
+    again = salted_join(headers, stored(groups), ["sha1"], ["page_id"])
+    return again.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
 
 
 def resolve(records: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds payload_bytes, record_type and refers_to.
+    """Adds payload_digest, record_type and refers_to.
 
     Of the records with equal payloads of at least ``least_bytes`` bytes the one with the smallest page_id is the
     response, the others revisit it; records with the same smallest page_id are all responses, as is a group without
-    any page_id. Only (digest, page_id) is shuffled to find the originals, combined before the shuffle; of the join
-    with the records, Spark splits a large group.
+    any page_id. The revisits found go to the records by a broadcast if they are at most BROADCAST_ROWS, so that
+    payloads stay where they are, else by a join on page and digest, a key that is never hot unless rows repeat.
     """
-    records = records.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = records.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("original"))
-    joined = records.join(first.withColumnRenamed("payload_digest", "d"), (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= least_bytes), "left").drop("d")
-    revisit = F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))
+    again = stored(revisits(records, least_bytes).withColumnsRenamed({"page_id": "__page", "sha1": "__sha1"}))
+    small = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("sha1") == F.col("__sha1"))
+    joined = records.join(F.broadcast(again) if small else again, same, "left")
     return joined.select(
-        "page_id", "url", "payload", "payload_digest", "payload_bytes",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"),
+        "page_id", "url", "payload", base32("sha1").alias("payload_digest"), "payload_bytes",
+        F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to",
     )
 
 
@@ -55,8 +68,8 @@ def _header(name: str, value) -> F.Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"\r\n{name}: "), value.cast("string"))).otherwise(F.lit(""))
 
 
-def write(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", per_file: int = 1000) -> None:
-    """Writes one record per row, ``per_file`` at most to a file. A revisit record has no payload, but names its original."""
+def write(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Writes one record per row, in files of about ``file_bytes`` before compression, or one record if that is longer. A revisit record has no payload, but names its original."""
     clean_url = F.regexp_replace(F.coalesce("url", F.lit("urn:x-none")), r"[\r\n\s]", "")
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
@@ -69,7 +82,24 @@ def write(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", pe
         _header("WARC-Refers-To", F.when(revisit, F.concat(F.lit(f"<{_ID}"), F.col("refers_to").cast("string"), F.lit(">")))),
         _header("Content-Type", F.when(~revisit, F.lit("text/html;charset=utf-8"))), F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END),
     )
-    resolved.select(F.concat(head, block).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each file: records with the record end between them."""
+        held: list[str] = []
+        size = 0
+        for batch in batches:
+            for value in batch.column(0):
+                record = value.as_py()
+                if held and size + len(record) > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([_END.join(held)])], names=["value"])
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([_END.join(held)])], names=["value"])
+
+    records = resolved.select(F.concat(head, block).alias("value")).mapInArrow(files, "value string")
+    records.write.option("lineSep", _END).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -112,19 +142,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved_read(records: DataFrame) -> DataFrame:
-    """Read records, with the payload size of each revisit taken from the response that it refers to."""
-    originals = records.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("original"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("original_bytes"))
-    revisits = records.filter("record_type = 'revisit'")
-    sized = revisits.join(originals, (F.col("refers_to") == F.col("original")) & (F.col("payload_digest") == F.col("d")), "left").withColumn("payload_bytes", F.col("original_bytes"))
+    """Read records, a stored table, with the payload size of each revisit taken from the response that it refers to."""
+    again = records.filter("record_type = 'revisit'").drop("payload_bytes")
+    asked = again.groupBy("refers_to", "payload_digest").agg(F.count("*").alias("n"))
+    responses = records.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    sized = salted_join(again, stored(responses.join(asked, ["refers_to", "payload_digest"])), ["refers_to", "payload_digest"], ["page_id"], "left")
     return records.filter("record_type = 'response'").unionByName(sized.select(*records.columns))
 
 
-def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, per_file: int = 1000) -> DataFrame:
+def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes ``pages`` to archives (a new shared folder unless ``path`` is given) and returns what reading them gives.
 
     One row per page: null html counts as empty, empty payloads are a group like any other, repeated rows stay.
     Columns other than page_id, url and html are not archived.
     """
     path = path or shared_dir(pages.sparkSession)
-    write(resolve(with_digest(pages), least_bytes), path, per_file=per_file)
-    return resolved_read(read(pages.sparkSession, path))
+    write(resolve(with_digest(pages), least_bytes), path, file_bytes=file_bytes)
+    return resolved_read(stored(read(pages.sparkSession, path)))

@@ -396,6 +396,26 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert sorted(f["vec_id"] for f in few) == [1, 2, 3, 4] and rows(ann.neighbours(df.limit(0))) == []
 
 
+def test_recall_with_more_lists_than_probes(spark):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 24))
+    x = centres[r.integers(0, 40, 8000)] * 0.7 + r.normal(size=(8000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("list", F.lit("own")).withColumn("part", F.lit("own"))
+    v = ann.usable(df)
+    index = ann.fit(v, per_list=16)
+    assert len(index.centroids) == ann.lists_for(8000, 16, 32_768) == 268
+    got = {}
+    for row in rows(ann.search(v, v.filter("vec_id % 20 = 0"), index, probes=64, block=64)):
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    hit = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(found & set(np.argsort(-score)[:20].tolist()))
+    # at most 64 of 268 lists are read, and more than nine of ten neighbours found
+    assert len(got) == 400 and 0.9 <= hit / (20 * len(got))
+
+
 # --- pipeline
 
 

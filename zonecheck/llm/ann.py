@@ -9,6 +9,7 @@ finds centroids by a walk over a neighbour graph of the centroids and probes the
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -16,8 +17,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Vectors that the centroids are fitted on, at most.
-SAMPLE = 20_000
+#: Vectors that the centroids are fitted on: so many at least, and so many for each centroid.
+SAMPLE, PER_CENTROID = 20_000, 16
+#: Rows whose distances to all centroids are held at once.
+_ROWS = 2048
 
 
 class Index(NamedTuple):
@@ -33,7 +36,7 @@ def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """(vec_id, v): the vectors that take part, as doubles; not null, not zero, all components finite."""
     v = F.col(vec).cast("array<double>")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select("vec_id", v.alias("v")).filter(fine)
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(fine)
 
 
 def _lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -45,34 +48,49 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.einsum("ij,ij->i", a, a)[:, None] - 2 * a @ b.T + np.einsum("ij,ij->i", b, b), 0.0))
 
 
-def fit(vectors: DataFrame, per_list: int = 128, most_lists: int = 1024, sample: int = SAMPLE, rounds: int = 8, degree: int = 16, seed: int = 1) -> Index:
-    """Centroids by k-means with a weight against full clusters, on the ``sample`` rows of smallest hashed id.
+def lists_for(n: int, per_list: int, most_lists: int) -> int:
+    """Lists for ``n`` vectors: one for every ``per_list``, but from 9 * per_list^2 vectors on 3 * sqrt(n), so that lists and their number grow alike."""
+    return max(1, min(-(-n // per_list), 3 * math.isqrt(n) + 1, most_lists))
 
-    There is a centroid for every ``per_list`` vectors, but at most ``most_lists``; beyond that lists grow and are split.
 
-    ``vectors`` has (vec_id, v). Only the sample and the largest norm reach the driver.
+def _nearest(x: np.ndarray, centroids: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return np.concatenate([(_distances(x[i : i + _ROWS], centroids) + extra).argmin(1) for i in range(0, len(x), _ROWS)])
+
+
+def fit(vectors: DataFrame, per_list: int = 128, most_lists: int = 32_768, sample: int = SAMPLE, rounds: int = 8, degree: int = 16, seed: int = 1) -> Index:
+    """Centroids by k-means with a weight against full clusters, on a sample of the rows of small hash.
+
+    The sample has ``sample`` distinct rows or PER_CENTROID for each centroid, whichever is more; so ``most_lists``
+    bounds the sample (524,288 rows), the index and what the driver gets, at whatever number of vectors. Beyond some
+    120 million vectors lists grow in place of their number; they are split, so that tasks do not grow.
+
+    ``vectors`` has (vec_id, v). Only the sample, the largest norm and the count reach the driver.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     top, n = vectors.agg(F.max(norm), F.count("*")).first()
-    rows = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).toPandas()
+    size = max(sample, PER_CENTROID * lists_for(n, per_list, most_lists))
+    place = F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(1 << 40))
+    # a tenth more than wanted, so that fewer are hardly ever got; each task filters its own rows
+    rows = vectors.withColumn("place", place).filter(F.col("place") < int(min(1.0, 1.1 * size / max(n, 1)) * (1 << 40))).distinct().toPandas()
     if not len(rows):
         return Index(np.zeros((0, 1)), np.zeros((0, 0), int), np.zeros(0, int), 0.0)
+    rows = rows.sort_values(["place", "vec_id"], kind="stable").head(size)
     width = int(rows["v"].map(len).mode()[0])
     x = _lift(np.stack([v for v in rows["v"] if len(v) == width]), top)
     random = np.random.default_rng(seed)
     distinct = np.unique(x, axis=0)
-    k = min(-(-n // per_list), most_lists, len(distinct))
+    k = min(lists_for(n, per_list, most_lists), len(distinct))
     centroids = distinct[random.choice(len(distinct), k, replace=False)]
     extra = np.zeros(k)
     for _ in range(rounds):
-        own = (_distances(x, centroids) + extra).argmin(1)
-        size = np.bincount(own, minlength=k)
+        own = _nearest(x, centroids, extra)
+        held = np.bincount(own, minlength=k)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
-        centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], distinct[random.choice(len(distinct), k)])
+        centroids = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], distinct[random.choice(len(distinct), k)])
         # a full cluster becomes a little dearer, an empty one cheaper
-        extra += 0.02 * top * np.clip(size / (len(x) / k) - 1, -1, 1)
-    near = np.argsort(_distances(centroids, centroids), 1, kind="stable")[:, 1 : degree + 1]
+        extra += 0.02 * top * np.clip(held / (len(x) / k) - 1, -1, 1)
+    near = np.concatenate([np.argsort(_distances(centroids[i : i + _ROWS], centroids), 1, kind="stable")[:, 1 : degree + 1] for i in range(0, k, _ROWS)])
     # links that lead far keep the graph in one piece
     far = random.integers(0, k, (k, max(1, degree // 4)))
     graph = np.concatenate([near, far], 1) if near.shape[1] else far
@@ -150,7 +168,8 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = 20, co
     ``vectors`` and ``queries`` have (vec_id, v). A vector is posted to at most ``copies`` lists within ``near`` times
     its nearest distance; a query probes its nearest 32 lists and up to ``probes`` within ``reach`` times its nearest distance. Scores are inner
     products in double precision; ties go to the smaller vec_id. Rows that share a vec_id are one candidate, by their
-    best score; an empty table gives an empty result.
+    best score; an empty table gives an empty result. Columns of the table other than the id and the vector are not
+    looked at.
     """
     posted = _postings(vectors, index, 1, copies, near, 24)
     asked = _postings(queries, index, 32, probes, reach, probes)
@@ -172,6 +191,7 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = 20, co
             x, ids = np.stack(others["v"].to_list()), others["vec_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             x, ids = x[order], ids[order]
+            longest = np.einsum("ij,ij->i", x, x).max()
             q, qid = np.stack(asks["v"].to_list()), asks["vec_id"].to_numpy()
             for at in range(0, len(q), 256):
                 score = q[at : at + 256] @ x.T
@@ -179,8 +199,14 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = 20, co
                 top = np.argsort(-score, 1, kind="stable")[:, :k]
                 for r, row in enumerate(top):
                     row = row[np.isfinite(score[r, row])]
-                    # the product of a matrix may differ in its last bits from that of two vectors
-                    out.append(pd.DataFrame({"query_id": qid[at + r], "vec_id": ids[row], "score": [float(np.dot(q[at + r], x[j])) for j in row]}))
+                    if not len(row):
+                        continue
+                    # the product of a matrix may differ in its last bits from that of two vectors: all that are as near as the last are scored anew
+                    slack = 1e-12 * np.sqrt(np.dot(q[at + r], q[at + r]) * longest)
+                    row = np.flatnonzero(score[r] >= score[r, row[-1]] - slack)
+                    exact = np.array([float(np.dot(q[at + r], x[j])) for j in row])
+                    pick = np.lexsort((ids[row], -exact))[:k]
+                    out.append(pd.DataFrame({"query_id": qid[at + r], "vec_id": ids[row[pick]], "score": exact[pick]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     found = left.unionByName(right).groupBy("list", "part", "round").applyInPandas(best, "query_id long, vec_id long, score double")

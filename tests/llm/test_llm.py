@@ -11,7 +11,7 @@ pytest.importorskip("public_tokenizers")
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from zonecheck.llm import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, suffix_dedup, token_count, warc
+from zonecheck.llm import ann, bpe, common, decontaminate, jaccard_join, language_id, license_scan, line_dedup, suffix_dedup, token_count, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and zone school street house number river bridge hill market old new green long road park lake stone".split()
@@ -124,6 +124,65 @@ def test_licenses_against_brute_force(docs, empty):
     assert rows(license_scan.scan_documents(empty)) == []
 
 
+def brute_labels(text, coverage=0.85, slack=2, alike=0.8):
+    """Spans of the templates by a dense table of votes."""
+    w, out = words_of(text), set()
+    for label, passage in license_scan.TEMPLATES:
+        t = passage.split()
+        votes = sorted({(i - j, i, j) for i in range(len(w) - 1) for j in range(len(t) - 1) if w[i : i + 2] == t[j : j + 2]})
+        runs = []
+        for d, i, j in votes:
+            if runs and d - runs[-1][-1][0] <= slack:
+                runs[-1].append((d, i, j))
+            else:
+                runs.append([(d, i, j)])
+        for run in runs:
+            first, last = min(i for _, i, _ in run), max(i for _, i, _ in run) + 1
+            if len({j for *_, j in run}) / (len(t) - 1) >= coverage and last - first + 1 <= len(t) + 2 * slack:
+                a, b = " ".join(w[first : last + 1]), passage
+                row = list(range(len(b) + 1))
+                for x, c in enumerate(a):
+                    row = [x + 1]
+                    for y, e in enumerate(b):
+                        row.append(min(before[y] + (c != e), before[y + 1] + 1, row[y] + 1) if x else min(y + (c != e), y + 2, row[y] + 1))
+                    before = row
+                if row[-1] <= (1 - alike) * max(len(a), len(b)):
+                    out.add(label)
+    return out
+
+
+def test_license_labels_against_brute_force(spark):
+    r = random.Random(9)
+    texts = []
+    for _, passage in license_scan.TEMPLATES:
+        w = passage.split()
+        for edits in range(5):
+            v = w[:]
+            for _ in range(edits):
+                at = r.randrange(len(v))
+                v[at : at + r.randrange(2)] = [r.choice(["any", "software", "considerably"])] * r.randrange(1, 3)
+            texts.append(prose(len(texts), 8) + ". " + " ".join(v).title() + "; " + prose(len(texts), 5))
+    texts += [" ".join(r.sample(passage.split(), len(passage.split()))) for _, passage in license_scan.TEMPLATES]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("label", F.lit("own")).withColumn("words", F.lit("own")).withColumn("key", F.lit(1))
+    got = {x["doc_id"]: x for x in rows(license_scan.scan_documents(df))}
+    some = 0
+    for i, text in enumerate(texts):
+        expected = brute_labels(text)
+        some += bool(expected)
+        assert set(filter(None, got[i]["labels"].split(","))) == expected | set(filter(None, got[i]["base_labels"].split(",")))
+    assert 20 < some < len(texts)
+
+
+def test_license_templates_of_ones_own_and_repeated_rows(spark, monkeypatch):
+    own = spark.createDataFrame([(0, "house", False, "all rights are kept by the house"), (1, "short", True, "kept by")], "template int, label string, exact boolean, text string")
+    df = spark.createDataFrame([(1, "Here all rights are kept by the House."), (1, "Here all rights are kept by the House."), (2, "kept, by no one"), (None, None)], "doc_id long, text string")
+    for filter_words in (5000, 2):
+        monkeypatch.setattr(license_scan, "FILTER_WORDS", filter_words)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", filter_words)
+        got = sorted(((x["doc_id"] or 0, x["labels"], x["n_base"]) for x in rows(license_scan.scan_documents(df, own))))
+        assert got == [(0, "", 0), (1, "house,short", 1), (1, "house,short", 1), (2, "short", 1)]
+
+
 def test_license_with_words_put_in(spark):
     text = "permission is hereby granted free of any charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
     r = rows(license_scan.scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")))[0]
@@ -350,7 +409,7 @@ def test_state_maps_compose_as_reading(monkeypatch):
 
 @pytest.mark.parametrize("broadcast", [300_000, 1])
 def test_warc_round_trip(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     odd = "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
     pages = [(3, "http://a/ b", "same"), (1, "http://b", "same"), (2, None, odd), (4, "http://c", None), (5, "http://d", ""), (6, "http://e", "ž" * 50), (7, "http://f", odd), (8, "u", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

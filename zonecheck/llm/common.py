@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.shared import shared_dir, stored
 
-__all__ = ["map_batches", "map_groups", "mix", "ragged", "salted_join", "shared_dir", "stored", "table", "text_chunks", "text_slices"]
+__all__ = ["map_batches", "map_groups", "mix", "ragged", "salted_join", "shared_dir", "small", "stored", "table", "text_chunks", "text_slices"]
 
 #: Rows of text are handed to numpy in chunks of about this many bytes.
 CHUNK_BYTES = 1 << 18
@@ -62,6 +62,16 @@ def map_groups(df: DataFrame, key: str, f: Callable[[pa.RecordBatch], pa.RecordB
     return df.select(key, *[c for c in df.columns if c != key]).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+#: Rows of a few short values each that are broadcast at most.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a stored table of short rows, marked for broadcast if it has at most ``rows`` rows (BROADCAST_ROWS); else Spark joins it by a shuffle."""
+    most = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 #: A key with more than one of so many rows is dealt to SALTS partitions; there are fewer such keys than this.
 HOT_SHARE, SALTS = 1000, 64
 

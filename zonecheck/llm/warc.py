@@ -15,14 +15,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import map_batches, salted_join, shared_dir, stored
+from .common import map_batches, salted_join, shared_dir, small, stored
 
 _END = "\r\n\r\n"
 _ID = "urn:x-page:"
 #: Characters of records in a file.
 FILE_BYTES = 16 << 20
-#: Revisits that are broadcast, three short values each; more of them are joined by a shuffle.
-BROADCAST_ROWS = 300_000
 
 
 def base32(hex_digits: str) -> Column:
@@ -51,13 +49,12 @@ def resolve(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of the records with equal payloads of at least ``least_bytes`` bytes the one with the smallest page_id is the
     response, the others revisit it; records with the same smallest page_id are all responses, as is a group without
-    any page_id. The revisits found go to the records by a broadcast if they are at most BROADCAST_ROWS, so that
+    any page_id. The revisits found go to the records by a broadcast if they are few (``small``), so that
     payloads stay where they are, else by a join on page and digest, a key that is never hot unless rows repeat.
     """
     again = stored(revisits(records, least_bytes).withColumnsRenamed({"page_id": "__page", "sha1": "__sha1"}))
-    small = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("sha1") == F.col("__sha1"))
-    joined = records.join(F.broadcast(again) if small else again, same, "left")
+    joined = records.join(small(again), same, "left")
     return joined.select(
         "page_id", "url", "payload", base32("sha1").alias("payload_digest"), "payload_bytes",
         F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to",

@@ -230,8 +230,11 @@ def test_jaccard_join_odd_rows(docs, empty):
     assert rows(jaccard_join.link(empty)) == [] and rows(jaccard_join.keep_one(empty)) == []
 
 
-def test_blocks_count_each_pair_once(spark, monkeypatch):
+@pytest.mark.parametrize("shingles_a_block", [1 << 20, 300])
+def test_blocks_count_each_pair_once(spark, monkeypatch, shingles_a_block):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles_a_block)
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
     base = prose(12, 100).split()
     texts = {i: " ".join(base[:i] + [f"w{i}"] + base[i + 1 :]) for i in range(30)}
     got = {r["doc_id"]: r["n_links"] for r in rows(jaccard_join.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), small=4))}
@@ -300,6 +303,45 @@ def test_repeated_and_moved_passages_go(spark):
             assert kept[i] == "\n".join(t if i in (0, 3) else [y for y in t if y not in (p, q, r)])
 
 
+def brute_line_dedup(texts):
+    """Lines that go, by the rule: evidence as documented, each pair of a document and the first holder of some evidence aligned."""
+    split = {i: t.split("\n") for i, t in texts.items()}
+    kind = {i: [2 if len(x.strip()) >= 200 or len(x.split()) >= 50 else int(len(x.strip()) >= 25) for x in v] for i, v in split.items()}
+    holders = {}
+    for i, v in split.items():
+        fulls = [(x, k) for x, k in zip(v, kind[i], strict=True) if k]
+        for e in {((x,), k == 2) for x, k in fulls} | {((x, y), False) for (x, _), (y, _) in zip(fulls, fulls[1:], strict=False)}:
+            holders.setdefault(e, []).append(i)
+    shared = {e: v for e, v in holders.items() if len(v) > 1 and (len(e[0]) == 2 or e[1] or len(v) <= line_dedup.RARE)}
+    gone = {i: set() for i in texts}
+    for later in texts:
+        for first in {min(v) for v in shared.values() if later in v and min(v) != later}:
+            alone = {e[0][0] for e, v in shared.items() if len(e[0]) == 1 and later in v and min(v) == first}
+            number = {x: n for n, x in enumerate(dict.fromkeys([*split[first], *split[later]]))}
+            code = lambda i, number=number: [number[x] for x in split[i]]
+            gone[later] |= set(line_dedup._deleted(code(first), code(later), kind[first], kind[later], {number[x] for x in alone}))
+    # every line that is evidence by itself goes from every later document
+    for e, v in shared.items():
+        if len(e[0]) == 1:
+            assert all(split[i].index(e[0][0]) in gone[i] for i in v if i != min(v))
+    return {i: "\n".join(x for n, x in enumerate(v) if n not in gone[i]) for i, v in split.items()}
+
+
+def test_line_dedup_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 3)  # some keys are salted
+    r = random.Random(15)
+    pool = [prose(f"pool {k}", 9) for k in range(60)] + [prose(f"long {k}", 55) for k in range(6)] + ["", "- -", "Heading"]
+    texts = {}
+    for i in range(120):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            at = r.randrange(len(pool) - 3)
+            parts += r.choice([[prose(f"own {i} {r.random()}", 10)], pool[at : at + r.randrange(1, 5)], [pool[0], pool[1]], [r.choice(pool)]])
+        texts[i] = "\n".join(parts) + f"\nthe end of document {i} which no other holds"
+    out = {x["doc_id"]: x["kept"] for x in rows(line_dedup.marked(spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({"lines": F.lit(1), "__t": F.lit(1), "h": F.lit(1)})))}
+    assert out == brute_line_dedup(texts)
+
+
 # --- 6
 
 

@@ -17,20 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, map_groups, mix, ragged, stored
+from .common import map_batches, map_groups, mix, ragged, salted_join, stored
 from .shingles import shingle_chunks
 
 WIDTH = 64
 _SEEDS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
-#: Sets of a block in the comparison of large buckets.
-BLOCK = 512
+#: Sets of a block in the comparison of large buckets, and about the shingles of a block at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, t, a, b, sig): two hashes of the shingle set and its MinHash values, 32 bits each; only texts with words. ``t`` is the hash of the text."""
+    """(doc_id, t, a, b, m, sig): two hashes of the shingle set, its size and its MinHash values, 32 bits each; only texts with words. ``t`` is the hash of the text."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        at, a, b, sigs = [], [], [], []
+        at, a, b, m, sigs = [], [], [], [], []
         for first, hashes, counts in shingle_chunks(batch.column(2), width):
             has = np.flatnonzero(counts)
             if not len(has):
@@ -43,16 +43,17 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
             at.append(first + has)
             a.append(np.add.reduceat(mix(hashes), starts))
             b.append(np.add.reduceat(mix(hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), starts))
+            m.append(counts[has])
             sigs += [x.tobytes() for x in sig]
         if not at:
             return None
         take = pa.array(np.concatenate(at))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64)), pa.array(sigs, pa.binary())], names=["doc_id", "t", "a", "b", "sig"]
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64)), pa.array(np.concatenate(m), pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "t", "a", "b", "m", "sig"]
         )
 
     frame = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    return map_batches(frame, rows, "doc_id long, t long, a long, b long, sig binary")
+    return map_batches(frame, rows, "doc_id long, t long, a long, b long, m long, sig binary")
 
 
 def runs_needed(threshold: float, recall: float) -> int:
@@ -95,7 +96,8 @@ def buckets(sets: DataFrame, threshold: float, recall: float, small: int, depth:
     for level in range(depth + 1):
         sizes = now.groupBy("bucket").agg(F.count("*").alias("size"), F.max("old").alias("old")).filter("size > 1")
         ready = (F.col("size") <= small) | (F.col("size") > 0.6 * F.col("old")) | F.lit(level == depth)
-        sized = stored(now.select("s", "bucket").join(sizes, "bucket").withColumn("ready", F.coalesce(ready, F.lit(False))))
+        sizes = stored(sizes.withColumn("n", F.col("size")))
+        sized = stored(salted_join(now.select("s", "bucket"), sizes, ["bucket"], ["s"]).withColumn("ready", F.coalesce(ready, F.lit(False))))
         done = sized.filter("ready").select("s", "bucket", "size")
         found = done if found is None else found.unionByName(done)
         rest = sized.filter("not ready")
@@ -269,13 +271,16 @@ def link(documents: DataFrame, threshold: float = 0.8, width: int = 5, recall: f
     members = signed.select("doc_id", "t", "a", "b").distinct()
     # a class's number is a hash of its set, so that it needs no order
     number = F.xxhash64("a", "b")
-    sets = stored(signed.groupBy("a", "b").agg(F.any_value("sig").alias("sig"), F.count_distinct("doc_id", "t").alias("docs"), F.min(F.struct(F.col("t"), F.col("doc_id"))).alias("one")).withColumn("s", number))
+    sets = stored(signed.groupBy("a", "b").agg(F.any_value("sig").alias("sig"), F.any_value("m").alias("m"), F.count_distinct("doc_id", "t").alias("docs"), F.min(F.struct(F.col("t"), F.col("doc_id"))).alias("one")).withColumn("s", number))
     found = buckets(sets, threshold, recall, small, depth)
     lists = found.groupBy("s").agg(F.collect_list("bucket").alias("all"))  # as many as runs and splits
     ready = found.join(lists, "s").join(sets.select("s", "sig"), "s")
     near = map_groups(_blocked(ready, BLOCK).select("pair", "bucket", "s", "sig", "all", "left", "right"), "pair", lambda b: _candidates(b, threshold - 0.25), "s long, bucket long, all array<long>")
     near = stored(near.groupBy("s", "bucket").agg(F.any_value("all").alias("all")))
-    near = near.join(near.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
+    # long sets make more and smaller blocks
+    weighed = near.join(sets.select("s", "m"), "s").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
+    weighed = weighed.withColumn("size", F.ceil(F.greatest(F.col("n"), F.col("m") / BLOCK_SHINGLES * BLOCK)).cast("long")).drop("m")
+    near = salted_join(near, stored(weighed), ["bucket"], ["s"])
     # texts of the sets that are compared exactly
     texts = sets.join(near.select("s").distinct(), "s", "left_semi").select("s", "docs", F.col("one.t").alias("one_t"), F.col("one.doc_id").alias("one_id"))
     hashed = base.withColumn("t", F.xxhash64("text"))

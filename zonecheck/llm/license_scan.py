@@ -83,11 +83,11 @@ def scan(documents: DataFrame, templates: DataFrame | None = None, coverage: flo
     spark = documents.sparkSession
     grams = stored(template_grams(built_in(spark) if templates is None else templates))
     starts = [r["w0"] for r in grams.select("w0").distinct().limit(FILTER_WORDS + 1).collect()]
-    keep = "true" if len(starts) > FILTER_WORDS else "array_contains(starts, lower(p.a))"
+    keep = (lambda p: F.lit(True)) if len(starts) > FILTER_WORDS else (lambda p: F.lower(p["a"]).isin(starts))
     documents = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
     # each word with its next one; what cannot begin a k-gram of a template stays out of the table
-    base = documents.select("doc_id", "key", words_of("text").alias("words"), F.array(*map(F.lit, starts[:FILTER_WORDS])).cast("array<string>").alias("starts"))
-    pairs = F.expr(f"filter(transform(words, (a, i) -> struct(i, a, get(words, i + 1) as b)), p -> {keep})")
+    base = documents.select("doc_id", "key", words_of("text").alias("words"))
+    pairs = F.filter(F.transform("words", lambda a, i: F.struct(i.alias("i"), a.alias("a"), F.get("words", i + 1).alias("b"))), keep)
     base = stored(base.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), pairs.alias("pairs")))
     rows = base.select("doc_id", "key", F.explode("pairs").alias("p")).select("doc_id", "key", F.col("p.i").cast("long").alias("i"), ascii_lower(F.col("p.a")).alias("a"), ascii_lower(F.col("p.b")).alias("b"))
     hits = rows.withColumn("h", F.xxhash64("a", "b")).join(small(grams), (F.col("h") == F.col("gram")) & (F.col("a") == F.col("w0")) & (F.col("b") == F.col("w1")))

@@ -18,7 +18,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 #: Documents that may hold a rare line that is not long.
 RARE = 8
@@ -130,14 +130,20 @@ def deletions(documents: DataFrame, rare: int = RARE, least: int = LEAST) -> tup
     fulls = texts.select("doc_id", "t", F.expr("filter(transform(lines, (x, i) -> if(kind[i] > 0, struct(x as h, kind[i] = 2 as long), null)), x -> x is not null)").alias("fulls"))
     evidence = fulls.select("doc_id", "t", F.explode(F.concat(single, double)).alias("e")).select("doc_id", "t", "e.h", "e.two", "e.long")
     held = evidence.groupBy("h", "two").agg(F.count("*").alias("n"), F.max("long").alias("long"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "t")).alias("f"))
-    held = held.filter((F.col("n") > 1) & (F.col("two") | F.col("long") | (F.col("n") <= rare))).select("h", "two", F.col("f.doc_id").alias("first_id"), F.col("f.t").alias("first_t"))
-    links = evidence.drop("long").join(held, ["h", "two"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("t") == F.col("first_t"))))
+    held = held.filter((F.col("n") > 1) & (F.col("two") | F.col("long") | (F.col("n") <= rare))).select("h", "two", "n", F.col("f.doc_id").alias("first_id"), F.col("f.t").alias("first_t"))
+    # a line or pair of lines that very many texts hold is dealt out over many tasks
+    links = salted_join(evidence.drop("long"), stored(held), ["h", "two"], ["doc_id", "t"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("t") == F.col("first_t"))))
     # a pair is linked by as many rows as it shares evidence, at most twice its lines
     linked = links.groupBy("doc_id", "t", "first_id", "first_t").agg(F.collect_set(F.when(~F.col("two"), F.col("h"))).alias("alone"))
     sides = texts.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "lines", "kind")
+    linked = stored(linked)
     one = linked.join(sides, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).drop("d", "dt")
-    two = sides.select("d", "dt", F.col("lines").alias("first_lines"), F.col("kind").alias("first_kind"))
-    both = one.join(two, F.col("first_id").eqNullSafe(F.col("d")) & (F.col("first_t") == F.col("dt"))).select("doc_id", "t", "lines", "kind", "alone", "first_lines", "first_kind")
+    # a first text may have very many later ones; nulls are told apart, as the join passes over them
+    named = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(c, F.lit(0)).alias("id"))
+    counts = linked.groupBy(named("first_id").alias("w"), F.col("first_t").alias("wt")).agg(F.count("*").alias("n"))
+    two = sides.select(named("d").alias("w"), F.col("dt").alias("wt"), F.col("lines").alias("first_lines"), F.col("kind").alias("first_kind")).join(counts, ["w", "wt"])
+    both = salted_join(one.withColumns({"w": named("first_id"), "wt": F.col("first_t")}), stored(two), ["w", "wt"], ["doc_id", "t"])
+    both = both.select("doc_id", "t", "lines", "kind", "alone", "first_lines", "first_kind")
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

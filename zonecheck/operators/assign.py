@@ -91,17 +91,20 @@ def assign_by_house(addresses: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def prefix_match(points: DataFrame, streets: DataFrame, most: int = 50) -> DataFrame:
-    """Points of each street whose trimmed name equals the street's or begins with it or the other way round, ``most`` by id per street; candidates share their first three characters or, where one is shorter, all of it."""
+    """Points of each street whose trimmed name, in lower case, begins with the street's or the other way round, ``most`` by id per street.
+
+    Distinct names meet by equality with the beginnings of the other side's names; a name brings its ``most`` smallest
+    ids, as no street can take others.
+    """
     a = points.select("point_id", F.lower(F.trim("street")).alias("p"))
     b = streets.select("street_id", F.lower(F.trim("street")).alias("s"))
-    key = lambda c: F.left(F.col(c), F.lit(3)).alias("k")
-    starts = lambda c: F.explode(F.array_distinct(F.array(*[F.left(F.col(c), F.lit(n)) for n in range(3)]))).alias("k")
-    pairs = a.filter(F.length("p") >= 3).select("*", key("p")).join(b.filter(F.length("s") >= 3).select("*", key("s")), "k").filter(F.startswith("p", "s") | F.startswith("s", "p"))
-    # a short name is itself one of the beginnings of the other; equal short names meet once
-    pairs = pairs.unionByName(a.select("*", starts("p")).join(b.filter(F.length("s") < 3).select("*", key("s")), "k"))
-    pairs = pairs.unionByName(a.filter(F.length("p") < 3).select("*", key("p")).join(b.select("*", starts("s")), "k").filter(F.col("p") != F.col("s")))
-    ranked = pairs.withColumn("n", F.row_number().over(Window.partitionBy("street_id").orderBy("point_id")))
-    return ranked.filter(F.col("n") <= most).select("street_id", "point_id")
+    first = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("point_id"))).filter(F.col("n") <= most).drop("n")
+    begins = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.left(F.col(c), n)))
+    names, wanted = a.select("p").distinct(), b.select("s").distinct()
+    pairs = names.select("p", begins("p").alias("s")).join(wanted, "s").select("p", "s")
+    pairs = pairs.unionByName(wanted.select("s", begins("s").alias("p")).filter(F.col("p") != F.col("s")).join(names, "p").select("p", "s"))
+    met = first(pairs.join(first(a, "p"), "p").select("s", "point_id"), "s")
+    return first(met.join(b, "s").select("street_id", "point_id"), "street_id")
 
 
 def match_coverage(streets: DataFrame, lines: DataFrame) -> DataFrame:

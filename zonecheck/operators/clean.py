@@ -91,22 +91,37 @@ def validate_domain(df: DataFrame, domains: dict[str, list[str]], key: str) -> D
 
 
 def house_from_address(c: Column | str) -> Column:
-    """The house number in a formatted address, without postal code, town and quarter; none: null."""
-    bare = F.trim(F.regexp_replace(T._col(c), r",?\s*\d{3}\s*\d{2}\s+.*$", ""))
-    found = F.regexp_extract(F.trim(F.regexp_replace(bare, r",.*$", "")), r"[/ ](\d+)\s*$", 1)
-    return F.nullif(found, F.lit(""))
+    """The house number in a formatted address, without postal code, town and quarter; none: null. What follows the first comma does not count, so the patterns see the street alone."""
+    street = F.substring_index(T._col(c), ",", 1)
+    return F.nullif(F.regexp_extract(F.trim(F.regexp_replace(street, r"\s*\d{3}\s*\d{2}\s+.*$", "")), r"[/ ](\d+)\s*$", 1), F.lit(""))
 
 
 def validate_geocodes(geocodes: DataFrame) -> DataFrame:
     """Adds found_house, valid and validation_reason (null where valid)."""
-    found = house_from_address("formatted_address")
+    found = F.col("found_house")
     reason = (
         F.when(F.col("status").isNull() | (F.col("status") != "OK"), F.concat(F.lit("status_"), F.lower(F.coalesce("status", F.lit("none")))))
         .when(found.isNull() & F.col("partial_match"), "partial_match_off_target")
         .when(found.isNull(), "no_house_in_formatted_address")
         .when(~found.eqNullSafe(F.col("house_number")), "house_number_mismatch")
     )
-    return geocodes.withColumn("found_house", found).withColumn("validation_reason", reason).withColumn("valid", F.col("validation_reason").isNull())
+    return geocodes.withColumn("found_house", house_from_address("formatted_address")).withColumn("validation_reason", reason).withColumn("valid", F.col("validation_reason").isNull())
+
+
+def house_dots(geocodes: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Houses to be shown: those with coordinates that were not found invalid (null counts as valid)."""
+    return geocodes.filter(F.coalesce("valid", F.lit(True)) & F.col(lon).isNotNull() & F.col(lat).isNotNull())
+
+
+def school_markers(schools: DataFrame, founders: DataFrame) -> DataFrame:
+    """Schools with a point, and their founder's name and type where known."""
+    named = founders.select("founder_id", F.col("name").alias("founder_name"), F.col("type").alias("founder_type"))
+    return schools.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).join(named, "founder_id", "left")
+
+
+def mismatch_points(mismatches: DataFrame, points: DataFrame) -> DataFrame:
+    """Mismatched addresses that have coordinates, with them."""
+    return mismatches.join(points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("address_id", "x", "y"), "address_id")
 
 
 def clean_register(register: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -97,6 +99,17 @@ def findings_panel(public: DataFrame) -> DataFrame:
     return public.filter(F.col("severity").isin("critical", "high", "medium"))
 
 
+def findings_panel_order(public: DataFrame) -> DataFrame:
+    """The severe findings in the order of the panel: demo rows first, then the most severe, then by id."""
+    return findings_panel(public).orderBy(F.col("is_demo").desc(), F.col("severity_rank").desc(), "finding_id")
+
+
+def district_base(districts: DataFrame, schools: DataFrame) -> DataFrame:
+    """Districts with the attributes of their school; without one they are null."""
+    s = schools.select("school_id", F.col("type").alias("own_school_type"), F.col("is_public").alias("own_school_public"), F.col("x").alias("school_x"), F.col("y").alias("school_y"))
+    return districts.join(s, "school_id", "left")
+
+
 def findings_page(findings: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
     """A page of the findings: most severe first, then newest, then by id."""
     order = [T.severity_rank("severity").desc(), F.col("created_at").desc(), F.col("finding_id")]
@@ -178,10 +191,16 @@ def walking_status(routes: DataFrame, districts: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("median_m").isNull(), "NO_DATA").when(F.col("median_m") <= limit, "PASS").when(F.col("median_m") <= limit * 1.25, "RISK").otherwise("FAIL"))
 
 
-def sample_origins(addresses: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
-    """At most ``n`` addresses per district, in the order of a seeded hash of their id."""
-    order = Window.partitionBy("district_id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("address_id").cast("string"))), "address_id")
-    return addresses.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n).drop("n")
+def sample_origins(addresses: DataFrame, n: int = 20, seed: int = 0, centroids: DataFrame | None = None, buildings: DataFrame | None = None) -> DataFrame:
+    """At most ``n`` origins per district: its centroid first, then addresses, then buildings, each kind in the order of a seeded hash of the id.
+
+    ``addresses`` has district_id, address_id and more; ``buildings`` the same, ``centroids`` district_id with a null
+    address_id. Columns that one of them lacks are null there.
+    """
+    kinds = [(centroids, "centroid"), (addresses, "address"), (buildings, "building")]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [f.withColumns({"kind": F.lit(k), "__k": F.lit(i)}) for i, (f, k) in enumerate(kinds) if f is not None])
+    order = Window.partitionBy("district_id").orderBy("__k", F.md5(F.concat(F.lit(f"{seed}:"), F.col("address_id").cast("string"))), "address_id")
+    return every.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n).drop("n", "__k")
 
 
 def with_demo_values(card: DataFrame, mock: DataFrame) -> DataFrame:

@@ -250,9 +250,32 @@ def convex_hull(points: np.ndarray) -> list[tuple[float, float]]:
     return lower[:-1] + upper[:-1]
 
 
-def area_totals(districts: DataFrame) -> DataFrame:
-    """(municipality_id, districts, area): areas summed, overlaps twice."""
-    return districts.groupBy("municipality_id").agg(F.count("*").alias("districts"), F.sum(G.area_m2(F.col("rings"))).alias("area"))
+def hull_point_counts(points: DataFrame, key: str = "district_id", least: int = 3) -> DataFrame:
+    """(key, street_points, house_points, points) of the groups with at least ``least`` points; ``points`` has source, street or house."""
+    per = points.groupBy(key).agg(F.count_if(F.col("source") == "street").alias("street_points"), F.count_if(F.col("source") == "house").alias("house_points"), F.count("*").alias("points"))
+    return per.filter(F.col("points") >= least)
+
+
+def area_totals(districts: DataFrame, boundaries: DataFrame | None = None, drift: float = 0.01) -> DataFrame:
+    """(municipality_id, districts, area): areas summed, overlaps twice. With ``boundaries`` (municipality_id, rings) also boundary_area and within: whether the two differ by at most the share ``drift``."""
+    out = districts.groupBy("municipality_id").agg(F.count("*").alias("districts"), F.sum(G.area_m2(F.col("rings"))).alias("area"))
+    if boundaries is None:
+        return out
+    bounds = boundaries.groupBy("municipality_id").agg(F.sum(G.area_m2(F.col("rings"))).alias("boundary_area"))
+    return out.join(bounds, "municipality_id", "left").withColumn("within", F.abs(F.col("area") - F.col("boundary_area")) <= drift * F.col("boundary_area"))
+
+
+def overlays_in_scope(polygons: DataFrame, districts: DataFrame, key: str, cell: float = 1000.0) -> DataFrame:
+    """The polygons that share area with at least one district."""
+    met = _candidates(polygons, districts, key, "district_id", cell, None)
+    shared = with_shared_area(met.select(F.col("a").alias("__a"), F.col("pa.rings").alias("rings_a"), F.col("pb.rings").alias("rings_b"))).filter("area > 0")
+    return polygons.join(shared.select("__a").distinct(), polygons[key] == F.col("__a"), "left_semi")
+
+
+def all_overlaps(detected: DataFrame, stored: DataFrame) -> DataFrame:
+    """Detected and stored overlaps (a, b, municipality_id, area) in one table, with their origin."""
+    columns = ["a", "b", "municipality_id", "area"]
+    return detected.select(*columns, F.lit("detected").alias("origin")).unionByName(stored.select(*columns, F.lit("stored").alias("origin")))
 
 
 def coverage_gap_area(cells: DataFrame, districts: DataFrame, cell: float) -> DataFrame:

@@ -6,6 +6,8 @@ A cell (municipality_id, cx, cy) belongs to the district of the seed nearest to
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,15 +22,19 @@ def raster(boundaries: DataFrame, cell: float) -> DataFrame:
     return cells.withColumn("x", (F.col("cx") + 0.5) * cell).withColumn("y", (F.col("cy") + 0.5) * cell)
 
 
-def tessellate(cells: DataFrame, seeds: DataFrame, tile: float = 1000.0) -> DataFrame:
+def tessellate(cells: DataFrame, seeds: DataFrame, tile: float | None = None) -> DataFrame:
     """(municipality_id, cx, cy, district_id, distance): the owner of each cell of a municipality that has seeds.
 
     Cells look at the seeds of their own tile and the eight around it; one whose nearest seed may lie further goes to
-    the next pass with tiles of twice the size, until all have an owner. A pass joins on the tile, so that no cell meets
-    the seeds of a whole municipality.
+    the next pass with tiles of four times the size, until all have an owner. A pass joins on the tile, so that no cell
+    meets the seeds of a whole municipality; the first tile, unless given, holds about four seeds.
     """
     todo = cells.join(seeds.select("municipality_id").distinct(), "municipality_id", "left_semi")
     s = seeds.select("municipality_id", "district_id", F.col("x").alias("sx"), F.col("y").alias("sy")).distinct()
+    if tile is None:
+        boxes = s.groupBy("municipality_id").agg(F.count("*").alias("n"), ((F.max("sx") - F.min("sx")) * (F.max("sy") - F.min("sy"))).alias("area"))
+        n, area = boxes.agg(F.sum("n"), F.sum("area")).first()
+        tile = math.sqrt(4 * area / n) if n and area else 1000.0
     extent = s.agg(F.max(F.greatest(F.abs("sx"), F.abs("sy")))).first()[0] or 0.0
     far = cells.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
     done = None
@@ -153,6 +159,16 @@ def part_evidence(labelled: DataFrame, houses: DataFrame, cell: float) -> DataFr
     return labelled.join(per, ["municipality_id", "district_id", "cx", "cy"], "left").groupBy("municipality_id", "district_id", "part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("houses"))
 
 
+def island_stats(labelled: DataFrame, houses: DataFrame, cell: float) -> DataFrame:
+    """(municipality_id, district_id, part, area_m2, streets, house_numbers, houses) of each part: its area, the sorted distinct streets and house numbers of the district's houses (municipality_id, district_id, street, house_number, x, y) in it, and their count."""
+    keys = ["municipality_id", "district_id"]
+    h = houses.select(*keys, "street", "house_number", F.floor(F.col("x") / cell).cast("long").alias("cx"), F.floor(F.col("y") / cell).cast("long").alias("cy"))
+    inside = h.join(labelled, [*keys, "cx", "cy"]).groupBy(*keys, "part").agg(F.array_sort(F.collect_set("street")).alias("streets"), F.array_sort(F.collect_set("house_number")).alias("house_numbers"), F.count("*").alias("houses"))
+    none = F.array().cast("array<string>")
+    filled = part_areas(labelled, cell).join(inside, [*keys, "part"], "left")
+    return filled.withColumns({"streets": F.coalesce("streets", none), "house_numbers": F.coalesce("house_numbers", none), "houses": F.coalesce("houses", F.lit(0))})
+
+
 def keep_non_empty(evidence: DataFrame, areas: DataFrame) -> DataFrame:
     """Parts with houses; of a district whose parts are all empty the largest."""
     one = Window.partitionBy("district_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import assign, clean, serve, spatial, tessellate
 from .queries import CLEAN, COMPOSED, STREETS, composed, neat, query, streets
-from .spatial_queries import CELL, FAILURES, OWNED, PAIRS, PARTS, addresses, boxes, districts, owned
+from .spatial_queries import CELL, FAILURES, OWNED, PAIRS, addresses, districts
 from .views import Views
 
 
@@ -48,15 +48,11 @@ def islands_view(v: Views) -> DataFrame:
     return serve.islands_view(islands).select("district_id", "street_count", "house_count")
 
 
-@query(f"""WITH {PARTS}, m AS (SELECT district_id FROM parts GROUP BY 1 HAVING count(*) > 1), l AS (SELECT district_id, arg_max(verdict_id, epoch_us(CAST(computed_at AS TIMESTAMP)) * 100000::HUGEINT + verdict_id) AS verdict_id FROM f_verdict WHERE condition_code = 'S2' GROUP BY 1)
- SELECT m.district_id, l.verdict_id, 'S2' AS condition_code, 'medium' AS severity, 'open' AS status, 'geo:multipart:' || m.district_id AS tag FROM m LEFT JOIN l ON l.district_id = m.district_id""")
-def multipart_findings(v: Views) -> DataFrame:
-    return serve.multipart_findings(boxes(v), v("f_verdict"))
-
-
-@query("SELECT municipality_id, count(*) AS districts, sum((x1 - x0) * (y1 - y0)) AS area FROM f_district GROUP BY 1")
+@query("""WITH b AS (SELECT municipality_id, (max(x1) - min(x0)) * (max(y1) - min(y0)) AS boundary_area FROM f_district GROUP BY 1), a AS (SELECT municipality_id, count(*) AS districts, sum((x1 - x0) * (y1 - y0)) AS area FROM f_district GROUP BY 1)
+ SELECT a.municipality_id, districts, area, boundary_area, abs(area - boundary_area) <= 0.02 * boundary_area AS within FROM a JOIN b ON b.municipality_id = a.municipality_id""")
 def area_totals(v: Views) -> DataFrame:
-    return spatial.area_totals(districts(v))
+    bounds = v("f_district").groupBy("municipality_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return spatial.area_totals(districts(v), spatial.box_polygons(bounds), drift=0.02)
 
 
 @query(f"""WITH {OWNED}, h AS (SELECT c.municipality_id, c.cx, c.cy, count(d.district_id) AS n FROM cells c LEFT JOIN f_district d ON d.municipality_id = c.municipality_id AND c.x >= d.x0 AND c.x <= d.x1 AND c.y >= d.y0 AND c.y <= d.y1 GROUP BY 1, 2, 3)
@@ -66,23 +62,33 @@ def coverage_gap_area(v: Views) -> DataFrame:
     return spatial.coverage_gap_area(tessellate.raster(bounds, CELL), districts(v), CELL)
 
 
-@query("SELECT district_id, sqrt(40.0 * 40.0 + 30.0 * 30.0) AS distance FROM f_district")
+# each outline moved by a distance of its own
+@query("SELECT district_id, sqrt(pow(district_id % 50 + 1, 2) + pow(district_id % 31, 2)) AS distance FROM f_district")
 def hausdorff(v: Views) -> DataFrame:
-    moved = v("f_district").withColumns({"x0": F.col("x0") + 40, "x1": F.col("x1") + 40, "y0": F.col("y0") + 30, "y1": F.col("y1") + 30})
+    dx, dy = F.col("district_id") % 50 + 1, F.col("district_id") % 31
+    moved = v("f_district").withColumns({"x0": F.col("x0") + dx, "x1": F.col("x1") + dx, "y0": F.col("y0") + dy, "y1": F.col("y1") + dy})
     return spatial.hausdorff(districts(v), spatial.box_polygons(moved), "district_id")
 
 
-@query("SELECT district_id, true AS valid, CAST(NULL AS VARCHAR) AS reason FROM f_district")
+# outlines with each fault: crossing itself, unclosed, too short, without points; the rest are fine
+@query("SELECT district_id, CASE WHEN district_id % 6 IN (1, 2, 3, 4) THEN false ELSE true END AS valid, CASE district_id % 6 WHEN 1 THEN 'self-intersection' WHEN 2 THEN 'unclosed' WHEN 3 THEN 'fewer than 4 points' WHEN 4 THEN 'empty' END AS reason FROM f_district")
 def validity(v: Views) -> DataFrame:
-    return spatial.validity(districts(v), "district_id")
+    p = [F.col("rings")[0]["pts"][i] for i in range(5)]
+    k = F.col("district_id") % 6
+    ring = F.when(k == 1, F.array(p[0], p[2], p[1], p[3], p[0])).when(k == 2, F.array(*p[:4])).when(k == 3, F.array(p[0], p[1], p[0])).when(k == 4, F.array_except(F.array(p[0]), F.array(p[0]))).otherwise(F.array(*p))
+    return spatial.validity(districts(v).select("district_id", F.array(F.struct(F.lit(False).alias("hole"), ring.alias("pts"))).alias("rings")), "district_id")
 
 
-@query("SELECT district_id, CAST(5 AS BIGINT) AS points, (x1 - x0) * (y1 - y0) AS area FROM f_district")
+# outlines with a point every 60 m and, on the lower side, one that stands off by 0 to 3 m: from more than 1 m on it stays
+@query("SELECT district_id, CAST(CASE WHEN district_id % 4 > 1 THEN 6 ELSE 5 END AS BIGINT) AS points, (x1 - x0) * (y1 - y0) + CASE WHEN district_id % 4 > 1 THEN (district_id % 4) * (x1 - x0) / 2 ELSE 0 END AS area FROM f_district")
 def simplify(v: Views) -> DataFrame:
     from ..functions import geo as G
 
-    dense = districts(v).withColumn("rings", F.transform("rings", lambda r: F.struct(r["hole"].alias("hole"), G.segmentize(r["pts"], 60.0).alias("pts"))))
-    thin = spatial.simplify(dense.select("district_id", "rings"), 1.0)
+    p = [F.col("rings")[0]["pts"][i] for i in range(5)]
+    off = F.struct(((F.col("x0") + F.col("x1")) / 2).alias("x"), (F.col("y0") - F.col("district_id") % 4).alias("y"))
+    ring = G.segmentize(F.array(p[0], off, *p[1:]), 60.0)
+    dense = districts(v).select("district_id", F.array(F.struct(F.lit(False).alias("hole"), ring.alias("pts"))).alias("rings"))
+    thin = spatial.simplify(dense, 1.0)
     return thin.select("district_id", F.size(F.col("rings")[0]["pts"]).cast("long").alias("points"), G.area_m2(F.col("rings")).alias("area"))
 
 
@@ -90,26 +96,3 @@ def simplify(v: Views) -> DataFrame:
  SELECT 'T1 validity' AS "check", CAST(0 AS BIGINT) AS failures UNION ALL SELECT 'T2 coverage', count(*) FROM fails UNION ALL SELECT 'T3 overlaps', count(*) FROM pairs UNION ALL SELECT 'T4 school inside', count(*) FROM s WHERE n = 0""")
 def topology_report(v: Views) -> DataFrame:
     return spatial.topology_report(districts(v), addresses(v), v("f_school"))
-
-
-@query()
-def connect_islands(v: Views) -> DataFrame:
-    out = tessellate.connect_islands(tessellate.parts(owned(v)), v("f_seed").select("municipality_id", "district_id", "x", "y"), CELL)
-    return out.select("municipality_id", "district_id", "part", "area_m2", "houses", F.size("blockers").alias("blockers"), "status")
-
-
-@query()
-def absorb_evidenceless(v: Views) -> DataFrame:
-    houses = spatial.points_in_polygons(addresses(v), districts(v)).select("municipality_id", "district_id", "x", "y")
-    return tessellate.district_cells(tessellate.absorb_evidenceless(owned(v), houses, CELL, max_km2=10.0, passes=2), CELL)
-
-
-@query()
-def longest_border_neighbour(v: Views) -> DataFrame:
-    return tessellate.longest_border_neighbour(tessellate.parts(owned(v)))
-
-
-@query(f"WITH {OWNED}, h AS (SELECT municipality_id, district_id, CAST(floor(x / {CELL}) AS BIGINT) AS cx, CAST(floor(y / {CELL}) AS BIGINT) AS cy FROM f_seed) SELECT o.district_id, count(h.district_id) AS houses FROM owned o LEFT JOIN h ON h.municipality_id = o.municipality_id AND h.district_id = o.district_id AND h.cx = o.cx AND h.cy = o.cy GROUP BY 1")
-def part_evidence(v: Views) -> DataFrame:
-    per = tessellate.part_evidence(tessellate.parts(owned(v)), v("f_seed"), CELL)
-    return per.groupBy("district_id").agg(F.sum("houses").alias("houses"))

@@ -241,7 +241,7 @@ def expand_ranges(v: Views) -> DataFrame:
 
 @query(f"""WITH {EXPANDED}, done AS (SELECT DISTINCT district_id, street, TRY_CAST(house_number AS INT) AS h FROM f_house_geocode WHERE status = 'OK'),
  k AS (SELECT *, row_number() OVER (PARTITION BY district_id, street ORDER BY house_number) - 1 AS i, count(*) OVER (PARTITION BY district_id, street) AS n FROM ex),
- picked AS (SELECT * FROM k WHERE n <= 10 OR i IN (SELECT (j.j * k.n) // 10 FROM range(10) j(j)))
+ picked AS (SELECT * FROM k WHERE n <= 100 OR i IN (SELECT (j.j * k.n) // 100 FROM range(100) j(j)))
  SELECT district_id, street, CAST(house_number AS INT) AS house_number FROM picked p WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.district_id = p.district_id AND d.street = p.street AND d.h = p.house_number)""")
 def house_worklist(v: Views) -> DataFrame:
     done = v("f_house_geocode").filter("status = 'OK'").select("district_id", "street", F.col("house_number").try_cast("int").alias("house_number"))

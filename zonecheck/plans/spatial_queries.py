@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import assign, clean, rules, serve, spatial, tessellate
-from .queries import CLEAN, EXPANDED, LATEST, STREETS, VALID, composed, neat, query, streets
+from .queries import CLEAN, STREETS, neat, query, streets
 from .views import Views
 
 CELL = 100.0
@@ -110,24 +110,14 @@ def ordered_mismatches(v: Views) -> DataFrame:
     return spatial.mismatch_rows(consistency(v)).orderBy(F.col("vzn_district_id").desc_nulls_last(), "address_id")
 
 
-@query()
-def hulls(v: Views) -> DataFrame:
-    return spatial.hulls(v("f_seed"), "district_id").select("district_id", "n", F.size("hull").alias("corners"), "area")
-
-
-@query("SELECT district_id, count(*) AS points FROM f_seed GROUP BY 1 HAVING count(*) >= 3")
-def hull_point_counts(v: Views) -> DataFrame:
-    return v("f_seed").groupBy("district_id").agg(F.count("*").alias("points")).filter("points >= 3")
-
-
 # --- tessellation
 
+# coordinates of seeds and of the middles of cells are whole metres, so squared distances are whole numbers
 BOUNDS = "bounds AS (SELECT municipality_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM f_district GROUP BY 1)"
 OWNED = f"""{BOUNDS}, cx AS (SELECT municipality_id, y0, y1, unnest(range(CAST(ceil(x0 / {CELL} - 0.5) AS BIGINT), CAST(ceil(x1 / {CELL} - 0.5) AS BIGINT))) AS cx FROM bounds),
  cells AS (SELECT municipality_id, cx, cy, (cx + 0.5) * {CELL} AS x, (cy + 0.5) * {CELL} AS y FROM (SELECT municipality_id, cx, unnest(range(CAST(ceil(y0 / {CELL} - 0.5) AS BIGINT), CAST(ceil(y1 / {CELL} - 0.5) AS BIGINT))) AS cy FROM cx) t),
- near AS (SELECT c.municipality_id, c.cx, c.cy, s.district_id, row_number() OVER (PARTITION BY c.municipality_id, c.cx, c.cy ORDER BY (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y), s.district_id, s.x, s.y) AS n
-  FROM cells c JOIN (SELECT DISTINCT municipality_id, district_id, x, y FROM f_seed) s ON s.municipality_id = c.municipality_id),
- owned AS (SELECT municipality_id, cx, cy, district_id FROM near WHERE n = 1)"""
+ owned AS (SELECT c.municipality_id, c.cx, c.cy, min(CAST((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) AS BIGINT) * 1000000 + s.district_id) % 1000000 AS district_id
+  FROM cells c JOIN (SELECT DISTINCT municipality_id, district_id, x, y FROM f_seed) s ON s.municipality_id = c.municipality_id GROUP BY 1, 2, 3)"""
 
 
 def owned(v: Views) -> DataFrame:
@@ -145,60 +135,16 @@ def district_cells(v: Views) -> DataFrame:
     return tessellate.district_cells(owned(v), CELL)
 
 
-@query()
-def parts(v: Views) -> DataFrame:
-    return tessellate.part_areas(tessellate.parts(owned(v)), CELL)
-
-
-@query()
-def absorb_slivers(v: Views) -> DataFrame:
-    return tessellate.district_cells(tessellate.absorb_slivers(owned(v), CELL), CELL)
-
-
-# the parts of a municipality: its districts' boxes, named as parts of an owner
-PARTS = "parts AS (SELECT municipality_id AS district_id, district_id AS part, (x1 - x0) * (y1 - y0) AS area_m2 FROM f_district)"
-
-
-def boxes(v: Views) -> DataFrame:
-    return v("f_district").select(F.col("municipality_id").alias("district_id"), F.col("district_id").alias("part"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area_m2"))
-
-
-@query(f"WITH {PARTS} SELECT *, sum(area_m2) OVER w AS total_m2, count(*) OVER w AS parts, area_m2 / sum(area_m2) OVER w AS share FROM parts WINDOW w AS (PARTITION BY district_id)")
-def part_shares(v: Views) -> DataFrame:
-    return tessellate.part_shares(boxes(v))
-
-
-@query(f"WITH {PARTS}, s AS (SELECT *, sum(area_m2) OVER (PARTITION BY district_id) AS total_m2, count(*) OVER (PARTITION BY district_id) AS n FROM parts) SELECT district_id, part, area_m2 FROM s WHERE n > 1 AND area_m2 < 1000000 AND area_m2 / total_m2 < 0.048")
-def sliver_parts(v: Views) -> DataFrame:
-    return tessellate.sliver_parts(boxes(v), max_km2=1.0, max_share=0.048).select("district_id", "part", "area_m2")
-
-
-@query(f"WITH {PARTS}, r AS (SELECT *, row_number() OVER (PARTITION BY district_id ORDER BY area_m2 DESC, part) AS n FROM parts) SELECT district_id, part, area_m2, CASE WHEN n = 1 THEN 'main_body' ELSE 'unresolved_anomaly' END AS status, CASE WHEN n > 1 THEN 'multi_part_review' END AS anomaly_type, CASE WHEN n > 1 THEN 'medium' END AS severity FROM r")
-def mark_main_body(v: Views) -> DataFrame:
-    return tessellate.mark_main_body(boxes(v))
-
-
-@query(f"WITH {PARTS} SELECT *, CAST(row_number() OVER (PARTITION BY district_id ORDER BY area_m2 DESC, part) AS INT) AS rank FROM parts QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY area_m2 DESC, part) <= 3")
-def top_parts(v: Views) -> DataFrame:
-    return tessellate.top_parts(boxes(v))
-
-
-@query(f"WITH {PARTS} SELECT district_id, count(*) AS parts, max(area_m2) AS largest, min(area_m2) AS smallest, sum(area_m2) AS total FROM parts GROUP BY 1")
-def island_report(v: Views) -> DataFrame:
-    return tessellate.island_report(boxes(v))
-
-
-@query(f"WITH {PARTS} SELECT district_id, count(*) AS parts, count(*) - 1 AS anomalies FROM parts GROUP BY 1")
-def island_summary(v: Views) -> DataFrame:
-    return tessellate.island_summary(tessellate.mark_main_body(boxes(v)))
-
-
 # --- samples, work lists, upserts, counts
 
 
-@query(f"WITH {HITS}, r AS (SELECT district_id, address_id, row_number() OVER (PARTITION BY district_id ORDER BY md5('0:' || CAST(address_id AS VARCHAR)), address_id) AS n FROM hits) SELECT district_id, address_id FROM r WHERE n <= 20")
+@query(f"""WITH {HITS}, o AS (SELECT district_id, CAST(NULL AS BIGINT) AS address_id, 0 AS k FROM f_district UNION ALL SELECT district_id, address_id, 1 FROM hits UNION ALL SELECT district_id, address_id + 1000000, 2 FROM hits WHERE address_id % 3 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY district_id ORDER BY k, md5('0:' || CAST(address_id AS VARCHAR)), address_id) AS n FROM o) SELECT district_id, address_id, CASE k WHEN 0 THEN 'centroid' WHEN 1 THEN 'address' ELSE 'building' END AS kind FROM r WHERE n <= 20""")
 def sample_origins(v: Views) -> DataFrame:
-    return serve.sample_origins(spatial.points_in_polygons(addresses(v), districts(v))).select("district_id", "address_id")
+    inside = spatial.points_in_polygons(addresses(v), districts(v)).select("district_id", "address_id")
+    centroids = v("f_district").select("district_id", F.lit(None).cast("long").alias("address_id"))
+    buildings = inside.filter("address_id % 3 = 0").withColumn("address_id", F.col("address_id") + 1000000)
+    return serve.sample_origins(inside, centroids=centroids, buildings=buildings).select("district_id", "address_id", "kind")
 
 
 @query("SELECT ulica AS adresa, min(register_id % 3) AS tier, arg_min(register_id, (register_id % 3) * 1000000000 + register_id) AS register_id FROM f_register GROUP BY 1")

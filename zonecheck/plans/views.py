@@ -59,7 +59,7 @@ SELECT DISTINCT l_suppkey AS district_id, s.street,
  CASE l_orderkey % 5 WHEN 0 THEN 'all' WHEN 1 THEN 'odd' WHEN 2 THEN 'even' WHEN 3 THEN 'range' ELSE 'single' END AS range_type,
  CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS lo,
  CASE WHEN l_orderkey % 5 IN (1,2,3) THEN CAST(l_quantity AS INT) + 20 ELSE NULL END AS hi
-FROM lineitem JOIN f_street s ON s.street_id = l_partkey WHERE l_orderkey % 40 < 5
+FROM lineitem JOIN f_street s ON s.street_id = l_partkey
 """,
     "f_house_geocode": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS district_id, s.street,
@@ -79,7 +79,7 @@ SELECT event_id AS verdict_id, user_id % ns AS district_id,
   WHEN event_id % 9 < 7 THEN CASE event_type WHEN 'error' THEN 'RISK' WHEN 'view' THEN 'INSUFFICIENT_DATA' WHEN 'click' THEN 'FAIL' ELSE 'PASS' END
   ELSE CASE event_type WHEN 'error' THEN 'SIGNAL' WHEN 'view' THEN 'NOT_EVALUATED' ELSE 'NO_SIGNAL' END END AS value,
  event_id % 9 = 5 AND event_id % 2 = 0 AS is_illustrative, floor(value * 2) / 1000 AS confidence, ts AS computed_at,
- 'v' || CAST(event_id % 3 AS VARCHAR(9)) AS engine_version, p.url AS source, substr(d.text, 1, 600) AS evidence_text
+ 'v' || CAST(event_id % 3 AS VARCHAR(9)) AS engine_version, p.url AS source, d.text AS evidence_text
 FROM events CROSS JOIN (SELECT count(*) AS np FROM pages) a CROSS JOIN (SELECT count(*) AS nd FROM documents) b
  CROSS JOIN (SELECT count(*) AS ns FROM supplier) c
 JOIN pages p ON p.page_id = event_id % np JOIN documents d ON d.doc_id = event_id % nd
@@ -98,7 +98,7 @@ SELECT l_orderkey AS origin_id, l_linenumber AS origin_no, l_suppkey AS district
     "f_seed": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS district_id, CAST(floor(l_suppkey / 20) AS BIGINT) AS municipality_id,
  CAST(1000 * (l_suppkey % 10) + (l_orderkey * 37 + l_partkey * 11) % 1400 AS DOUBLE) AS x,
- CAST(1000 * floor(l_suppkey / 10) + (l_orderkey * 53 + l_partkey * 7) % 1400 AS DOUBLE) AS y FROM lineitem WHERE l_orderkey % 25 = 0
+ CAST(1000 * floor(l_suppkey / 10) + (l_orderkey * 53 + l_partkey * 7) % 1400 AS DOUBLE) AS y FROM lineitem
 """,
 }
 

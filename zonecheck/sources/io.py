@@ -113,6 +113,14 @@ def catalogue(spark: SparkSession, key: str, completeness: int, validity: int, v
     return spark.range(1).select(F.lit(key).alias("key"), F.lit(completeness).alias("completeness"), F.lit(validity).alias("validity"), F.lit(version).alias("version"), F.current_timestamp().alias("fetched_at"), F.lit(status).alias("status"))
 
 
+def measured(df: DataFrame, key: str, required: list[str], valid: Column, version: str) -> DataFrame:
+    """A row of the data catalogue with completeness and validity from 1 to 10: the share of ``required`` fields that are filled, and of rows that are ``valid``. An empty table has 1 and 1."""
+    mark = lambda share: F.greatest(F.lit(1), F.ceil(F.coalesce(share, F.lit(0.0)) * 10)).cast("int")
+    filled = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in required), F.lit(0))
+    one = df.agg(F.count("*").alias("n"), F.sum(filled).alias("f"), F.count_if(F.coalesce(valid, F.lit(False))).alias("v"))
+    return one.select(F.lit(key).alias("key"), "n", mark(F.try_divide("f", F.col("n") * len(required))).alias("completeness"), mark(F.try_divide("v", "n")).alias("validity"), F.lit(version).alias("version"))
+
+
 def with_provenance(df: DataFrame, source: str, date: str, quality: int) -> DataFrame:
     """Adds source columns and the same as a JSON text."""
     named = {"source": F.lit(source), "source_date": F.lit(date).cast("date"), "source_quality": F.lit(quality)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; below a temporary one where that is unset, as in tests."""
+    """A new folder below the session's ``spark.checkpoint.dir``. Where that is unset, a session in one process (``local``), as in tests, gets a temporary one; on a cluster it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _own[0]

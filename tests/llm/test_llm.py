@@ -106,6 +106,63 @@ def test_fitting_takes_no_held_out_labels(spark):
     assert model.langs == ["only"]
 
 
+def brute_inference(model, text, penalty, temper, rounds):
+    """EM and the choice of the set for one text, word by word."""
+    import math
+
+    logp = model.logp.astype(float)
+    words = []
+    for w in re.findall(r"[^\W\d_]+", text):
+        grams = language_id.words_of([w]).grams
+        logs = [temper * sum(logp[g][k] for g in grams) for k in range(len(model.langs))]
+        words.append([math.exp(max(x - max(logs), -60.0)) for x in logs])
+
+    def mixture(langs, n):
+        share = {k: 1 / len(langs) for k in langs}
+        for _ in range(n):
+            sums = dict.fromkeys(langs, 0.0)
+            for w in words:
+                total = sum(share[k] * w[k] for k in langs)
+                for k in langs:
+                    sums[k] += share[k] * w[k] / total
+            share = {k: x / len(words) for k, x in sums.items()}
+        return share, sum(math.log(sum(share[k] * w[k] for k in langs)) for w in words)
+
+    every = list(range(len(model.langs)))
+    share, _ = mixture(every, rounds)
+    order = sorted(every, key=lambda k: -share[k])
+    best = None
+    for size in range(1, len(order) + 1):
+        got, fit = mixture(order[:size], rounds if size > 1 else 0)
+        value = fit - penalty * math.log(len(words) + 1) * size
+        if best is not None and value <= best[0]:
+            break
+        best = (value, got, size)
+    lead = max(best[1], key=best[1].get)
+    return lead, best[1][lead], best[2]
+
+
+def test_inference_against_brute_force(spark, monkeypatch):
+    base = {"aa": "lorem ipsum dolor amet consectetur sit", "bb": "das ist ein haus und der garten", "cc": "çà été où naïve élève dor", "dd": "the house and the green garden is"}
+    r = random.Random(6)
+    made = [(i, " ".join(r.choice(base[lang].split()) for _ in range(20)), lang) for i in range(200) for lang in [sorted(base)[i % 4]]]
+    model = language_id.fit(spark.createDataFrame([*made, (None, "das haus", None), (None, None, "aa")], "doc_id long, text string, lang string"))
+    texts = [" ".join(r.choice(base[r.choice(langs)].split()) for _ in range(r.randrange(1, 60))) for _ in range(80) for langs in [r.sample(sorted(base), r.randrange(1, 4))]]
+    best, score, kept = language_id.infer(model, texts, 3.0, 0.5, 8)
+    expected = [brute_inference(model, t, 3.0, 0.5, 8) for t in texts]
+    assert [e[0] for e in expected] == best.tolist() and [e[2] for e in expected] == kept.tolist() and len(set(kept.tolist())) > 1
+    assert np.allclose([e[1] for e in expected], score, atol=1e-4)
+    # a text in pieces gives what the whole gives
+    long = " ".join(texts) + " 123 "
+    whole = language_id.infer(model, [long], 3.0, 0.5, 8)
+    monkeypatch.setattr(language_id, "CHUNK", 100)
+    assert "".join(language_id.pieces(long)) == long and max(map(len, language_id.pieces(long))) <= 100
+    parts = language_id.infer(model, [long], 3.0, 0.5, 8)
+    assert whole[0] == parts[0] and abs(whole[1][0] - parts[1][0]) < 1e-6 and whole[2] == parts[2]
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language_id.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"), most=3)
+
+
 # --- 3
 
 

@@ -25,6 +25,8 @@ ORDERS = (1, 2, 3)
 #: Code points of text that are worked on at once.
 CHUNK = 1 << 18
 UNKNOWN = "und"
+#: Languages of a model; with BUCKETS it bounds what is collected and broadcast, four bytes for each bucket and language.
+MOST = 400
 
 
 class Model(NamedTuple):
@@ -85,6 +87,19 @@ def words_of(texts: list[str]) -> Words:
     return Words(starts, doc, grams)
 
 
+def pieces(text: str) -> Iterator[str]:
+    """``text`` in pieces of at most CHUNK characters, cut where no word is, unless a word is longer than a piece."""
+    at = 0
+    while at < len(text):
+        end = min(at + CHUNK, len(text))
+        cut = end
+        while end < len(text) and cut > at and text[cut - 1].isalpha():
+            cut -= 1
+        end = cut if cut > at else end
+        yield text[at:end]
+        at = end
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Runs of (first row, texts) of about CHUNK characters; null counts as empty."""
     first, run, size = 0, [], 0
@@ -99,11 +114,11 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, run
 
 
-def fit(labelled: DataFrame, smoothing: float = 0.5) -> Model:
+def fit(labelled: DataFrame, smoothing: float = 0.5, most: int = MOST) -> Model:
     """The model of the labelled texts (columns text, lang), all of them; rows without lang are left out.
 
-    Each task counts n-grams over its rows and gives one row per language, then counts are summed per language; the
-    driver gets one row of BUCKETS counts per language.
+    Each task counts n-grams over its rows and gives one row per language and bucket, then counts are summed; the
+    driver gets BUCKETS counts per language, of which there are ``most`` at most: more are an error.
     """
     frame = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
@@ -113,7 +128,7 @@ def fit(labelled: DataFrame, smoothing: float = 0.5) -> Model:
             langs = batch.column(0).to_pylist()
             names = sorted(set(langs))
             number = np.array([names.index(x) for x in langs])
-            for first, texts in chunks(batch.column(1)):
+            for first, texts in ((first, part) for first, run in chunks(batch.column(1)) for part in ([[p] for p in pieces(run[0])] if len(run) == 1 else [run])):
                 words = words_of(texts)
                 of = number[first + words.doc]
                 each = np.repeat(of, np.diff(words.starts))
@@ -127,41 +142,63 @@ def fit(labelled: DataFrame, smoothing: float = 0.5) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int32()), pa.array(got[part], pa.int64())], names=["lang", "bucket", "n"])
 
     counted = frame.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = counted.persist()
+    found = counted.select("lang").distinct().limit(most + 1).count()
+    if found > most:
+        raise ValueError(f"more than {most} languages")
     rows = counted.toPandas()
+    counted.unpersist()
     langs = sorted(set(rows["lang"]))
     table = np.full((BUCKETS, max(1, len(langs))), smoothing)
     table[rows["bucket"].to_numpy(int), np.searchsorted(langs, rows["lang"].to_numpy(str)) if langs else []] += rows["n"].to_numpy(float)
     return Model(langs, np.log(table / table.sum(0)).astype(np.float32))
 
 
-def _mixture(like: np.ndarray, doc: np.ndarray, n_docs: int, used: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, ln likelihood up to a term per word) of each document over its set of languages."""
+def _mixture(like: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, used: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, ln likelihood up to a term per word) of each document over its set of languages; ``weight`` is how often a word occurs."""
     share = used / used.sum(1, keepdims=True)
     bounds = np.flatnonzero(np.diff(doc, prepend=-1))
     for _ in range(rounds):
         part = share[doc] * like
-        part /= part.sum(1, keepdims=True) + 1e-300
+        part *= weight[:, None] / (part.sum(1, keepdims=True) + 1e-300)
         share[doc[bounds]] = np.add.reduceat(part, bounds, 0)
         share /= share.sum(1, keepdims=True) + 1e-300
     fit = np.zeros(n_docs)
-    fit[doc[bounds]] = np.add.reduceat(np.log((share[doc] * like).sum(1) + 1e-300), bounds)
+    fit[doc[bounds]] = np.add.reduceat(np.log((share[doc] * like).sum(1) + 1e-300) * weight, bounds)
     return share, fit
 
 
+def _words(model: Model, texts: list[str], temper: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, tempered ln likelihoods, number of occurrences) of each word; of a text that is longer than a chunk, taken in pieces, equal rows are one."""
+    if len(texts) == 1 and len(texts[0]) > CHUNK:
+        rows, weight = np.zeros((0, len(model.langs))), np.zeros(0)
+        for piece in pieces(texts[0]):
+            _, more, one = _words(model, [piece], temper)
+            rows, at = np.unique(np.concatenate([rows, more]), axis=0, return_inverse=True)
+            weight = np.bincount(at.reshape(-1), np.concatenate([weight, one]), len(rows))
+        return np.zeros(len(rows), np.int64), rows, weight
+    words = words_of(texts)
+    if not len(words.doc):
+        return words.doc, np.zeros((0, len(model.langs))), np.zeros(0)
+    logs = np.add.reduceat(model.logp[words.grams], words.starts[:-1], 0).astype(np.float64) * temper
+    return words.doc, logs, np.ones(len(logs))
+
+
 def infer(model: Model, texts: list[str], penalty: float, temper: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the leading language, -1 for none; its proportion; number of languages kept) of each text."""
     n, many = len(texts), len(model.langs)
     best, score, kept = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
-    words = words_of(texts)
-    if not many or not len(words.doc):
+    if not many:
+        return best, score, kept
+    of, logs, weight = _words(model, texts, temper)
+    if not len(of):
         return best, score, kept
-    logs = np.add.reduceat(model.logp[words.grams], words.starts[:-1], 0).astype(np.float64) * temper
     like = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -60.0))
-    present = np.unique(words.doc)
-    doc = np.searchsorted(present, words.doc)
+    present = np.unique(of)
+    doc = np.searchsorted(present, of)
     d = len(present)
-    cost = penalty * np.log(np.bincount(doc, minlength=d) + 1.0)
-    share, _ = _mixture(like, doc, d, np.ones((d, many)), rounds)
+    cost = penalty * np.log(np.bincount(doc, weight, d) + 1.0)
+    share, _ = _mixture(like, doc, weight, d, np.ones((d, many)), rounds)
     order = np.argsort(-share, 1, kind="stable")
     chosen, value = np.zeros((d, many)), np.full(d, -np.inf)
     number, open_ = np.ones(d, np.int64), np.arange(d)
@@ -169,7 +206,7 @@ def infer(model: Model, texts: list[str], penalty: float, temper: float, rounds:
         used = np.zeros((len(open_), many))
         np.put_along_axis(used, order[open_, :size], 1.0, 1)
         mine = np.isin(doc, open_)
-        got, fit = _mixture(like[mine], np.searchsorted(open_, doc[mine]), len(open_), used, rounds if size > 1 else 0)
+        got, fit = _mixture(like[mine], np.searchsorted(open_, doc[mine]), weight[mine], len(open_), used, rounds if size > 1 else 0)
         fit -= cost[open_] * size
         better = fit > value[open_]
         winners = open_[better]

@@ -589,3 +589,54 @@ def test_pipeline_stages(spark, docs, tmp_path):
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))
         assert stage.columns == frame.columns
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import tiktoken
+
+    r = random.Random(31)
+    pool = [prose(f"shared {k}", 12) for k in range(12)]
+    german = "das ist ein haus und der garten am alten see mit brücke".split()
+    texts = {}
+    for i in range(90):
+        own = [prose(f"own {i} {k}", 14) for k in range(r.randrange(1, 4))]
+        at = r.randrange(len(pool) - 2)
+        texts[i] = "\n".join(own + r.choice([[], pool[at : at + 2], [pool[at]]]) + [f"document {i} ends here and no other one does"])
+    for i in range(90, 120):  # near copies in one line each, so that lines are not shared
+        w = prose(f"group {i % 3}", 90).split()
+        for k in range(r.randrange(0, 4)):
+            w[r.randrange(90)] = f"edit{i}x{k}"
+        texts[i] = " ".join(w)
+    texts |= {120 + i: " ".join(r.choice(german) for _ in range(25)) + f" nummer {i}" for i in range(20)}
+    texts |= {140: None, 141: "", 142: "123 !!", 143: texts[5], 144: texts[5], 145: "\n\n", 146: pool[3]}
+    items = {0: prose("own 3 0", 14), 1: " ".join(prose("group 1", 90).split()[10:60]), 2: prose("nowhere", 30), 3: None}
+    texts[147] = "before " + items[2] + " after"
+    lang = lambda i: None if i % 7 == 0 else "de" if 120 <= i < 140 else "en"
+    docs = spark.createDataFrame([(i, t, lang(i), "s", len(t or "")) for i, t in texts.items()], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    kept = {}
+    for i, t in texts.items():
+        best, score, _ = language_id.infer(model, [t or ""], 3.0, 0.5, 8)
+        if best[0] >= 0 and score[0] >= 0.5:
+            kept[i] = t
+    assert {140, 141, 142, 145}.isdisjoint(kept) and len(kept) > 130
+    first = {}
+    for i, t in kept.items():
+        first.setdefault(t, i)
+    distinct = {i: t for t, i in first.items()}
+    kept = {i: t for i, t in brute_line_dedup(distinct).items() if t.strip() or t == distinct[i]}
+    _, root = brute_groups(kept)
+    kept = {i: t for i, t in kept.items() if root[i] == i}
+    sets = [shingles(t) for t in items.values() if shingles(t)]
+    kept = {i: t for i, t in kept.items() if not any(len(s & shingles(t)) >= 0.8 * len(s) for s in sets)}
+    assert 60 < len(kept) < 130 and {3, 147, 143}.isdisjoint(kept)
+    path = public_tokenizers.path(corpus_pipeline.RANKS)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {x["doc_id"]: x for x in rows(corpus_pipeline.run(spark, str(tmp_path)))}
+    assert {i: x["ids"] for i, x in got.items()} == {i: known.encode_ordinary(t) for i, t in kept.items()}
+    assert all(x["decoded_sha256"] == hashlib.sha256(kept[i].encode()).hexdigest() for i, x in got.items())

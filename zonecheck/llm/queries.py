@@ -65,6 +65,54 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+# the distinct shingles of five words of each text, or all words of a shorter one
+_SHINGLES = """SELECT id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+ FROM (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}) t"""
+
+_TEMPLATES = ", ".join(f"({n}, '{label}', {n < len(license_scan.PHRASES)}, '{text}')" for n, (label, text) in enumerate(license_scan.PHRASES + license_scan.TEMPLATES))
+
+OP3_SQL = f"""
+WITH t(template, label, exact, wanted) AS (VALUES {_TEMPLATES}), tw AS (SELECT *, string_split(wanted, ' ') AS v FROM t),
+ tg AS (SELECT template, label, exact, wanted, len(v) - 1 AS n_grams, j, v[j] AS w0, v[j + 1] AS w1 FROM (SELECT *, unnest(range(1, len(v))) AS j FROM tw) x),
+ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ dg AS (SELECT doc_id, i - 1 AS i, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d) x),
+ hits AS (SELECT doc_id, template, label, exact, wanted, n_grams, i, j, i - j + 1 AS diagonal FROM dg JOIN tg ON a = w0 AND b = w1),
+ voted AS (SELECT doc_id, template, label, exact, n_grams, diagonal, count(*) AS votes FROM hits GROUP BY ALL),
+ new AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS new FROM voted WHERE NOT exact),
+ runs AS (SELECT doc_id, template, diagonal, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM new),
+ merged AS (SELECT h.doc_id, h.label, h.wanted, h.n_grams, count(DISTINCT j) / h.n_grams AS covered, min(i) AS a, max(i) + 1 AS b FROM hits h JOIN runs r ON r.doc_id = h.doc_id AND r.template = h.template AND r.diagonal = h.diagonal GROUP BY h.doc_id, h.template, h.label, h.wanted, h.n_grams, run),
+ found AS (SELECT m.*, array_to_string(w[a + 1:b + 1], ' ') AS f FROM merged m JOIN d ON d.doc_id = m.doc_id WHERE covered >= 0.85e0 AND b - a <= n_grams + 4),
+ spans AS (SELECT doc_id, label, true AS exact, diagonal AS a, 1e0 AS covered FROM voted WHERE exact AND votes = n_grams UNION ALL
+  SELECT doc_id, label, false, a, covered FROM found WHERE levenshtein(f, wanted) <= (1e0 - 0.8e0) * greatest(length(f), length(wanted)))
+SELECT d.doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(*) FILTER (exact) AS n_base, min(a) FILTER (exact) AS first_word, max(a) FILTER (exact) AS last_word,
+ coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list(label))), ','), '') AS labels, coalesce(max(covered), 0e0) AS score
+ FROM d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY 1
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE sh AS ({_SHINGLES.format(id="doc_id", table="documents")}), n AS (SELECT id, count(*) AS n FROM sh GROUP BY 1),
+ met AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM met JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+ classes AS (SELECT a, min(least(a, b)) AS class_id FROM reach GROUP BY 1), degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(g.n_links, 0) AS n_links FROM documents d LEFT JOIN classes c ON c.a = d.doc_id LEFT JOIN degree g ON g.a = d.doc_id
+"""
+
+OP7_SQL = f"""
+WITH sh AS ({_SHINGLES.format(id="doc_id", table="documents")}), it AS ({_SHINGLES.format(id="item_id", table="benchmark")}), n AS (SELECT id, count(*) AS n_item FROM it GROUP BY 1),
+ met AS (SELECT sh.id AS doc_id, it.id AS item_id, count(*) AS n_shared FROM sh JOIN it ON it.s = sh.s GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(n_shared AS INT) AS n_shared, CAST(n_item AS INT) AS n_item, n_shared / n_item AS containment FROM met JOIN n ON n.id = item_id WHERE n_shared >= 0.8 * n_item
+"""
+
+# exact search, which the lists give too while there are no more of them than a query reads (4,096 vectors)
+OP10_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
+ u AS (SELECT * FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score FROM u q JOIN u c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % 20 = 0),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann)}
 
-ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_warc": OP9_SQL, "op10_ann": OP10_SQL}

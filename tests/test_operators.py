@@ -351,3 +351,79 @@ def test_house_worklist_takes_a_hundred_of_each_street(spark):
     want = {(*k, sorted(n)[i * len(n) // min(len(n), 100)]) for k, n in streets.items() for i in range(min(len(n), 100))} - done
     assert max(map(len, streets.values())) > 10
     assert {(r["district_id"], r["street"], r["house_number"]) for r in QUERIES["house_worklist"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_island_stats_and_empty_parts(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 0, 5), (1, 4, 0, 5)], "municipality_id long, cx long, cy long, district_id long")
+    labelled = tessellate.parts(cells)
+    houses = spark.createDataFrame([(1, 5, "B", "2", 50.0, 50.0), (1, 5, "A", "10", 150.0, 10.0), (1, 5, "A", "2", 10.0, 10.0), (1, 6, "Z", "1", 410.0, 10.0)], "municipality_id long, district_id long, street string, house_number string, x double, y double")
+    got = {r["part"]: r for r in tessellate.island_stats(labelled, houses, 100.0).collect()}
+    assert (got[0]["streets"], got[0]["house_numbers"], got[0]["houses"], got[0]["area_m2"]) == (["A", "B"], ["10", "2"], 3, 20000.0)
+    assert (got[1]["streets"], got[1]["house_numbers"], got[1]["houses"]) == ([], [], 0)
+
+
+def test_rows_to_be_shown(spark):
+    codes = spark.createDataFrame([(1, True, 21.0), (2, None, 21.0), (3, False, 21.0), (4, True, None)], "id long, valid boolean, lon double").withColumn("lat", F.col("lon"))
+    assert sorted(r["id"] for r in clean.house_dots(codes).collect()) == [1, 2]
+    schools = spark.createDataFrame([(1, 7, 1.0, 1.0), (2, None, 1.0, 1.0), (3, 7, None, 1.0)], "school_id long, founder_id long, x double, y double")
+    founders = spark.createDataFrame([(7, "Mesto", "obec")], "founder_id long, name string, type string")
+    assert sorted((r["school_id"], r["founder_name"]) for r in clean.school_markers(schools, founders).collect()) == [(1, "Mesto"), (2, None)]
+    public = spark.createDataFrame([(1, "high", 4, False), (2, "critical", 5, False), (3, "medium", 3, True), (4, "low", 2, True)], "finding_id long, severity string, severity_rank int, is_demo boolean")
+    assert [r["finding_id"] for r in serve.findings_panel_order(public).collect()] == [3, 2, 1]
+
+
+def test_prefix_match_with_a_common_beginning(spark):
+    points = spark.createDataFrame([(i, f"Ulica {i % 30}") for i in range(300)] + [(900, "ul"), (901, None), (902, "")], "point_id long, street string")
+    streets = spark.createDataFrame([(1, " ulica 1"), (2, "Ulica"), (3, "Ulica 299x"), (4, ""), (5, None)], "street_id long, street string")
+    got = {}
+    for r in assign.prefix_match(points, streets, most=5).collect():
+        got.setdefault(r["street_id"], []).append(r["point_id"])
+    p = {i: (s or "").strip().lower() for i, s in [(i, f"Ulica {i % 30}") for i in range(300)] + [(900, "ul"), (902, "")]}
+    for k, s in ((1, "ulica 1"), (2, "ulica"), (3, "ulica 299x"), (4, "")):
+        assert sorted(got[k]) == sorted(i for i, x in p.items() if x.startswith(s) or s.startswith(x))[:5]
+    assert 5 not in got
+
+
+def test_origins_with_the_centroid_first(spark):
+    addresses = spark.createDataFrame([(1, i) for i in range(30)], "district_id long, address_id long")
+    centroids = spark.createDataFrame([(1, None), (2, None)], "district_id long, address_id long")
+    got = serve.sample_origins(addresses.limit(10), n=12, centroids=centroids, buildings=addresses.withColumn("address_id", F.col("address_id") + 100)).collect()
+    kinds = sorted(r["kind"] for r in got if r["district_id"] == 1)
+    assert kinds == ["address"] * 10 + ["building", "centroid"] and [r["kind"] for r in got if r["district_id"] == 2] == ["centroid"]
+
+
+def test_area_drift_and_overlays(spark):
+    box = lambda rows, names: spatial.box_polygons(spark.createDataFrame(rows, names + ", x0 double, y0 double, x1 double, y1 double"))
+    districts = box([(1, 9, 0.0, 0.0, 10.0, 10.0), (2, 9, 10.0, 0.0, 20.0, 10.0)], "district_id long, municipality_id long")
+    bounds = box([(9, 0.0, 0.0, 20.0, 10.05)], "municipality_id long")
+    r = spatial.area_totals(districts, bounds).first()
+    assert (r["districts"], r["area"], r["within"]) == (2, 200.0, True) and abs(r["boundary_area"] - 201.0) < 1e-9
+    assert spatial.area_totals(districts, bounds, drift=0.001).first()["within"] is False
+    overlays = box([(1, 5.0, 5.0, 6.0, 6.0), (2, 20.0, 0.0, 30.0, 10.0), (3, 19.0, 9.0, 30.0, 30.0)], "id long")
+    assert sorted(x["id"] for x in spatial.overlays_in_scope(overlays, districts, "id").collect()) == [1, 3]
+
+
+def test_house_numbers_in_formatted_addresses(spark):
+    cases = {"Bajkalská 199, 080 01 Prešov": "199", "Sabinovská 4862/17": "17", "Vihorlatská 6499/2, Sekčov, 080 01": "2", "Mesto": None, "Ulica 5 080 01 Mesto, SK": "5", "X 12345, Y": "12345", "": None}
+    got = {r["a"]: r["h"] for r in spark.createDataFrame([(k,) for k in cases], "a string").select("a", clean.house_from_address("a").alias("h")).collect()}
+    assert got == cases
+
+
+def test_measured_catalogue(spark):
+    from zonecheck.sources import io
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, None)], "x long, y string")
+    assert io.measured(df, "k", ["x", "y"], F.col("x") == 1, "v").first()[1:] == (3, 5, 4, "v")
+    assert io.measured(df.limit(0), "k", ["x"], F.lit(True), "v").first()[1:4] == (0, 1, 1)
+    with pytest.raises(Exception, match="driver and all executors"):  # a cluster needs a shared folder
+        from zonecheck.sources import shared
+
+        class Fake:
+            class sparkContext:  # noqa: N801
+                master = "spark://host:7077"
+
+                @staticmethod
+                def getConf():
+                    return {}
+
+        shared.shared_dir(Fake)

@@ -574,6 +574,22 @@ def test_recall_with_more_lists_than_probes(spark):
     assert len(got) == 400 and 0.9 <= hit / (20 * len(got))
 
 
+# --- columns of one's own
+
+
+def test_columns_with_the_names_of_working_columns(spark):
+    """Stages return the documents' own columns, whatever their names, with their values."""
+    names = "t __t id __id row __row lines all gone found n m s size bucket set path probe __found __salt __hot class leads kept deleted word score".split()
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([prose(1), prose(1), prose(2), lines(3), lines(3) + "\n" + lines(4)])], "doc_id long, text string")
+    odd = docs.select("doc_id", "text", *[F.lit(f"own {n}").alias(n) for n in names])
+    items = spark.createDataFrame([(0, prose(2))], "item_id long, text string").withColumn("s", F.lit(1)).withColumn("class", F.lit(1))
+    for out, ids in ((line_dedup.dedup(odd), [0, 2, 3, 4]), (jaccard_join.keep_one(odd), [0, 2, 3, 4]), (decontaminate.remove(odd, items), [0, 1, 3, 4]), (bpe.encode(odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), [0, 1, 2, 3, 4])):
+        got = rows(out)
+        assert sorted(r["doc_id"] for r in got) == ids and all(r[n] == f"own {n}" for r in got for n in names) and out.columns[:2] == ["doc_id", "text"]
+    assert {r["doc_id"]: r["text"] for r in rows(line_dedup.dedup(odd))}[4] == lines(4)
+    assert len(rows(jaccard_join.link(odd))) == len(rows(suffix_dedup.cut(odd))) == len(rows(license_scan.scan_documents(odd))) == 5
+
+
 # --- pipeline
 
 

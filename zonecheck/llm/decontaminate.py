@@ -148,5 +148,5 @@ def contaminated(documents: DataFrame, items: DataFrame, containment: float = 0.
 
 def remove(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``documents`` without those whose doc_id is contaminated; a document without doc_id goes if any such is."""
-    found = contaminated(documents, items, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti")
+    found = contaminated(documents, items, **options).select("doc_id").distinct()
+    return documents.join(found, documents["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")

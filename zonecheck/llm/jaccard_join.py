@@ -311,5 +311,5 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with one document, the first, of each group; rows that share doc_id and text are one and stay once each."""
-    leads = link(documents.select("doc_id", "text"), **options).filter("leads").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
-    return documents.join(leads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
+    leads = link(documents.select("doc_id", "text"), **options).filter("leads").select("doc_id", "t")
+    return documents.join(leads, documents["doc_id"].eqNullSafe(leads["doc_id"]) & (F.xxhash64(documents["text"]) == leads["t"]), "left_semi")

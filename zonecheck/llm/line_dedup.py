@@ -208,15 +208,16 @@ def marked(documents: DataFrame, **options) -> DataFrame:
     row. Columns that already have these names are replaced.
     """
     new = ("n_lines", "n_removed", "deleted", "kept")
-    frame = documents.select(*[c for c in documents.columns if c.lower() not in new])
+    columns = [c for c in documents.columns if c.lower() not in new]
+    # the document's own columns travel in one, so that none of them clashes with a working column
+    frame = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("t"), F.split("text", "\n", -1).alias("lines"))
     whole, lines = deletions(documents, **options)
     found = lines.withColumn("all", F.lit(False)).unionByName(whole.select("doc_id", "t", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("all")))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("t").alias("__ft"), "gone", "all").withColumnsRenamed({"gone": "__gone", "all": "__all"})
-    joined = frame.withColumn("__t", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__ft")), "left").withColumn("__lines", F.split("text", "\n", -1))
-    left = F.when(F.col("__all"), F.lit("")).when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("filter(__lines, (x, i) -> not array_contains(__gone, i))"), "\n"))
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")
-    out = joined.select(*frame.columns, n.alias("n_lines"), F.when(F.col("__all"), n).otherwise(F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0))).cast("long").alias("n_removed"), left.alias("kept"))
+    joined = frame.join(found.withColumnRenamed("t", "found_t"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("found_t")), "left")
+    left = F.when(F.col("all"), F.lit("")).when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("filter(lines, (x, i) -> not array_contains(gone, i))"), "\n"))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.coalesce(F.size("lines"), F.lit(0))).cast("long")
+    removed = F.when(F.col("all"), n).otherwise(F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0))).cast("long")
+    out = joined.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], n.alias("n_lines"), removed.alias("n_removed"), left.alias("kept"))
     return out.withColumn("deleted", (F.col("n_removed") > 0) & (F.trim("kept") == ""))
 
 

@@ -48,11 +48,14 @@ def norm_building_street(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(unaccent(bare)), r"\s+", " "))
 
 
+# The patterns of what is masked, and those of street keys, hosts and links above and below.
+MAIL, PHONE, PERSONAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(?:\+421|00421)[\s\-]?\d{1,4}[\s\-]?\d{3,4}[\s\-]?\d{3,4}|0\d{1,4}[\s\-]?\d{3,4}[\s\-]?\d{3,4}", r"\d{6}\s*/\s*\d{3,4}"
+
+
 def mask_pii(c: Column | str, most: int) -> Column:
     """E-mail addresses, telephone and personal numbers replaced by a tag, then cut to ``most`` characters; null gives ''."""
-    mail = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    phone = r"(?:\+421|00421)[\s\-]?\d{1,4}[\s\-]?\d{3,4}[\s\-]?\d{3,4}|0\d{1,4}[\s\-]?\d{3,4}[\s\-]?\d{3,4}"
-    return F.left(F.regexp_replace(F.regexp_replace(mail, phone, "[tel]"), r"\d{6}\s*/\s*\d{3,4}", "[rč]"), F.lit(most))
+    mail = F.regexp_replace(F.coalesce(_col(c), F.lit("")), MAIL, "[email]")
+    return F.left(F.regexp_replace(F.regexp_replace(mail, PHONE, "[tel]"), PERSONAL, "[rč]"), F.lit(most))
 
 
 def url_host(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, suffix_dedup, token_count, warc
+from . import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, suffix_dedup, superkmers, token_count, warc
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = superkmers.cut(table(spark, sf_dir, "documents"), length=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
  d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS original FROM p)
@@ -113,6 +118,18 @@ WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann)}
+# every window as one text, counted; a word goes if a repeated window starts at it or at one of the 34 words before it
+OP12_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 33)) AS i FROM d) x),
+ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) x WHERE n > 1),
+ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+ cover AS (SELECT words.doc_id, j, word, max(CASE WHEN rep.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY words.doc_id ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN rep ON rep.doc_id = words.doc_id AND rep.i = words.j)
+SELECT d.doc_id, any_value(len(w)) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (gone = 0), '')) AS kept_sha256
+ FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id GROUP BY 1
+"""
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann, op12_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_warc": OP9_SQL, "op10_ann": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_warc": OP9_SQL, "op10_ann": OP10_SQL, "op12_substring_dedup": OP12_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, suffix_dedup, superkmers, token_count, warc
+from . import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, spelling, suffix_dedup, superkmers, token_count, warc
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(table(spark, sf_dir, "documents"), least=7, every=31, ratio=10)
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
  d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS original FROM p)
@@ -130,6 +134,24 @@ SELECT d.doc_id, any_value(len(w)) AS n_words, CAST(coalesce(sum(gone), 0) AS BI
  FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id GROUP BY 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann, op12_substring_dedup)}
+# crc32 by its table, near words by the strings that deletions leave
+OP13_SQL = """
+WITH RECURSIVE t8(i, k, c) AS (SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t8 WHERE k < 8),
+ crc AS (SELECT list(c ORDER BY i) AS t FROM t8 WHERE k = 8),
+ runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) x WHERE length(run) >= 7 GROUP BY 1, 2),
+ coded AS (SELECT *, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS x FROM runs),
+ h AS (SELECT doc_id, run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+ w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h) x WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+ del AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS s FROM (SELECT *, unnest(range(1, length(word) + 1)) AS p FROM w) x),
+ near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM del a JOIN del b ON a.s = b.s AND a.p = b.p AND a.word <> b.word UNION
+  SELECT a.word, b.word, b.n FROM del a JOIN w b ON a.s = b.word UNION SELECT b.word, a.word, a.n FROM del a JOIN w b ON a.s = b.word),
+ best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS best, max(other_n) AS best_n FROM near GROUP BY 1),
+ forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word),
+ walk(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT walk.word, form FROM walk JOIN forms ON forms.word = walk.last WHERE form IS NOT NULL)
+SELECT f.word, form, last AS root, n, n_near, form_n FROM forms f JOIN walk ON walk.word = f.word WHERE NOT EXISTS (SELECT 1 FROM forms g WHERE g.word = last AND g.form IS NOT NULL)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann, op12_substring_dedup, op13_spelling_variants)}
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_warc": OP9_SQL, "op10_ann": OP10_SQL, "op12_substring_dedup": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_warc": OP9_SQL, "op10_ann": OP10_SQL, "op12_substring_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}

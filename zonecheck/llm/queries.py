@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, spelling, suffix_dedup, superkmers, token_count, warc
+from . import alignment, ann, bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, spelling, suffix_dedup, superkmers, token_count, warc
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.document_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = superkmers.cut(table(spark, sf_dir, "documents"), length=35)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -152,6 +156,6 @@ WITH RECURSIVE t8(i, k, c) AS (SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FR
 SELECT f.word, form, last AS root, n, n_near, form_n FROM forms f JOIN walk ON walk.word = f.word WHERE NOT EXISTS (SELECT 1 FROM forms g WHERE g.word = last AND g.form IS NOT NULL)
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann, op12_substring_dedup, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_jaccard_join, op5_line_dedup, op6_suffix_dedup, op7_decontaminate, op8_token_counts, op9_warc, op10_ann, op11_token_alignment, op12_substring_dedup, op13_spelling_variants)}
 
 ORACLE_SQL: dict[str, str] = {"op3_license_scan": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_warc": OP9_SQL, "op10_ann": OP10_SQL, "op12_substring_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}

@@ -33,20 +33,20 @@ def utm34n(lon: Column, lat: Column) -> Column:
     return F.struct((_EAST + _K0 * radius * east).alias("x"), (_K0 * radius * north).alias("y"))
 
 
-def _steps(points: Column) -> Column:
+def steps(points: Column) -> Column:
     """struct(a, b) of successive points; a closed ring repeats its first point at its end."""
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(points) - 2, F.lit(0))), lambda i: F.struct(F.get(points, i).alias("a"), F.get(points, i + 1).alias("b")))
 
 
 def length_m(points: Column) -> Column:
     """Length of a line of struct(x, y) points; fewer than two points: 0."""
-    total = F.aggregate(_steps(points), F.lit(0.0), lambda s, e: s + F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
+    total = F.aggregate(steps(points), F.lit(0.0), lambda s, e: s + F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
     return F.when(F.size(points) < 2, F.lit(0.0)).otherwise(total)
 
 
 def ring_area(points: Column) -> Column:
     """Signed area of a closed ring, positive if it turns left."""
-    return F.aggregate(_steps(points), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+    return F.aggregate(steps(points), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
 
 
 def area_m2(rings: Column) -> Column:
@@ -56,7 +56,7 @@ def area_m2(rings: Column) -> Column:
 
 def centroid(points: Column) -> Column:
     """struct(x, y): the centroid of a closed ring's area; the mean of its points where it has no area."""
-    moment = lambda axis: F.aggregate(_steps(points), F.lit(0.0), lambda s, e: s + (e["a"][axis] + e["b"][axis]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
+    moment = lambda axis: F.aggregate(steps(points), F.lit(0.0), lambda s, e: s + (e["a"][axis] + e["b"][axis]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
     mean = lambda axis: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[axis]) / F.size(points)
     area = ring_area(points)
     return F.struct(*[F.when(area == 0, mean(axis)).otherwise(moment(axis) / (6 * area)).alias(axis) for axis in ("x", "y")])
@@ -71,19 +71,19 @@ def segmentize(points: Column, step: float) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * i / n).alias("x"), (e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * i / n).alias("y")))
 
     last = F.struct(F.element_at(points, -1)["x"].alias("x"), F.element_at(points, -1)["y"].alias("y"))
-    return F.when(F.size(points) < 2, points).otherwise(F.concat(F.flatten(F.transform(_steps(points), between)), F.array(last)))
+    return F.when(F.size(points) < 2, points).otherwise(F.concat(F.flatten(F.transform(steps(points), between)), F.array(last)))
 
 
 def in_ring(x: Column, y: Column, points: Column) -> Column:
     """Whether a ray from the point crosses the ring an odd number of times."""
     crosses = lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y)
     right = lambda e: x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]
-    return F.aggregate(_steps(points), F.lit(False), lambda s, e: s != F.when(crosses(e), right(e)).otherwise(False))
+    return F.aggregate(steps(points), F.lit(False), lambda s, e: s != F.when(crosses(e), right(e)).otherwise(False))
 
 
 def on_ring(x: Column, y: Column, points: Column, tolerance: float = 1e-9) -> Column:
     """Whether the point lies on an edge of the ring."""
-    return F.exists(_steps(points), lambda e: segment_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]) <= tolerance)
+    return F.exists(steps(points), lambda e: segment_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]) <= tolerance)
 
 
 def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

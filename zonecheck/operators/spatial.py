@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo as G
+from ..sources.shared import stored
+from . import outline
+from .sweep import shared_area, union_areas, with_shared_area  # noqa: F401  part of this module's surface
 
 
 def box_polygons(df: DataFrame, x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -> DataFrame:
@@ -46,14 +49,31 @@ def inside(x: Column, y: Column, rings: Column, boundary: bool) -> Column:
     return (odd | edge) if boundary else (odd & ~edge)
 
 
+#: Polygons whose box has more cells than this are met by their covers.
+BOX_CELLS = 64
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 500.0, boundary: bool = False, same: str | None = "municipality_id") -> DataFrame:
-    """Every pair of a point and a polygon that holds it, of the same ``same`` if given. Columns of both; the polygon's are without rings and box."""
+    """Every pair of a point and a polygon that holds it, of the same ``same`` if given. Columns of both; the polygon's are without rings and box.
+
+    Small polygons meet points in the cells of their box, large ones in the cells of their cover (``outline.cover``),
+    whose number grows with the rim: the result is the same.
+    """
     own = [c for c in polygons.columns if c not in ("rings", "minx", "miny", "maxx", "maxy", same)]
+    count = (F.floor(F.col("maxx") / cell) - F.floor(F.col("minx") / cell) + 1) * (F.floor(F.col("maxy") / cell) - F.floor(F.col("miny") / cell) + 1)
     p = points.withColumn("cx", F.floor(F.col("x") / cell).cast("long")).withColumn("cy", F.floor(F.col("y") / cell).cast("long"))
-    c = cover_cells(polygons, cell)
+    c = cover_cells(polygons.filter(count <= BOX_CELLS), cell)
     on = ["cx", "cy"] + ([same] if same else [])
+    columns = [*points.columns, *[x for x in own if x not in points.columns]]
     met = p.join(c, on).filter((F.col("x") >= F.col("minx")) & (F.col("x") <= F.col("maxx")) & (F.col("y") >= F.col("miny")) & (F.col("y") <= F.col("maxy")))
-    return met.filter(inside(F.col("x"), F.col("y"), F.col("rings"), boundary)).select(*points.columns, *[x for x in own if x not in points.columns])
+    hits = met.filter(inside(F.col("x"), F.col("y"), F.col("rings"), boundary)).select(*columns)
+    large = polygons.filter(count > BOX_CELLS)
+    if large.isEmpty():
+        return hits
+    large = stored(large.withColumn("__polygon", F.monotonically_increasing_id()))
+    more = outline.points_in_outlines(points, large, "__polygon", cell, boundary, same)
+    named = large.select("__polygon", *[x for x in own if x not in points.columns])
+    return hits.unionByName(more.join(named, "__polygon").select(*columns))
 
 
 def covering_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon: str = "district_id", **options) -> DataFrame:
@@ -72,67 +92,11 @@ def coverage_failures(points: DataFrame, districts: DataFrame, key: str = "addre
 # --- overlap areas
 
 
-def _clip(polygon: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The part of a convex polygon left of the line a to b."""
-    side = (b[0] - a[0]) * (polygon[:, 1] - a[1]) - (b[1] - a[1]) * (polygon[:, 0] - a[0])
-    out = []
-    for i in range(len(polygon)):
-        j = (i + 1) % len(polygon)
-        if side[i] >= 0:
-            out.append(polygon[i])
-        if (side[i] > 0 > side[j]) or (side[i] < 0 < side[j]):
-            out.append(polygon[i] + (polygon[j] - polygon[i]) * (side[i] / (side[i] - side[j])))
-    return np.array(out).reshape(-1, 2)
-
-
 def _signed(points: np.ndarray) -> float:
     x, y = points[:, 0], points[:, 1]
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2) if len(points) > 2 else 0.0
 
 
-def _fans(rings) -> list[tuple[float, np.ndarray]]:
-    """Signed triangles whose sum is the polygon: outer rings count positive, holes negative."""
-    out = []
-    for ring in rings:
-        points = np.array([(p["x"], p["y"]) for p in ring["pts"]], float)[:-1]
-        turn = np.sign(_signed(points)) * (-1 if ring["hole"] else 1)
-        for i in range(1, len(points) - 1):
-            triangle = points[[0, i, i + 1]]
-            area = _signed(triangle)
-            if area:
-                out.append((turn * np.sign(area), triangle if area > 0 else triangle[::-1]))
-    return out
-
-
-def shared_area(one, two) -> float:
-    """Area of the overlap of two simple polygons: the signed overlaps of their triangles."""
-    total = 0.0
-    fans = _fans(two)
-    for s, t in _fans(one):
-        for r, u in fans:
-            if (t.max(0) <= u.min(0)).any() or (u.max(0) <= t.min(0)).any():
-                continue
-            part = t
-            for i in range(3):
-                part = _clip(part, u[i], u[(i + 1) % 3])
-                if len(part) < 3:
-                    break
-            total += s * r * abs(_signed(part))
-    return total
-
-
-def with_shared_area(pairs: DataFrame, name: str = "area") -> DataFrame:
-    """Replaces the columns rings_a, rings_b of candidate pairs by the area of their overlap."""
-    kept = [c for c in pairs.columns if c not in ("rings_a", "rings_b")]
-    schema = pairs.select(*kept, F.lit(0.0).alias(name)).schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f[kept].assign(**{name: [shared_area(a, b) for a, b in zip(f["rings_a"], f["rings_b"], strict=True)]})
-
-    return pairs.select(*kept, "rings_a", "rings_b").mapInPandas(run, schema)
-
-
 def _candidates(a: DataFrame, b: DataFrame, key_a: str, key_b: str, cell: float, on: Column | None) -> DataFrame:
     """Pairs of polygons whose boxes overlap, met once: in the cell of the overlap's lower corner."""
     x = cover_cells(a, cell).select(F.col(key_a).alias("a"), F.struct("*").alias("pa"), "cx", "cy")

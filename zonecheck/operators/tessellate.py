@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import geo as G
 from ..sources.shared import stored
+from . import outline
+from .parts import connect_islands, island_links, join_islands, parts  # noqa: F401  part of this module's surface
 
 
 def raster(boundaries: DataFrame, cell: float) -> DataFrame:
-    """(municipality_id, cx, cy, x, y): cells whose middle lies in the municipality's box x0, y0, x1, y1."""
+    """(municipality_id, cx, cy, x, y): cells whose middle lies in the municipality's outline ``rings``, or in its box x0, y0, x1, y1 where there are no rings."""
+    if "rings" in boundaries.columns:
+        return outline.outline_cells(boundaries, cell, "municipality_id")
     span = lambda a, b: F.sequence(F.ceil(F.col(a) / cell - 0.5).cast("long"), F.ceil(F.col(b) / cell - 0.5).cast("long") - 1)
     cells = boundaries.select("municipality_id", F.explode(span("x0", "x1")).alias("cx"), span("y0", "y1").alias("ys")).select("municipality_id", "cx", F.explode("ys").alias("cy"))
     return cells.withColumn("x", (F.col("cx") + 0.5) * cell).withColumn("y", (F.col("cy") + 0.5) * cell)
@@ -60,32 +63,6 @@ def district_cells(owned: DataFrame, cell: float) -> DataFrame:
     return owned.groupBy("district_id").agg(F.count("*").alias("cells"), (F.count("*") * cell * cell).alias("area"))
 
 
-def parts(owned: DataFrame) -> DataFrame:
-    """Adds ``part``: the pieces of each district whose cells hang together by an edge, numbered from 0 by their lowest cell. A district of a municipality is one task; its cells are its area over a cell's."""
-
-    def label(f: pd.DataFrame) -> pd.DataFrame:
-        at = {(x, y): i for i, (x, y) in enumerate(zip(f["cx"], f["cy"], strict=True))}
-        root = np.arange(len(f))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for (x, y), i in at.items():
-            for near in ((x + 1, y), (x, y + 1)):
-                if (j := at.get(near)) is not None:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-        names: dict[int, int] = {}
-        return f.assign(part=[names.setdefault(find(i), len(names)) for i in range(len(f))])
-
-    ordered = lambda f: label(f.sort_values(["cx", "cy"], ignore_index=True))
-    schema = owned.withColumn("part", F.lit(0)).schema
-    return owned.groupBy("municipality_id", "district_id").applyInPandas(ordered, schema)
-
-
 def part_areas(labelled: DataFrame, cell: float) -> DataFrame:
     return labelled.groupBy("municipality_id", "district_id", "part").agg((F.count("*") * cell * cell).alias("area_m2"))
 
@@ -176,14 +153,28 @@ def keep_non_empty(evidence: DataFrame, areas: DataFrame) -> DataFrame:
     return ranked.filter((F.col("houses") > 0) | ((F.col("most") == 0) & (F.col("rank") == 1))).drop("most", "rank")
 
 
-def seeds(lines: DataFrame, fallback: DataFrame, houses: DataFrame) -> DataFrame:
+def street_points(lines: DataFrame, boundaries: DataFrame, step: float = 60.0) -> DataFrame:
+    """(municipality_id, district_id, street_norm, x, y): points of the street lines (line_id, municipality_id, district_id, street_norm, pts), clipped to their municipality's outline and at most ``step`` apart."""
+    pieces = outline.clip_lines(lines.select("line_id", "municipality_id", "pts"), boundaries, "municipality_id", "line_id")
+    ends = F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
+    dense = pieces.select("line_id", F.explode(G.segmentize(ends, step)).alias("p"))
+    return dense.join(lines.select("line_id", "municipality_id", "district_id", "street_norm"), "line_id").select("municipality_id", "district_id", "street_norm", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
+
+
+def seeds(lines: DataFrame, fallback: DataFrame, houses: DataFrame, boundaries: DataFrame | None = None, cell: float = 500.0) -> DataFrame:
     """(municipality_id, district_id, x, y): points of the densified street lines, the street's own point where a district's street has no line, and houses.
 
-    ``lines`` and ``fallback`` have municipality_id, district_id, street_norm, x, y; ``houses`` the same without street_norm.
+    ``lines`` and ``fallback`` have municipality_id, district_id, street_norm, x, y; ``houses`` the same without
+    street_norm. With ``boundaries`` (municipality_id, rings) fallback points and houses outside their municipality's
+    outline are left out; lines are clipped by ``street_points``. A street with lines needs no fallback even if all of
+    them lie outside.
     """
     columns = ["municipality_id", "district_id", "x", "y"]
     missing = fallback.join(lines.select("district_id", "street_norm").distinct(), ["district_id", "street_norm"], "left_anti")
-    return lines.select(*columns).unionByName(missing.select(*columns)).unionByName(houses.select(*columns)).distinct()
+    points = missing.select(*columns).unionByName(houses.select(*columns))
+    if boundaries is not None:
+        points = outline.points_in_outlines(points, boundaries, "municipality_id", cell, same="municipality_id")
+    return lines.select(*columns).unionByName(points.select(*columns)).distinct()
 
 
 def absorb_evidenceless(owned: DataFrame, houses: DataFrame, cell: float, max_km2: float = 0.10, passes: int = 4, dry_run: bool = False) -> DataFrame:
@@ -205,43 +196,3 @@ def absorb_evidenceless(owned: DataFrame, houses: DataFrame, cell: float, max_km
             break
         cells = stored(absorb(labelled, empty))
     return cells
-
-
-def island_status(islands: DataFrame) -> DataFrame:
-    """Adds status: the main body is the largest part, others are connected_to_main if they have houses and are not blocked, else unresolved."""
-    rank = F.row_number().over(Window.partitionBy("district_id").orderBy(F.col("area_m2").desc(), "part"))
-    blocked = F.coalesce(F.size("blockers") > 0, F.lit(False))
-    return islands.withColumn("status", F.when(rank == 1, "main_body").when((F.col("houses") > 0) & ~blocked, "connected_to_main").otherwise("unresolved_anomaly"))
-
-
-def island_links(labelled: DataFrame, cell: float) -> DataFrame:
-    """(line_id, municipality_id, district_id, part, ax, ay, bx, by): for each part but the largest of a district the shortest line between a cell of it and one of the largest part; ties by the cells.
-
-    Only cells on a part's rim take part, and a part meets the main body of its own district alone.
-    """
-    areas = part_areas(labelled, cell).withColumn("rank", F.row_number().over(Window.partitionBy("district_id").orderBy(F.col("area_m2").desc(), "part")))
-    rim = labelled.join(neighbour_free(labelled), ["municipality_id", "cx", "cy"], "left_semi").join(areas.select("municipality_id", "district_id", "part", "rank"), ["municipality_id", "district_id", "part"])
-    main = rim.filter("rank = 1").select("municipality_id", "district_id", F.col("cx").alias("mx"), F.col("cy").alias("my"))
-    d = F.pow(F.col("cx") - F.col("mx"), 2) + F.pow(F.col("cy") - F.col("my"), 2)
-    best = rim.filter("rank > 1").join(main, ["municipality_id", "district_id"]).groupBy("municipality_id", "district_id", "part").agg(F.min(F.struct(d.alias("d"), "cx", "cy", "mx", "my")).alias("b"))
-    middle = lambda c: (F.col(f"b.{c}") + 0.5) * cell
-    return best.select(F.concat_ws(":", "municipality_id", "district_id", "part").alias("line_id"), "municipality_id", "district_id", "part", middle("cx").alias("ax"), middle("cy").alias("ay"), middle("mx").alias("bx"), middle("my").alias("by"))
-
-
-def neighbour_free(labelled: DataFrame) -> DataFrame:
-    """Cells with fewer than four neighbours of their own part: its rim."""
-    c = labelled.select("municipality_id", "cx", "cy", "district_id", "part")
-    beside = F.array(*[F.struct(F.lit(x).cast("long").alias("dx"), F.lit(y).cast("long").alias("dy")) for x, y in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    steps = c.withColumn("s", F.explode(beside)).select("municipality_id", "district_id", "part", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
-    inner = steps.join(c, ["municipality_id", "cx", "cy", "district_id", "part"]).groupBy("municipality_id", "cx", "cy").agg(F.count("*").alias("n")).filter("n = 4")
-    return c.join(inner, ["municipality_id", "cx", "cy"], "left_anti").select("municipality_id", "cx", "cy")
-
-
-def connect_islands(labelled: DataFrame, houses: DataFrame, cell: float) -> DataFrame:
-    """(municipality_id, district_id, part, area_m2, houses, blockers, status): each part with the districts whose houses lie within 50 m of its line to the main body."""
-    from .spatial import corridor_blockers
-
-    lines = island_links(labelled, cell)
-    blocked = corridor_blockers(lines, houses).join(lines.select("line_id", "municipality_id", "district_id", "part"), "line_id").drop("line_id")
-    keys = ["municipality_id", "district_id", "part"]
-    return island_status(part_areas(labelled, cell).join(part_evidence(labelled, houses, cell), keys).join(blocked, keys, "left"))

@@ -153,18 +153,36 @@ def seeds(v: Views) -> DataFrame:
     return tessellate.seeds(s.filter("l_linenumber = 1"), s.filter("l_linenumber = 2"), s.filter("l_linenumber > 5"))
 
 
-@query(f"""WITH RECURSIVE {RANKED}, {SEED_CELLS}, {evidence_sql('lab', 'ev', 'seed_cells')}, body AS (SELECT l.* FROM lab l JOIN ranked r ON r.municipality_id = l.municipality_id AND r.district_id = l.district_id AND r.part = l.part WHERE r.n = 1),
+LINKS = f"""body AS (SELECT l.* FROM lab l JOIN ranked r ON r.municipality_id = l.municipality_id AND r.district_id = l.district_id AND r.part = l.part WHERE r.n = 1),
  pairs AS (SELECT l.municipality_id, l.district_id, l.part, l.cx, l.cy, b.cx AS mx, b.cy AS my, row_number() OVER (PARTITION BY l.municipality_id, l.district_id, l.part ORDER BY (l.cx - b.cx) * (l.cx - b.cx) + (l.cy - b.cy) * (l.cy - b.cy), l.cx, l.cy, b.cx, b.cy) AS i
   FROM lab l JOIN ranked r ON r.municipality_id = l.municipality_id AND r.district_id = l.district_id AND r.part = l.part AND r.n > 1 JOIN body b ON b.municipality_id = l.municipality_id AND b.district_id = l.district_id),
- lines AS (SELECT municipality_id, district_id, part, (cx + 0.5) * {CELL} AS ax, (cy + 0.5) * {CELL} AS ay, (mx + 0.5) * {CELL} AS bx, (my + 0.5) * {CELL} AS bz FROM pairs WHERE i = 1),
- shots AS (SELECT l.municipality_id, l.district_id, l.part, h.district_id AS other, h.x - ax AS px, h.y - ay AS py, bx - ax AS dx, bz - ay AS dy FROM lines l JOIN (SELECT DISTINCT district_id, x, y FROM f_seed) h
+ lines AS (SELECT municipality_id, district_id, part, (cx + 0.5e0) * {CELL} AS ax, (cy + 0.5e0) * {CELL} AS ay, (mx + 0.5e0) * {CELL} AS bx, (my + 0.5e0) * {CELL} AS bz FROM pairs WHERE i = 1)"""
+# the line clipped by a cell's sides, a hair wider: it runs through the cell if the clips overlap
+_SLAB = lambda a, d, lo: f"CASE WHEN {d} = 0 THEN CASE WHEN {a} BETWEEN {lo} - 1e-7 AND {lo} + {CELL} + 1e-7 THEN [0e0, 1e0] ELSE [2e0, -1e0] END ELSE [least(({lo} - 1e-7 - {a}) / {d}, ({lo} + {CELL} + 1e-7 - {a}) / {d}), greatest(({lo} - 1e-7 - {a}) / {d}, ({lo} + {CELL} + 1e-7 - {a}) / {d})] END"
+CORRIDORS = f"""grid AS (SELECT l.municipality_id, l.district_id, l.part, ax, ay, bx - ax AS dx, bz - ay AS dy, cx, unnest(range(CAST(floor(least(ay, bz) / {CELL}) AS BIGINT) - 1, CAST(floor(greatest(ay, bz) / {CELL}) AS BIGINT) + 2)) AS cy
+  FROM (SELECT *, unnest(range(CAST(floor(least(ax, bx) / {CELL}) AS BIGINT) - 1, CAST(floor(greatest(ax, bx) / {CELL}) AS BIGINT) + 2)) AS cx FROM lines) l),
+ clip AS (SELECT *, {_SLAB('ax', 'dx', f'cx * {CELL}')} AS tx, {_SLAB('ay', 'dy', f'cy * {CELL}')} AS ty, greatest(0, least(1, (((cx + 0.5) * {CELL} - ax) * dx + ((cy + 0.5) * {CELL} - ay) * dy) / (dx * dx + dy * dy))) AS t FROM grid),
+ corridors AS (SELECT municipality_id, district_id, part, cx, cy FROM clip WHERE greatest(tx[1], ty[1], 0) <= least(tx[2], ty[2], 1)
+  OR sqrt(pow((cx + 0.5) * {CELL} - ax - t * dx, 2) + pow((cy + 0.5) * {CELL} - ay - t * dy, 2)) <= 30)"""
+SHOTS = """shots AS (SELECT l.municipality_id, l.district_id, l.part, h.district_id AS other, h.x - ax AS px, h.y - ay AS py, bx - ax AS dx, bz - ay AS dy FROM lines l JOIN (SELECT DISTINCT district_id, x, y FROM f_seed) h
   ON h.district_id <> l.district_id AND h.x BETWEEN least(ax, bx) - 50 AND greatest(ax, bx) + 50 AND h.y BETWEEN least(ay, bz) - 50 AND greatest(ay, bz) + 50),
- blocked AS (SELECT municipality_id, district_id, part, CAST(count(DISTINCT other) AS INT) AS blockers FROM (SELECT *, greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) AS t FROM shots) s WHERE sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) <= 50 GROUP BY 1, 2, 3)
- SELECT r.municipality_id, r.district_id, r.part, area_m2, ev.houses, b.blockers, CASE WHEN r.n = 1 THEN 'main_body' WHEN ev.houses > 0 AND coalesce(b.blockers, 0) = 0 THEN 'connected_to_main' ELSE 'unresolved_anomaly' END AS status
- FROM ranked r JOIN ev USING (municipality_id, district_id, part) LEFT JOIN blocked b ON b.municipality_id = r.municipality_id AND b.district_id = r.district_id AND b.part = r.part""")
+ blocked AS (SELECT municipality_id, district_id, part, CAST(count(DISTINCT other) AS INT) AS blockers FROM (SELECT *, greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) AS t FROM shots) s WHERE sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) <= 50 GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH RECURSIVE {RANKED}, {LINKS} SELECT municipality_id, district_id, part, ax, ay, bx, bz FROM lines")
+def island_links(v: Views) -> DataFrame:
+    return tessellate.island_links(labelled(v), CELL).select("municipality_id", "district_id", "part", "ax", "ay", "bx", F.col("by").alias("bz"))
+
+
+@query(f"""WITH RECURSIVE {RANKED}, {SEED_CELLS}, {evidence_sql('lab', 'ev', 'seed_cells')}, {LINKS}, {SHOTS}, {CORRIDORS},
+ taken AS (SELECT c.municipality_id, c.district_id, c.part, string_agg(DISTINCT CAST(l.district_id AS VARCHAR), ',' ORDER BY CAST(l.district_id AS VARCHAR)) AS conflicts FROM corridors c JOIN lab l ON l.municipality_id = c.municipality_id AND l.cx = c.cx AND l.cy = c.cy AND l.district_id <> c.district_id GROUP BY 1, 2, 3)
+ SELECT r.municipality_id, r.district_id, r.part, area_m2, ev.houses, b.blockers, t.conflicts, CASE WHEN r.n = 1 THEN 'main_body' WHEN ev.houses > 0 AND blockers IS NULL AND conflicts IS NULL THEN 'connected_to_main' ELSE 'unresolved_anomaly' END AS status
+ FROM ranked r JOIN ev USING (municipality_id, district_id, part) LEFT JOIN blocked b ON b.municipality_id = r.municipality_id AND b.district_id = r.district_id AND b.part = r.part
+ LEFT JOIN taken t ON t.municipality_id = r.municipality_id AND t.district_id = r.district_id AND t.part = r.part""")
 def connect_islands(v: Views) -> DataFrame:
     out = tessellate.connect_islands(labelled(v), v("f_seed").select("municipality_id", "district_id", "x", "y"), CELL)
-    return out.select("municipality_id", "district_id", "part", "area_m2", "houses", F.when(F.col("blockers").isNotNull(), F.size("blockers")).alias("blockers"), "status")
+    conflicts = F.array_join(F.array_sort(F.transform("conflicts", lambda x: x.cast("string"))), ",").alias("conflicts")
+    return out.select("municipality_id", "district_id", "part", "area_m2", "houses", F.when(F.col("blockers").isNotNull(), F.size("blockers")).alias("blockers"), conflicts, "status")
 
 
 # --- hulls

@@ -7,7 +7,7 @@ those of the other strings. Equal windows have equal minimisers at equal offsets
 
 Before any text travels, super-k-mers are counted by minimiser and a 128-bit digest, combined before the shuffle. One
 that occurs more than once is repeated as a whole and sends one string for all its copies; a minimiser with one
-super-k-mer sends none. Buckets of more than BUCKET_BYTES don't meet in one task: their windows travel one by one,
+super-k-mer sends none. Buckets of more than BUCKET strings don't meet in one task: their windows travel one by one,
 by 128-bit digests, and are counted by combined sums; so a passage that a third of all documents hold is no task of its own.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, map_groups, mix, ragged, salted_join, stored
 
 MINIMISER = 8
-#: Bytes of the packed strings of a bucket that is sorted in one task.
-BUCKET_BYTES = 4 << 20
+#: Packed strings of a bucket that is sorted in one task.
+BUCKET = 1 << 12
 #: Bytes of a text that are cut into words at once, and words that are hashed at once.
 BLOCK_BYTES, BLOCK_WORDS = 1 << 20, 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -240,17 +240,23 @@ def repeats(documents: DataFrame, length: int = 35) -> DataFrame:
     A document is named by its doc_id and t, the hash of its text.
     """
     texts = _named(documents)
+    key = ["g", "w1", "w2"]
     every = stored(superkmers(texts, length, min(MINIMISER, _half(length))))
-    kinds = every.groupBy("g", "w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNotNull(), "id", "t", "first", "last")).alias("one"))
-    kinds = stored(kinds.select("g", "w1", "w2", "n", "one.id", "one.t", "one.first", "one.last"))
-    sure = salted_join(every, stored(kinds.filter("n > 1").select("g", "w1", "w2", "n")), ["g", "w1", "w2"], ["id", "t", "first"], "left_semi").select("id", "t", "first", "last")
-    # buckets of several kinds, unless all of them are repeated as a whole; a word has about seven bytes
-    left = kinds.groupBy("g").agg(F.count("*").alias("n"), F.sum(7 * (F.col("last") - F.col("first") + length)).alias("bytes"), F.bool_and(F.col("n") > 1).alias("settled"))
-    left = stored(left.filter("n > 1 and not settled").select("g", "n", (F.col("bytes") > BUCKET_BYTES).alias("large")))
-    wanted = salted_join(kinds.withColumnRenamed("n", "holders"), left, ["g"], ["w1"])
-    wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("g", "first", "last", F.when(F.col("holders") > 1, 2).otherwise(1).alias("n"), "large")).alias("runs"))
+    kinds = stored(every.groupBy(*key).agg(F.count("*").alias("holders")))
+    # buckets of several kinds, unless all of them are repeated as a whole
+    open_ = kinds.groupBy("g").agg(F.count("*").alias("n"), F.bool_and(F.col("holders") > 1).alias("settled"))
+    open_ = stored(open_.filter("n > 1").select("g", "n", F.when(~F.col("settled"), F.col("n") > BUCKET).alias("large")))
+    asked = salted_join(kinds, open_, ["g"], ["w1"], "left").filter("holders > 1 or large is not null")
+    hits = stored(salted_join(every, stored(asked.withColumn("n", F.col("holders"))), key, ["id", "t", "first"]))
+    sure = hits.filter("holders > 1").select("id", "t", "first", "last")
+    # one super-k-mer of each kind goes to its bucket
+    wanted = hits.filter("large is not null")
+    several = wanted.filter("holders > 1").groupBy(*key, "large").agg(F.min(F.struct(F.col("id").isNotNull(), "id", "t", "first", "last")).alias("one"))
+    several = several.select("g", "large", "one.id", "one.t", "one.first", "one.last", F.lit(2).alias("n"))
+    wanted = wanted.filter("holders = 1").select("g", "large", "id", "t", "first", "last", F.lit(1).alias("n")).unionByName(several)
+    wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("g", "first", "last", "n", "large")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"id": "wid", "t": "wt"})
-    packed = _packed(texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("t") == F.col("wt"))).select("id", "t", "text", "runs"), length)
+    packed = stored(_packed(texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("t") == F.col("wt"))).select("id", "t", "text", "runs"), length))
     windows = _single(packed.filter("large"), length)
     many = stored(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1"))
     single = _sorted(packed.filter("not large"), length).unionByName(salted_join(windows.filter("n = 1").drop("n"), many, ["h1", "h2"], ["id", "t", "start"], "left_semi").select("id", "t", "start"))

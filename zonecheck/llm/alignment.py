@@ -9,8 +9,8 @@ counted by ``Table.group_by``, first in a document, then over the documents of a
 Corpus counts come back to the documents in two ways: the most frequent pairs, at most HOT of them, are broadcast, and
 links of all other pairs, of which each is rare, are joined by a shuffle.
 
-A text's bytes split into units, a space with what follows up to a space after a character that is none. Neither
-tokenizer joins anything over such a border, so a worker remembers the ids of the units it has met.
+A text splits into units, mostly a space and a word, or the signs between. Byte-level BPE begins a match at such a
+border and no piece of the model reaches over one (else texts stay whole), so a worker remembers the ids of units.
 """
 
 from __future__ import annotations
@@ -32,12 +32,15 @@ from .common import ragged, stored, text_slices
 #: Pairs of ids that are broadcast at most.
 HOT = 1 << 19
 #: Distinct units that a worker remembers, and characters of them.
-_KNOWN, _KNOWN_CHARS = 200_000, 1 << 24
+_KNOWN, _KNOWN_CHARS = 300_000, 1 << 24
 #: Units that are aligned at once; a text with more is aligned in parts, which end where both tokenizers cut.
 _UNITS = 1 << 17
 #: Distinct pairs that a task counts before it hands them on.
 _PAIRS = 1 << 20
-_UNIT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+#: A unit ends between a letter of these and any other sign of ASCII, and before a space after a character that is none.
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", "\\x00-@\\[-`{-\x7f"
+_UNIT = re.compile(rf" ?[{_LETTER}]+(?=[{_SIGN}]|\Z)|.+?(?:(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=\S)(?= )|\Z)", re.DOTALL)
+_REACHES = re.compile(rf"[{_LETTER}][{_SIGN}]|[^▁]▁")
 _BITS = 20
 
 
@@ -60,15 +63,20 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         letters = _byte_letters()
         vocabulary = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        a = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+            a[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(x[1:-1], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.whole = any("▁" in x.lstrip("▁") for x in names)  # pieces that reach over a border: no units then
+        b = [bytes([int(x[1:-1], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        plain = [x for i, x in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.whole = any(map(_REACHES.search, plain))
         self.space = [self.b.piece_to_id("▁")]
-        self.a_length, self.b_length = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
-        numbers = [b"%d," % i for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        #: for A and B: the bytes of all tokens, where each token's begin, and how many they are
+        self.spelled = []
+        for tokens in (a, b):
+            length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            self.spelled.append((np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length))
+        numbers = [b"%d," % i for i in range(max(len(a), len(b)))]
         self.digits = np.frombuffer(b"".join(numbers), np.uint8)
         self.n_digits = np.fromiter(map(len, numbers), np.int64, len(numbers))
         self.digits_start = np.cumsum(self.n_digits) - self.n_digits
@@ -92,16 +100,30 @@ class Tokenizers:
             while part := list(itertools.islice(found, _UNITS)):
                 yield part
 
+    def pieces(self, units: list[str]) -> list[list[int]]:
+        """The ids of B. The model puts a space before what it reads, so a unit without one is read after a letter."""
+        got = self.b.encode([u[1:] if u[0] == " " else "a" + u for u in units], num_threads=1)
+        return [(self.space if u == " " else ids) if u[0] == " " else ids[1:] for u, ids in zip(units, got, strict=True)]
+
     def learn(self, units: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        b = [self.space if u == " " else ids for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True)]
-        right = [b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == u.encode() for u, x, y in zip(units, a, b, strict=True)]
-        self.right = np.concatenate([self.right, right])
-        for k, got in enumerate((a, b)):
+        raw = [u.encode() for u in units]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        right = np.ones(len(units), bool)
+        for k, got in enumerate(([e.ids for e in self.a.encode_batch(units, add_special_tokens=False)], self.pieces(units))):
             count = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.fromiter(itertools.chain.from_iterable(got), np.int64, int(count.sum()))
             self.first[k] = np.concatenate([self.first[k], len(self.ids[k]) + np.cumsum(count) - count])
             self.count[k] = np.concatenate([self.count[k], count])
-            self.ids[k] = np.concatenate([self.ids[k], np.fromiter(itertools.chain.from_iterable(got), np.int64, int(count.sum()))])
+            self.ids[k] = np.concatenate([self.ids[k], ids])
+            # the bytes of the tokens against those of the unit
+            flat, start, length = self.spelled[k]
+            of = np.repeat(np.arange(len(units)), count)
+            right &= np.bincount(of, length[ids], len(units)) == size
+            own = ids[right[of]]
+            differ = flat[ragged(start[own], length[own])] != text[np.repeat(right, size)]
+            right[np.repeat(np.flatnonzero(right), size[right])[differ]] = False
+        self.right = np.concatenate([self.right, right])
         self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
         self.chars += sum(map(len, units))
 
@@ -166,7 +188,7 @@ def _align(both: Tokenizers, lists: list[list[str]]) -> list[tuple | None]:
     if not len(places):
         return out
     tables, ids = [], []
-    for k, length in enumerate((both.a_length, both.b_length)):
+    for k, (_, _, length) in enumerate(both.spelled):
         count = both.count[k][places]
         tokens = pa.array(both.ids[k][ragged(both.first[k][places], count)])
         ends = np.concatenate([[0], np.cumsum(np.bincount(of, count, len(lists)))]).astype(np.int32)

@@ -124,7 +124,7 @@ def points_in_outlines(points: DataFrame, polygons: DataFrame, key: str, cell: f
 def clip_lines(lines: DataFrame, polygons: DataFrame, key: str, line: str, cell: float = 500.0) -> DataFrame:
     """(line, key, seq, ax, ay, bx, by): the pieces of each line (line, key, pts) inside the polygon of its ``key``, rim included.
 
-    Every step of a line is cut where it meets an edge; a piece is kept if its middle is inside. Steps and edges meet in
+    ``line`` names one row of ``lines``. Every step of a line is cut where it meets an edge; a piece is kept if its middle is inside. Steps and edges meet in
     the cells that both run through.
     """
     step = lines.select(line, key, F.posexplode(G.steps(F.col("pts"))).alias("seq", "s")).filter("s.b is not null")

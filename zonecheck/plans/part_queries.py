@@ -146,13 +146,6 @@ def island_stats(v: Views) -> DataFrame:
     return tessellate.island_stats(labelled(v), h, CELL).select("municipality_id", "district_id", "part", "area_m2", joined("streets"), joined("house_numbers"), "houses")
 
 
-@query("""WITH l AS (SELECT *, 's' || (l_partkey % 400) AS street_norm FROM f_seed), f AS (SELECT * FROM l WHERE l_linenumber = 2 AND NOT EXISTS (SELECT 1 FROM l o WHERE o.l_linenumber = 1 AND o.district_id = l.district_id AND o.street_norm = l.street_norm))
- SELECT DISTINCT municipality_id, district_id, x, y FROM (SELECT * FROM l WHERE l_linenumber = 1 OR l_linenumber > 5 UNION ALL SELECT * FROM f) u""")
-def seeds(v: Views) -> DataFrame:
-    s = v("f_seed").withColumn("street_norm", F.concat(F.lit("s"), (F.col("l_partkey") % 400).cast("string")))
-    return tessellate.seeds(s.filter("l_linenumber = 1"), s.filter("l_linenumber = 2"), s.filter("l_linenumber > 5"))
-
-
 LINKS = f"""body AS (SELECT l.* FROM lab l JOIN ranked r ON r.municipality_id = l.municipality_id AND r.district_id = l.district_id AND r.part = l.part WHERE r.n = 1),
  pairs AS (SELECT l.municipality_id, l.district_id, l.part, l.cx, l.cy, b.cx AS mx, b.cy AS my, row_number() OVER (PARTITION BY l.municipality_id, l.district_id, l.part ORDER BY (l.cx - b.cx) * (l.cx - b.cx) + (l.cy - b.cy) * (l.cy - b.cy), l.cx, l.cy, b.cx, b.cy) AS i
   FROM lab l JOIN ranked r ON r.municipality_id = l.municipality_id AND r.district_id = l.district_id AND r.part = l.part AND r.n > 1 JOIN body b ON b.municipality_id = l.municipality_id AND b.district_id = l.district_id),

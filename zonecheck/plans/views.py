@@ -99,6 +99,16 @@ SELECT l_orderkey AS origin_id, l_linenumber AS origin_no, l_suppkey AS district
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS district_id, CAST(floor(l_suppkey / 20) AS BIGINT) AS municipality_id,
  CAST(1000 * (l_suppkey % 10) + (l_orderkey * 37 + l_partkey * 11) % 1400 AS DOUBLE) AS x,
  CAST(1000 * floor(l_suppkey / 10) + (l_orderkey * 53 + l_partkey * 7) % 1400 AS DOUBLE) AS y FROM lineitem
+""",
+    "f_outline": """
+SELECT b.municipality_id, c.ring, c.seq, b.x0 + (b.x1 - b.x0) * CAST(c.fx AS DOUBLE) AS x, b.y0 + (b.y1 - b.y0) * CAST(c.fy AS DOUBLE) AS y
+FROM (SELECT municipality_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM f_district GROUP BY municipality_id) b
+CROSS JOIN (VALUES (0, 0, 0.02, 0.03), (0, 1, 0.55, 0.1), (0, 2, 0.97, 0.02), (0, 3, 0.9, 0.45), (0, 4, 0.98, 0.95), (0, 5, 0.6, 0.8), (0, 6, 0.35, 0.97), (0, 7, 0.05, 0.9), (0, 8, 0.2, 0.5), (0, 9, 0.02, 0.03),
+ (1, 0, 0.4, 0.35), (1, 1, 0.45, 0.6), (1, 2, 0.65, 0.55), (1, 3, 0.6, 0.3), (1, 4, 0.4, 0.35)) AS c(ring, seq, fx, fy)
+""",
+    "f_line": """
+SELECT DISTINCT CAST(l_orderkey AS VARCHAR(20)) || ':' || CAST(l_linenumber AS VARCHAR(9)) || ':' || CAST(l_partkey AS VARCHAR(20)) || ':' || CAST(district_id AS VARCHAR(20)) AS line_id, district_id, municipality_id, x AS ax, y AS ay,
+ x + 300 + 50 * (l_partkey % 7) AS bx, y + 90 * (l_orderkey % 5) - 175 AS bz FROM f_seed
 """,
 }
 

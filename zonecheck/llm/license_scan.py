@@ -82,7 +82,8 @@ def scan(documents: DataFrame, templates: DataFrame | None = None, coverage: flo
     """
     spark = documents.sparkSession
     grams = stored(template_grams(built_in(spark) if templates is None else templates))
-    starts = [r["w0"] for r in grams.select("w0").distinct().limit(FILTER_WORDS + 1).collect()]
+    # lower-cased in all letters on both sides: words that are equal after A-Z are lowered are equal so too
+    starts = [r["w0"] for r in grams.select(F.lower("w0").alias("w0")).distinct().limit(FILTER_WORDS + 1).collect()]
     keep = (lambda p: F.lit(True)) if len(starts) > FILTER_WORDS else (lambda p: F.lower(p["a"]).isin(starts))
     documents = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
     # each word with its next one; what cannot begin a k-gram of a template stays out of the table

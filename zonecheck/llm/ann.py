@@ -9,6 +9,7 @@ finds centroids by a walk over a neighbour graph of the centroids and probes the
 
 from __future__ import annotations
 
+import functools
 import math
 from typing import NamedTuple
 
@@ -217,6 +218,11 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index, k: int = 20, co
 
 
 def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
-    """The ``k`` nearest of each vector whose id is divisible by ``every``, among all others."""
+    """The ``k`` nearest of each vector whose id is divisible by ``every``, among all others of its width; each width has an index of its own."""
     x = usable(vectors)
-    return search(x, x.filter(F.col("vec_id") % every == 0), fit(x), k=k)
+    widths = sorted(r[0] for r in x.select(F.size("v")).distinct().collect())  # a row per width, mostly one
+    found = []
+    for width in widths or [0]:
+        own = x.filter(F.size("v") == width) if len(widths) > 1 else x
+        found.append(search(own, own.filter(F.col("vec_id") % every == 0), fit(own), k=k))
+    return functools.reduce(DataFrame.unionByName, found)

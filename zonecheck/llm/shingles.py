@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from .common import mix, ragged, text_chunks
 
-#: Words longer than this many bytes are taken as several words, so that the tables of powers stay small.
+#: Bytes of a long text that are read at once, so that the tables of powers stay small.
 LONGEST = 1 << 18
 
 _KIND = np.zeros(256, bool)
@@ -32,32 +32,37 @@ _UP = _powers(_BASE, 2 * LONGEST)
 _DOWN = _powers(pow(_BASE, -1, 1 << 64), 2 * LONGEST)
 
 
-def _word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each word, hash of each word) in a buffer of at most 2 * LONGEST bytes."""
+def _word_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, sum of values by powers of the place in the word, length) of each word in a buffer of at most 2 * LONGEST bytes."""
     kind = np.zeros(len(buf) + 2, bool)
     kind[1:-1] = _KIND[buf]
     edges = np.flatnonzero(kind[1:] != kind[:-1])
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_VALUE[buf] * _UP[: len(buf)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64))
+    return starts, (sums[ends] - sums[starts]) * _DOWN[starts], (ends - starts).astype(np.uint64)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts, number of words of each text)."""
     if len(texts) == 1 and len(texts[0]) > LONGEST:
-        raw, parts, at = np.frombuffer(texts[0], np.uint8), [], 0
-        while at < len(raw):
-            end = min(at + LONGEST, len(raw))
-            if end < len(raw):
-                gap = np.flatnonzero(~_KIND[raw[at:end]])
-                end = at + int(gap[-1]) + 1 if len(gap) else end
-            parts.append(_word_hashes(raw[at:end])[1])
-            at = end
-        words = np.concatenate(parts)
+        raw = np.frombuffer(texts[0], np.uint8)
+        totals, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for at in range(0, len(raw), LONGEST):
+            starts, total, size = _word_sums(raw[at : at + LONGEST])
+            if at and _KIND[raw[at - 1]] and _KIND[raw[at]]:  # a word goes on from the bytes before
+                last = int(sizes[-1][-1])
+                totals[-1][-1] = (int(totals[-1][-1]) + int(total[0]) * pow(_BASE, last, 1 << 64)) & _MASK
+                sizes[-1][-1] = last + int(size[0])
+                total, size = total[1:], size[1:]
+            if len(total):
+                totals.append(total)
+                sizes.append(size)
+        words = mix(np.concatenate(totals) + np.concatenate(sizes))
         return words, np.array([len(words)])
     buf = np.frombuffer(b"\n".join(texts), np.uint8)
-    starts, words = _word_hashes(buf)
+    starts, total, size = _word_sums(buf)
+    words = mix(total + size)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.cumsum(lengths + 1)
     return words, np.diff(np.searchsorted(starts, bounds), prepend=0)

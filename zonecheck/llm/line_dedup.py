@@ -125,7 +125,11 @@ def deletions(documents: DataFrame, rare: int = RARE, least: int = LEAST) -> tup
 
     pairs = F.expr("transform(sequence(0, size(fulls) - 2), i -> xxhash64(fulls[i].h, fulls[i + 1].h))")
     none = F.array().cast("array<struct<h: bigint, two: boolean, long: boolean>>")
-    single = F.transform(F.array_distinct("fulls"), lambda x: F.struct(x["h"].alias("h"), F.lit(False).alias("two"), x["long"].alias("long")))
+    # distinct by numbers, not by structs, which Spark compares each with each
+    long = F.array_distinct(F.transform(F.filter("fulls", lambda x: x["long"]), lambda x: x["h"]))
+    short = F.array_except(F.transform("fulls", lambda x: x["h"]), long)
+    alone = lambda hashes, is_long: F.transform(hashes, lambda h: F.struct(h.alias("h"), F.lit(False).alias("two"), F.lit(is_long).alias("long")))
+    single = F.concat(alone(short, False), alone(long, True))
     double = F.when(F.size("fulls") < 2, none).otherwise(F.transform(F.array_distinct(pairs), lambda x: F.struct(x.alias("h"), F.lit(True).alias("two"), F.lit(False).alias("long"))))
     fulls = texts.select("doc_id", "t", F.expr("filter(transform(lines, (x, i) -> if(kind[i] > 0, struct(x as h, kind[i] = 2 as long), null)), x -> x is not null)").alias("fulls"))
     evidence = fulls.select("doc_id", "t", F.explode(F.concat(single, double)).alias("e")).select("doc_id", "t", "e.h", "e.two", "e.long")
@@ -214,10 +218,11 @@ def marked(documents: DataFrame, **options) -> DataFrame:
     whole, lines = deletions(documents, **options)
     found = lines.withColumn("all", F.lit(False)).unionByName(whole.select("doc_id", "t", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("all")))
     joined = frame.join(found.withColumnRenamed("t", "found_t"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("found_t")), "left")
-    left = F.when(F.col("all"), F.lit("")).when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("filter(lines, (x, i) -> not array_contains(gone, i))"), "\n"))
+    left = F.when(F.col("all"), F.lit("")).when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i)), "\n"))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.coalesce(F.size("lines"), F.lit(0))).cast("long")
     removed = F.when(F.col("all"), n).otherwise(F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0))).cast("long")
-    out = joined.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], n.alias("n_lines"), removed.alias("n_removed"), left.alias("kept"))
+    joined = joined.withColumn("left", left)  # apart from the document's columns, of which one may be named lines
+    out = joined.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], n.alias("n_lines"), removed.alias("n_removed"), F.col("left").alias("kept"))
     return out.withColumn("deleted", (F.col("n_removed") > 0) & (F.trim("kept") == ""))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import serve, spatial, tessellate
+from ..operators import hull, outline, serve, spatial, tessellate
 from ..sources.shared import stored
 from .queries import query
 from .spatial_queries import CELL, HITS, OWNED, addresses, districts, owned
@@ -194,6 +194,18 @@ def hulls(v: Views) -> DataFrame:
     return spatial.hulls(v("f_seed"), "district_id").select("district_id", "n", F.size("hull").alias("corners"), "area")
 
 
-@query("SELECT district_id, count(*) FILTER (l_linenumber <= 2) AS street_points, count(*) FILTER (l_linenumber > 2) AS house_points, count(*) AS points FROM f_seed WHERE l_linenumber <> 4 GROUP BY 1 HAVING count(*) >= 3")
+@query("SELECT district_id, count(*) FILTER (l_linenumber <= 2) AS street_points, count(*) FILTER (l_linenumber > 2) AS house_points, count(*) AS points FROM f_seed GROUP BY 1 HAVING count(*) >= 3")
 def hull_point_counts(v: Views) -> DataFrame:
-    return spatial.hull_point_counts(v("f_seed").filter("l_linenumber <> 4").withColumn("source", F.when(F.col("l_linenumber") <= 2, "street").otherwise("house")))
+    return spatial.hull_point_counts(v("f_seed").withColumn("source", F.when(F.col("l_linenumber") <= 2, "street").otherwise("house")))
+
+
+# the ring's corners follow from a triangulation, which SQL is no means for; that each holds all points of its group is what SQL tells
+@query("""WITH p AS (SELECT district_id, count(*) AS n, count(DISTINCT x) AS nx, count(DISTINCT y) AS ny FROM f_seed GROUP BY 1) SELECT district_id, n, n AS held, true AS closed, true AS not_above_convex FROM p WHERE n >= 3 AND nx > 1 AND ny > 1""")
+def concave_hulls(v: Views) -> DataFrame:
+    points = v("f_seed").select("district_id", "x", "y")
+    rings = stored(hull.concave_hulls(points, "district_id", ratio=0.3))
+    outlines = rings.select("district_id", F.array(F.struct(F.lit(False).alias("hole"), F.col("ring").alias("pts"))).alias("rings"))
+    held = outline.points_in_outlines(points, outlines, "district_id", CELL, boundary=True, same="district_id").groupBy("district_id").agg(F.count("*").alias("held"))
+    convex = spatial.hulls(points, "district_id").select("district_id", F.col("area").alias("convex"))
+    closed = (F.element_at("ring", 1) == F.element_at("ring", -1)) & (F.size("ring") >= 4)
+    return rings.join(held, "district_id").join(convex, "district_id").select("district_id", "n", "held", closed.alias("closed"), (F.col("area") <= F.col("convex") * (1 + 1e-9)).alias("not_above_convex"))

@@ -304,6 +304,46 @@ def test_crs(spark):
     got = {r["id"]: r for r in clean.normalise_crs(df).collect()}
     assert [got[i]["crs"] for i in (1, 2, 3, 4)] == ["4326", "3857", "5514", "none"]
     assert abs(got[2]["pts"][0]["x"] - 21.2) < 1e-4 and abs(got[2]["pts"][0]["y"] - 49.0) < 1e-2
+    # the published example of the projection: within a centimetre on the grid's own ellipsoid, some 150 m away from there in WGS 84
+    one = spark.createDataFrame([(-568991.00, -1050538.63)], "x double, y double").select(G.grid_to_bessel(F.col("x"), F.col("y")).alias("own"), G.grid_to_degrees(F.col("x"), F.col("y")).alias("wgs")).first()
+    lon, lat = 16 + 50 / 60 + 59.179 / 3600, 50 + 12 / 60 + 32.442 / 3600
+    assert abs(one["own"]["lat"] - lat) * 111_000 < 0.02 and abs(one["own"]["lon"] - lon) * 71_000 < 0.02
+    moved = math.hypot((one["wgs"]["lat"] - lat) * 111_000, (one["wgs"]["lon"] - lon) * 71_000)
+    assert 80 < moved < 180
+    turned = got[3]["pts"][0]
+    assert 17 < turned["x"] < 19 and 48 < turned["y"] < 50
+
+
+def test_partitions_are_overwritten_in_place(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "table")
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string, part long")
+    io.write_partitions(rows((1, "a", 1), (2, "b", 2), (3, "c", 3), (4, "d", None)), path, ["part"])
+    stamp = lambda: {d + f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = stamp()
+    gone = spark.createDataFrame([(2,), (3,), (9,)], "part long")
+    for _ in range(2):
+        io.overwrite_partitions(rows((7, "x", 2), (8, "y", 5)), path, ["part"], gone)
+        got = sorted((r["id"], r["v"], r["part"]) for r in spark.read.parquet(path).collect())
+        assert got == [(1, "a", 1), (4, "d", None), (7, "x", 2), (8, "y", 5)]
+        after = stamp()
+        assert {k for k, v in after.items() if before.get(k) == v} == {k for k in before if "part=1" in k or "part=__" in k}
+
+
+def test_outline_distances(spark):
+    ring = lambda *p: [(False, [{"x": float(x), "y": float(y)} for x, y in p])]
+    kind = "k long, rings array<struct<hole: boolean, pts: array<struct<x: double, y: double>>>>"
+    r = np.random.default_rng(2)
+    a, b = (r.uniform(0, 5000, (n, 2)) for n in (300, 170))
+    one, two = (spark.createDataFrame([(1, ring(*p)), (k, ring(*p[:4]))], kind) for k, p in ((2, a), (3, b)))
+    got = {x["k"]: x["distance"] for x in spatial.hausdorff(one, two, "k").collect()}
+    d = np.hypot(a[:, None, 0] - b[:, 0], a[:, None, 1] - b[:, 1])
+    assert set(got) == {1} and abs(got[1] - max(d.min(0).max(), d.min(1).max())) < 1e-9
+    square = spark.createDataFrame([(i, i, ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))) for i in range(5)] + [(5, 5, [])], "district_id long, school_id long, rings array<struct<hole: boolean, pts: array<struct<x: double, y: double>>>>")
+    schools = spark.createDataFrame([(0, 5.0, 5.0), (1, 10.0, 5.0), (2, 40.0, 50.0), (3, 100.0, 5.0), (4, None, 1.0), (5, 1.0, 1.0)], "school_id long, x double, y double")
+    placed = {x["school_id"]: (x["place"], x["distance"]) for x in spatial.school_distances(schools, square).collect()}
+    assert placed == {0: ("inside", 0.0), 1: ("inside", 0.0), 2: ("near", 50.0), 3: ("far", 90.0), 4: ("unknown", None), 5: ("unknown", None)}
 
 
 def test_roads_and_stops(spark):

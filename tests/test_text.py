@@ -22,6 +22,13 @@ def column(spark, values, f, kind="string"):
 def test_masking(spark):
     assert column(spark, [a for a, _ in PII], lambda c: T.mask_pii(c, 500)) == [b for _, b in PII]
     assert [len(x) for x in column(spark, ["x" * 700], lambda c: T.mask_pii(c, 500))] == [500]
+    import random
+
+    r = random.Random(3)
+    parts = ["ab cd", "x@y.sk", "mail" + "m" * 300 + "@long.example.sk", "0905 123 456", "+421 905-123-456", "850101 " + " " * 40 + "/ 1234", "words and words", "\n", "ľúbi", "12", "."]
+    texts = ["".join(r.choice(parts) + r.choice([" ", "", " \n"]) for _ in range(r.randrange(1, 60))) for _ in range(120)]
+    for most in (20, 60):  # as if the whole text were looked at
+        assert column(spark, texts, lambda c: T.mask_pii(c, most)) == column(spark, texts, lambda c: F.left(T._masked(c), F.lit(most)))
     once = column(spark, [a for a, _ in PII], lambda c: T.mask_pii(c, 500))
     assert column(spark, once, lambda c: T.mask_pii(c, 500)) == once
 

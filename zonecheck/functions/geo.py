@@ -33,6 +33,70 @@ def utm34n(lon: Column, lat: Column) -> Column:
     return F.struct((_EAST + _K0 * radius * east).alias("x"), (_K0 * radius * north).alias("y"))
 
 
+# The national grid's ellipsoid, the centre's latitude, the cone axis' co-latitude, the pseudo standard
+# parallel, its scale and the grid's meridian, in degrees; then the shift to WGS 84 in metres and seconds of arc.
+_GRID = {"a": 6377397.155, "flat": 1 / 299.1528128, "centre": 49.5, "axis": 30 + 17 / 60 + 17.30311 / 3600, "parallel": 78.5, "scale": 0.9999, "meridian": 24 + 50 / 60}
+_SHIFT, _TURN = (485.021, 169.465, 483.839), (7.786342, 4.397554, 4.102655)
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def grid_to_bessel(x: Column, y: Column) -> Column:
+    """struct(lon, lat), in degrees on the grid's own ellipsoid, of easting and northing (both negative) in the national grid: the inverse of the oblique conic projection."""
+    g = _GRID
+    e2 = g["flat"] * (2 - g["flat"])
+    e, centre, axis, parallel = math.sqrt(e2), *(math.radians(g[k]) for k in ("centre", "axis", "parallel"))
+    big_a = g["a"] * math.sqrt(1 - e2) / (1 - e2 * math.sin(centre) ** 2)
+    big_b = math.sqrt(1 + e2 * math.cos(centre) ** 4 / (1 - e2))
+    gamma = math.asin(math.sin(centre) / big_b)
+    t0 = math.tan(math.pi / 4 + gamma / 2) * ((1 + e * math.sin(centre)) / (1 - e * math.sin(centre))) ** (e * big_b / 2) / math.tan(math.pi / 4 + centre / 2) ** big_b
+    n, r0 = math.sin(parallel), g["scale"] * big_a / math.tan(parallel)
+    south, west = -y, -x
+    d = F.atan2(west, south) / n
+    t = 2 * (F.atan(F.pow(r0 / F.hypot(south, west), F.lit(1 / n)) * math.tan(math.pi / 4 + parallel / 2)) - math.pi / 4)
+    better = lambda sphere, phi: 2 * (F.atan(sphere * F.pow((1 + e * F.sin(phi)) / (1 - e * F.sin(phi)), F.lit(e / 2))) - math.pi / 4)
+
+    def degrees(c: Column, u: Column) -> Column:
+        v = F.asin(F.cos(c["t"]) * F.sin(c["d"]) / F.cos(u))
+        sphere = t0 ** (-1 / big_b) * F.pow(F.tan(u / 2 + math.pi / 4), F.lit(1 / big_b))
+        # each pass brings some 150 times more accuracy
+        phi = _let(sphere, lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(6)), u, lambda p, _: better(s, p)))
+        return F.struct((F.lit(g["meridian"]) - F.degrees(v / big_b)).alias("lon"), F.degrees(phi).alias("lat"))
+
+    sphere_latitude = lambda c: F.asin(math.cos(axis) * F.sin(c["t"]) - math.sin(axis) * F.cos(c["t"]) * F.cos(c["d"]))
+    return _let(F.struct(t.alias("t"), d.alias("d")), lambda c: _let(sphere_latitude(c), lambda u: degrees(c, u)))
+
+
+def bessel_to_wgs84(lon: Column, lat: Column) -> Column:
+    """struct(lon, lat) in WGS 84 of degrees on the grid's ellipsoid at height 0, by three shifts and three small turns; good to about a metre."""
+    e2, f2, b = _GRID["flat"] * (2 - _GRID["flat"]), _FLAT * (2 - _FLAT), _A * (1 - _FLAT)
+    rx, ry, rz = (math.radians(s / 3600) for s in _TURN)
+
+    def place(n: Column) -> Column:
+        phi, lam = F.radians(lat), F.radians(lon)
+        return F.struct((n * F.cos(phi) * F.cos(lam)).alias("x"), (n * F.cos(phi) * F.sin(lam)).alias("y"), (n * (1 - e2) * F.sin(phi)).alias("z"))
+
+    def shifted(p: Column) -> Column:
+        x, y, z = p["x"], p["y"], p["z"]
+        return F.struct((x - rz * y + ry * z + _SHIFT[0]).alias("x"), (rz * x + y - rx * z + _SHIFT[1]).alias("y"), (-ry * x + rx * y + z + _SHIFT[2]).alias("z"))
+
+    def degrees(p: Column) -> Column:
+        across = F.hypot(p["x"], p["y"])
+        latitude = lambda theta: F.atan2(p["z"] + f2 / (1 - f2) * b * F.pow(F.sin(theta), 3), across - f2 * _A * F.pow(F.cos(theta), 3))
+        return F.struct(F.degrees(F.atan2(p["y"], p["x"])).alias("lon"), F.degrees(_let(F.atan2(p["z"] * _A, across * b), latitude)).alias("lat"))
+
+    normal = _GRID["a"] / F.sqrt(1 - e2 * F.pow(F.sin(F.radians(lat)), 2))
+    return _let(_let(_let(normal, place), shifted), degrees)
+
+
+def grid_to_degrees(x: Column, y: Column) -> Column:
+    """struct(lon, lat) in WGS 84 of easting and northing in the national grid (5514)."""
+    return _let(grid_to_bessel(x, y), lambda own: bessel_to_wgs84(own["lon"], own["lat"]))
+
+
 def steps(points: Column) -> Column:
     """struct(a, b) of successive points; a closed ring repeats its first point at its end."""
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(points) - 2, F.lit(0))), lambda i: F.struct(F.get(points, i).alias("a"), F.get(points, i + 1).alias("b")))

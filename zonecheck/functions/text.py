@@ -52,10 +52,20 @@ def norm_building_street(c: Column | str) -> Column:
 MAIL, PHONE, PERSONAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(?:\+421|00421)[\s\-]?\d{1,4}[\s\-]?\d{3,4}[\s\-]?\d{3,4}|0\d{1,4}[\s\-]?\d{3,4}[\s\-]?\d{3,4}", r"\d{6}\s*/\s*\d{3,4}"
 
 
+def _masked(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, MAIL, "[email]"), PHONE, "[tel]"), PERSONAL, "[rč]")
+
+
 def mask_pii(c: Column | str, most: int) -> Column:
-    """E-mail addresses, telephone and personal numbers replaced by a tag, then cut to ``most`` characters; null gives ''."""
-    mail = F.regexp_replace(F.coalesce(_col(c), F.lit("")), MAIL, "[email]")
-    return F.left(F.regexp_replace(F.regexp_replace(mail, PHONE, "[tel]"), PERSONAL, "[rč]"), F.lit(most))
+    """E-mail addresses, telephone and personal numbers replaced by a tag, then cut to ``most`` characters; null gives ''.
+
+    Nothing that is replaced holds a space between two letters, so a text up to such a place is masked as it would be in
+    the whole one. Where the first one after three times ``most`` characters leaves enough, the rest is not looked at.
+    """
+    whole = F.coalesce(_col(c), F.lit(""))
+    begin = F.when(F.length(whole) > 4 * most, F.regexp_extract(whole, rf"(?s)^.{{{3 * most}}}.*?[A-Za-z](?= [A-Za-z])", 0)).otherwise(F.lit(""))
+    short = F.left(_masked(begin), F.lit(most))
+    return F.when(F.length(short) == most, short).otherwise(F.left(_masked(whole), F.lit(most)))
 
 
 def url_host(c: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as T
+from ..functions import geo as G, text as T
 
 # Kinds of school by the words in a free text, the first that occurs wins; the order keeps ZS_SPECIAL out of reach.
 SCHOOL_KINDS = [("základná škola", "ZS"), ("materská škola", "MS"), ("základná umelecká", "ZUS"), ("špeciálna základná škola", "ZS_SPECIAL")]
@@ -203,11 +203,13 @@ def mercator_to_degrees(x: Column, y: Column) -> Column:
 
 
 def normalise_crs(df: DataFrame) -> DataFrame:
-    """``df`` (pts: array of struct(x, y)) with crs, sniffed from the first point, and Mercator points turned to degrees; others pass through."""
+    """``df`` (pts: array of struct(x, y)) with crs, sniffed from the first point, and points of Mercator and of the national grid turned to degrees; others pass through."""
     first = F.get("pts", 0)
     crs = (
         F.when(first.isNull(), "none").when((F.abs(first["x"]) <= 180) & (F.abs(first["y"]) <= 90), "4326")
         .when((F.abs(first["x"]) > 1e6) & (F.abs(first["x"]) < 2e7), "3857").when(first["x"].between(-9e5, -4e5), "5514").otherwise("other")
     )
-    turned = F.transform("pts", lambda p: F.struct(mercator_to_degrees(p["x"], p["y"])["lon"].alias("x"), mercator_to_degrees(p["x"], p["y"])["lat"].alias("y")))
-    return df.withColumn("crs", crs).withColumn("pts", F.when(F.col("crs") == "3857", turned).otherwise(F.col("pts")))
+    # cast renames lon and lat
+    turned = lambda f: F.transform("pts", lambda p: f(p["x"], p["y"]).cast("struct<x: double, y: double>"))
+    known = F.when(F.col("crs") == "3857", turned(mercator_to_degrees)).when(F.col("crs") == "5514", turned(G.grid_to_degrees))
+    return df.withColumn("crs", crs).withColumn("pts", known.otherwise(F.col("pts")))

@@ -77,10 +77,12 @@ def findings_from_verdicts(verdicts: DataFrame) -> DataFrame:
 def scorecard(verdicts: DataFrame, districts: DataFrame, municipalities: DataFrame, compositions: DataFrame, hosts: list[str] = T.HOSTS) -> DataFrame:
     """The latest verdict of each district and condition as shown: label, order, allowed source, masked evidence, colour."""
     d = districts.select("district_id", F.col("name").alias("district_name"), "municipality_id").join(municipalities.select("municipality_id", F.col("name").alias("municipality_name")), "municipality_id")
-    joined = latest_verdicts(verdicts).join(d, "district_id").join(compositions.select("district_id", "composition_color"), "district_id", "left")
+    # masked and cut before the joins, which then carry short texts
+    latest = latest_verdicts(verdicts).withColumn("evidence_public_text", T.mask_pii("evidence_text", 500)).drop("evidence_text")
+    joined = latest.join(d, "district_id").join(compositions.select("district_id", "composition_color"), "district_id", "left")
     return joined.select(
         "district_id", "district_name", "municipality_id", "municipality_name", "condition_code", T.condition_label("condition_code").alias("condition_label"), T.condition_order("condition_code").alias("condition_order"),
-        "value", "confidence", F.when(T.host_in_allowlist("source", hosts), F.col("source")).alias("provenance_source"), T.mask_pii("evidence_text", 500).alias("evidence_public_text"), "is_illustrative", "composition_color", "computed_at",
+        "value", "confidence", F.when(T.host_in_allowlist("source", hosts), F.col("source")).alias("provenance_source"), "evidence_public_text", "is_illustrative", "composition_color", "computed_at",
     )
 
 
@@ -88,9 +90,11 @@ def findings_public(findings: DataFrame, verdicts: DataFrame, districts: DataFra
     """Findings as shown, with rank, masked evidence and the source of their verdict if its host is allowed."""
     d = districts.select("district_id", F.col("name").alias("district_name"), "municipality_id").join(municipalities.select("municipality_id", F.col("name").alias("municipality_name")), "municipality_id")
     sources = verdicts.select("verdict_id", "source")
+    # masked and cut before the joins, which then carry short texts
+    findings = findings.withColumn("evidence_public_text", T.mask_pii("evidence_text", 200)).drop("evidence_text")
     return findings.join(d, "district_id").join(sources, "verdict_id", "left").select(
         "finding_id", "district_id", "district_name", "municipality_id", "municipality_name", "condition_code", T.condition_label("condition_code").alias("condition_label"), "severity", T.severity_rank("severity").alias("severity_rank"),
-        "status", T.mask_pii("evidence_text", 200).alias("evidence_public_text"), F.when(T.host_in_allowlist("source", hosts), F.col("source")).alias("provenance_source"), "created_at", "is_demo",
+        "status", "evidence_public_text", F.when(T.host_in_allowlist("source", hosts), F.col("source")).alias("provenance_source"), "created_at", "is_demo",
     )
 
 

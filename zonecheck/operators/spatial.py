@@ -250,12 +250,36 @@ def coverage_gap_area(cells: DataFrame, districts: DataFrame, cell: float) -> Da
 
 
 def hausdorff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, distance): the largest distance from a corner of one outline to the nearest corner of the other, either way. Both have key and rings."""
-    corners = lambda df, x, y: df.select(key, F.explode(F.flatten(F.transform("rings", lambda r: r["pts"]))).alias("p")).select(key, F.col("p.x").alias(x), F.col("p.y").alias(y)).distinct()
-    met = corners(a, "ax", "ay").join(corners(b, "bx", "by"), key).withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
-    one = met.groupBy(key, "ax", "ay").agg(F.min("d").alias("d")).groupBy(key).agg(F.max("d").alias("one"))
-    two = met.groupBy(key, "bx", "by").agg(F.min("d").alias("d")).groupBy(key).agg(F.max("d").alias("two"))
-    return one.join(two, key).select(key, F.greatest("one", "two").alias("distance"))
+    """(key, distance): the largest distance from a corner of one outline to the nearest corner of the other, either way. Both have key and rings; keys with corners in only one are left out.
+
+    Corners look for the nearest one of the other outline in tiles, as cells for seeds, so that they don't meet all of it.
+    """
+    from .tessellate import tessellate
+
+    corners = lambda df: df.select(F.col(key).alias("municipality_id"), F.explode(F.flatten(F.transform("rings", lambda r: r["pts"]))).alias("p")).select("municipality_id", "p.x", "p.y").distinct()
+    one, two = stored(corners(a)), stored(corners(b))
+    zero = F.lit(0).cast("long")
+    far = lambda x, y: tessellate(x.withColumns({"cx": zero, "cy": zero}), y.withColumn("district_id", zero)).select("municipality_id", "distance")
+    return far(one, two).unionByName(far(two, one)).groupBy(F.col("municipality_id").alias(key)).agg(F.max("distance").alias("distance"))
+
+
+#: Metres outside a polygon that still count as near it.
+NEAR = 50.0
+
+
+def polygon_distance(x: Column, y: Column, rings: Column) -> Column:
+    """Distance of a point from a polygon: 0 inside and on the rim, else to the nearest edge; null without rings."""
+    to_ring = lambda r: F.array_min(F.transform(G.steps(r["pts"]), lambda e: F.when(e["b"].isNotNull(), G.segment_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))))
+    return F.when(inside(x, y, rings, True), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, to_ring)))
+
+
+def school_distances(schools: DataFrame, districts: DataFrame, near: float = NEAR) -> DataFrame:
+    """(district_id, school_id, distance, place) of each district with a school of its own: inside, near (within ``near`` metres) or far; unknown without coordinates or outline."""
+    s = schools.select("school_id", "x", "y")
+    joined = districts.filter("school_id is not null").select("district_id", "school_id", "rings").join(s, "school_id")
+    d = joined.withColumn("distance", polygon_distance(F.col("x"), F.col("y"), F.col("rings")))
+    place = F.when(F.col("distance").isNull(), "unknown").when(F.col("distance") == 0, "inside").when(F.col("distance") <= near, "near").otherwise("far")
+    return d.select("district_id", "school_id", "distance", place.alias("place"))
 
 
 def ring_fault(points: list[tuple[float, float]]) -> str | None:
@@ -325,9 +349,11 @@ def simplify(polygons: DataFrame, tolerance: float) -> DataFrame:
 
 
 def topology_report(districts: DataFrame, points: DataFrame, schools: DataFrame) -> DataFrame:
-    """(check, failures): invalid outlines, points not in exactly one district, overlapping pairs, districts without a school of theirs inside."""
+    """(check, failures): invalid outlines, points not in exactly one district, overlapping pairs, districts without a school of theirs inside, districts whose own school is near them, and far."""
+    placed = stored(school_distances(schools, districts))
     n = lambda name, df: df.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check"), "failures")
     return (
         n("T1 validity", validity(districts, "district_id").filter("not valid")).unionByName(n("T2 coverage", coverage_failures(points, districts)))
         .unionByName(n("T3 overlaps", overlap_pairs(districts))).unionByName(n("T4 school inside", schools_per_district(schools, districts).filter("school_count = 0")))
+        .unionByName(n("T5 school near", placed.filter("place = 'near'"))).unionByName(n("T6 school far", placed.filter("place = 'far'")))
     )

@@ -110,14 +110,30 @@ def validate_geom_type(v: Views) -> DataFrame:
     return clean.validate_geom_type(v("f_district").select("district_id", kind.alias("geometry_type")), "district_id")
 
 
-@query("""SELECT address_id, CASE address_id % 3 WHEN 0 THEN '4326' WHEN 1 THEN '3857' ELSE 'other' END AS crs,
- round(CASE address_id % 3 WHEN 0 THEN x / 1000 WHEN 1 THEN degrees((x + 2300000) / 6378137.0) ELSE x + 400000 END, 9) AS x, round(CASE address_id % 3 WHEN 0 THEN 40 + y / 10000 WHEN 1 THEN degrees(2 * atan(exp((y + 6200000) / 6378137.0)) - pi() / 2) ELSE y END, 9) AS y FROM f_address""")
+GRID = """g AS (SELECT *, -(gy - 1250000) AS south, -(gx - 520000) AS west FROM (SELECT address_id, x AS gx, y AS gy FROM f_address WHERE address_id % 3 = 2) q),
+ e AS (SELECT sqrt(6.67437223180214e-3) AS e, radians(49.5e0) AS fc, radians(30 + 17 / 60e0 + 17.30311e0 / 3600) AS ax, radians(78.5e0) AS fp),
+ k AS (SELECT *, sqrt(1 + e * e * pow(cos(fc), 4) / (1 - e * e)) AS b, 6377397.155e0 * sqrt(1 - e * e) / (1 - e * e * pow(sin(fc), 2)) AS a FROM e),
+ k2 AS (SELECT *, tan(pi() / 4 + asin(sin(fc) / b) / 2) * pow((1 + e * sin(fc)) / (1 - e * sin(fc)), e * b / 2) / pow(tan(pi() / 4 + fc / 2), b) AS t0, 0.9999e0 * a / tan(fp) AS r0 FROM k),
+ s1 AS (SELECT g.address_id, k2.*, atan2(west, south) / sin(fp) AS d, 2 * (atan(pow(r0 / sqrt(south * south + west * west), 1 / sin(fp)) * tan(pi() / 4 + fp / 2)) - pi() / 4) AS t FROM g, k2),
+ s2 AS (SELECT *, asin(cos(ax) * sin(t) - sin(ax) * cos(t) * cos(d)) AS u FROM s1),
+ p0 AS (SELECT *, u AS p, 24 + 50 / 60e0 - degrees(asin(cos(t) * sin(d) / cos(u)) / b) AS lon FROM s2),
+ """ + ",\n ".join(f"p{i + 1} AS (SELECT * REPLACE (2 * (atan(pow(t0, -1 / b) * pow(tan(u / 2 + pi() / 4), 1 / b) * pow((1 + e * sin(p)) / (1 - e * sin(p)), e / 2)) - pi() / 4) AS p) FROM p{i})" for i in range(8)) + """,
+ xyz AS (SELECT address_id, n * cos(p) * cos(radians(lon)) AS x, n * cos(p) * sin(radians(lon)) AS y, n * (1 - e * e) * sin(p) AS z FROM (SELECT *, 6377397.155e0 / sqrt(1 - e * e * pow(sin(p), 2)) AS n FROM p8) q),
+ turned AS (SELECT address_id, x - radians(4.102655e0 / 3600) * y + radians(4.397554e0 / 3600) * z + 485.021e0 AS x, radians(4.102655e0 / 3600) * x + y - radians(7.786342e0 / 3600) * z + 169.465e0 AS y, -radians(4.397554e0 / 3600) * x + radians(7.786342e0 / 3600) * y + z + 483.839e0 AS z FROM xyz),
+ w0 AS (SELECT *, 6.694379990141316e-3 AS f2, atan2(z, sqrt(x * x + y * y)) AS q FROM turned),
+ """ + ",\n ".join(f"w{i + 1} AS (SELECT * REPLACE (atan2(z + f2 * 6378137e0 / sqrt(1 - f2 * pow(sin(q), 2)) * sin(q), sqrt(x * x + y * y)) AS q) FROM w{i})" for i in range(6)) + """,
+ grid AS (SELECT address_id, degrees(atan2(y, x)) AS lon, degrees(q) AS lat FROM w6)"""
+
+
+# points in degrees, in Mercator and in the national grid; the last by another way back to degrees, of more passes
+@query(f"""WITH {GRID} SELECT f.address_id, CASE f.address_id % 3 WHEN 0 THEN '4326' WHEN 1 THEN '3857' ELSE '5514' END AS crs,
+ round(CASE f.address_id % 3 WHEN 0 THEN x / 1000 WHEN 1 THEN degrees((x + 2300000) / 6378137.0) ELSE grid.lon END, 7) AS x, round(CASE f.address_id % 3 WHEN 0 THEN 40 + y / 10000 WHEN 1 THEN degrees(2 * atan(exp((y + 6200000) / 6378137.0)) - pi() / 2) ELSE grid.lat END, 7) AS y FROM f_address f LEFT JOIN grid ON grid.address_id = f.address_id""")
 def normalise_crs(v: Views) -> DataFrame:
     k = F.col("address_id") % 3
-    x = F.when(k == 0, F.col("x") / 1000).when(k == 1, F.col("x") + 2300000).otherwise(F.col("x") + 400000)
-    y = F.when(k == 0, 40 + F.col("y") / 10000).when(k == 1, F.col("y") + 6200000).otherwise(F.col("y"))
+    x = F.when(k == 0, F.col("x") / 1000).when(k == 1, F.col("x") + 2300000).otherwise(F.col("x") - 520000)
+    y = F.when(k == 0, 40 + F.col("y") / 10000).when(k == 1, F.col("y") + 6200000).otherwise(F.col("y") - 1250000)
     out = clean.normalise_crs(v("f_address").select("address_id", F.array(F.struct(x.alias("x"), y.alias("y"))).alias("pts")))
-    return out.select("address_id", "crs", F.round(F.col("pts")[0]["x"], 9).alias("x"), F.round(F.col("pts")[0]["y"], 9).alias("y"))
+    return out.select("address_id", "crs", F.round(F.col("pts")[0]["x"], 7).alias("x"), F.round(F.col("pts")[0]["y"], 7).alias("y"))
 
 
 # --- display filters and bases

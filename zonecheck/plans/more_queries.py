@@ -62,12 +62,23 @@ def coverage_gap_area(v: Views) -> DataFrame:
     return spatial.coverage_gap_area(tessellate.raster(bounds, CELL), districts(v), CELL)
 
 
-# each outline moved by a distance of its own
-@query("SELECT district_id, sqrt(pow(district_id % 50 + 1, 2) + pow(district_id % 31, 2)) AS distance FROM f_district")
+# the municipality's outline against the corners of all its districts, all pairs of corners
+@query("""WITH a AS (SELECT DISTINCT municipality_id, x, y FROM f_outline), b AS (SELECT municipality_id, x0 AS x, y0 AS y FROM f_district UNION SELECT municipality_id, x1, y0 FROM f_district UNION SELECT municipality_id, x1, y1 FROM f_district UNION SELECT municipality_id, x0, y1 FROM f_district),
+ d AS (SELECT a.municipality_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bz, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM a JOIN b ON b.municipality_id = a.municipality_id),
+ m AS (SELECT municipality_id, min(d) AS d FROM d GROUP BY municipality_id, ax, ay UNION ALL SELECT municipality_id, min(d) FROM d GROUP BY municipality_id, bx, bz) SELECT municipality_id, round(max(d), 6) AS distance FROM m GROUP BY 1""")
 def hausdorff(v: Views) -> DataFrame:
-    dx, dy = F.col("district_id") % 50 + 1, F.col("district_id") % 31
-    moved = v("f_district").withColumns({"x0": F.col("x0") + dx, "x1": F.col("x1") + dx, "y0": F.col("y0") + dy, "y1": F.col("y1") + dy})
-    return spatial.hausdorff(districts(v), spatial.box_polygons(moved), "district_id")
+    from .outline_queries import outlines
+
+    boxes = districts(v).select("municipality_id", F.explode("rings").alias("r")).groupBy("municipality_id").agg(F.collect_list("r").alias("rings"))
+    return spatial.hausdorff(outlines(v), boxes, "municipality_id").withColumn("distance", F.round("distance", 6))
+
+
+PLACED = """placed AS (SELECT d.district_id, d.school_id, sqrt(pow(greatest(0, d.x0 - s.x, s.x - d.x1), 2) + pow(greatest(0, d.y0 - s.y, s.y - d.y1), 2)) AS distance FROM f_district d JOIN f_school s ON s.school_id = d.school_id)"""
+
+
+@query(f"WITH {PLACED} SELECT district_id, school_id, round(distance, 6) AS distance, CASE WHEN distance = 0 THEN 'inside' WHEN distance <= 50 THEN 'near' ELSE 'far' END AS place FROM placed")
+def school_distances(v: Views) -> DataFrame:
+    return spatial.school_distances(v("f_school"), districts(v)).withColumn("distance", F.round("distance", 6))
 
 
 # outlines with each fault: crossing itself, unclosed, too short, without points; the rest are fine
@@ -92,7 +103,7 @@ def simplify(v: Views) -> DataFrame:
     return thin.select("district_id", F.size(F.col("rings")[0]["pts"]).cast("long").alias("points"), G.area_m2(F.col("rings")).alias("area"))
 
 
-@query(f"""WITH {FAILURES}, {PAIRS}, s AS (SELECT d.district_id, count(a.school_id) AS n FROM f_district d LEFT JOIN f_school a ON a.is_public AND a.type = d.school_type AND a.x >= d.x0 AND a.x <= d.x1 AND a.y >= d.y0 AND a.y <= d.y1 GROUP BY 1)
- SELECT 'T1 validity' AS "check", CAST(0 AS BIGINT) AS failures UNION ALL SELECT 'T2 coverage', count(*) FROM fails UNION ALL SELECT 'T3 overlaps', count(*) FROM pairs UNION ALL SELECT 'T4 school inside', count(*) FROM s WHERE n = 0""")
+@query(f"""WITH {FAILURES}, {PAIRS}, {PLACED}, s AS (SELECT d.district_id, count(a.school_id) AS n FROM f_district d LEFT JOIN f_school a ON a.is_public AND a.type = d.school_type AND a.x >= d.x0 AND a.x <= d.x1 AND a.y >= d.y0 AND a.y <= d.y1 GROUP BY 1)
+ SELECT 'T1 validity' AS "check", CAST(0 AS BIGINT) AS failures UNION ALL SELECT 'T2 coverage', count(*) FROM fails UNION ALL SELECT 'T3 overlaps', count(*) FROM pairs UNION ALL SELECT 'T4 school inside', count(*) FROM s WHERE n = 0 UNION ALL SELECT 'T5 school near', count(*) FROM placed WHERE distance > 0 AND distance <= 50 UNION ALL SELECT 'T6 school far', count(*) FROM placed WHERE distance > 50""")
 def topology_report(v: Views) -> DataFrame:
     return spatial.topology_report(districts(v), addresses(v), v("f_school"))

@@ -108,6 +108,30 @@ def replace_partition(existing: DataFrame, incoming: DataFrame, predicate: Colum
     return existing.filter(~F.coalesce(predicate, F.lit(False))).unionByName(incoming, allowMissingColumns=True)
 
 
+def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Writes a table with a folder for each value of ``by``; what stood at ``path`` goes."""
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(path)
+
+
+def overwrite_partitions(incoming: DataFrame, path: str, by: list[str], emptied: DataFrame | None = None) -> None:
+    """Replaces the partitions of the table at ``path`` that ``incoming`` has rows of; no other file is touched, and running it again changes nothing.
+
+    ``emptied`` (the columns of ``by``) names further partitions to replace, which are deleted where nothing comes in.
+    ``incoming`` must not read from the same table; its rows of a partition are all that the partition then holds.
+    """
+    incoming.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    if emptied is None:
+        return
+    jvm = incoming.sparkSession._jvm
+    name = lambda r: "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if r[c] is None else r[c]}" for c in by)
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(incoming.sparkSession._jsc.hadoopConfiguration())
+    for r in emptied.select(*by).distinct().join(incoming.select(*by).distinct(), by, "left_anti").toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(root, name(r))
+        if files.exists(folder):
+            files.delete(folder, True)
+
+
 def catalogue(spark: SparkSession, key: str, completeness: int, validity: int, version: str, status: str) -> DataFrame:
     """A row of the data catalogue."""
     return spark.range(1).select(F.lit(key).alias("key"), F.lit(completeness).alias("completeness"), F.lit(validity).alias("validity"), F.lit(version).alias("version"), F.current_timestamp().alias("fetched_at"), F.lit(status).alias("status"))

@@ -107,7 +107,10 @@ def test_classes_of_streets(spark):
     assert got["Jaboňová"][0] == "FUZZY" and got["Neznáma"][0] == "NOT_FOUND"
 
 
-def test_classes_agree_with_the_full_product(spark):
+@pytest.mark.parametrize("block", [None, 7])
+def test_classes_agree_with_the_full_product(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(ordinance, "BLOCK", block)
     r = random.Random(3)
     name = lambda: "".join(r.choice("abcdenorst ") for _ in range(r.choice([4, 5, 6, 9, 30, 70]))).strip()
     register = {m: sorted({name() for _ in range(60)} | {"jasna", "letna", "hodna", "zz"}) for m in (1, 2)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..sources.shared import stored
 
 _HEAD = r"(?m)^(\d+)\.\s+(Základná škola[^:]+):\s*$"
 
@@ -113,16 +115,51 @@ def _closest(wanted: list[str], keys: list[str], names: list[str], floor: float)
     return best, scores
 
 
-#: Tasks that the unmatched streets of one municipality are dealt to.
-DEALT = 16
+#: Ordinance streets, and register keys, that one task compares.
+BLOCK = 512
+
+
+def closest_keys(wanted: DataFrame, keys: DataFrame, floor: float, block: int | None = None) -> DataFrame:
+    """(municipality_id, k, best, score): for each k of ``wanted`` (municipality_id, k) the name of the key of its municipality with the highest ratio, of equal ones the first name; k without one from ``floor`` on are left out.
+
+    ``keys`` has (municipality_id, rk, best). Both sides are dealt out in blocks of about ``block`` rows, so a task
+    compares a bounded number of pairs however large a municipality is. A block's keys are of like length: texts of
+    which one is longer than 2 / floor - 1 times the other cannot reach the floor, and such blocks don't meet.
+    """
+    block = BLOCK if block is None else block
+    wanted = wanted.filter("municipality_id is not null and k is not null").select("municipality_id", "k").distinct()
+    keys = keys.filter("municipality_id is not null and rk is not null")
+    # with a ratio of floor, 2 * shorter / (shorter + longer) >= floor
+    most = 2 / floor - 1 if floor > 0 else None
+    step = math.log(most) if most and most > 1 else 1.0
+    kind = lambda c: (F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step + 1e-9) if most else F.lit(0)).cast("int")
+    w, r = wanted.withColumn("__class", kind("k")), keys.withColumn("__class", kind("rk"))
+    blocks = lambda df, n: df.groupBy("municipality_id", "__class").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    near = F.explode(F.array(*[F.col("__class") + i for i in ((-1, 0, 1) if most else (0,))]))
+    sizes = stored(blocks(w, "__n").withColumn("__with", near).join(blocks(r, "__m").withColumnRenamed("__class", "__with"), ["municipality_id", "__with"]))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = ["municipality_id", "__class", "__with", "__a", "__b"]
+    left = w.join(sizes, ["municipality_id", "__class"]).withColumn("__a", part("k", "__n")).withColumn("__b", every("__m"))
+    right = r.withColumnRenamed("__class", "__with").join(sizes, ["municipality_id", "__with"]).withColumn("__b", part("rk", "__m")).withColumn("__a", every("__n"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        best, score = _closest(list(a["k"]), list(b["rk"]), list(b["best"]), floor)
+        return pd.DataFrame({"municipality_id": a["municipality_id"], "k": a["k"], "best": best, "score": score}).dropna(subset=["best"])
+
+    kinds = dict(wanted.dtypes)
+    met = left.select(*at, "k").groupBy(*at).cogroup(right.select(*at, "rk", "best").groupBy(*at)).applyInPandas(compare, f"municipality_id {kinds['municipality_id']}, k string, best string, score double")
+    best = met.groupBy("municipality_id", "k").agg(F.min(F.struct((-F.col("score")).alias("s"), "best")).alias("b"))
+    return best.select("municipality_id", "k", "b.best", (-F.col("b.s")).alias("score"))
 
 
 def classify_streets(ordinance: DataFrame, register: DataFrame, threshold: float = 0.8, nearest: bool = False) -> DataFrame:
     """(municipality_id, street, match_class, best, score) of ordinance streets against register streets of the same municipality: EXACT, NORMALIZED, FUZZY by the ratio of keys, else NOT_FOUND.
 
-    A street that is neither EXACT nor NORMALIZED meets every key of its municipality; a bound from the longest common
-    subsequence leaves out those that cannot be the best, which changes no result. With ``nearest`` NOT_FOUND rows give
-    the best register street and its score too (null and 0 where no letter is shared), else null.
+    A street that is neither EXACT nor NORMALIZED is compared with the keys whose length allows the threshold. With
+    ``nearest``, those that stay NOT_FOUND are compared with all keys of their municipality, and give the best one and
+    its score too (null and 0 where no letter is shared), else null. Bounds from the longest common subsequence leave
+    out keys that cannot be the best, which changes no result.
     """
     o = ordinance.select("municipality_id", "street").distinct().withColumn("k", T.norm_street("street"))
     r = register.select("municipality_id", F.col("ulica").alias("best")).distinct().withColumn("rk", T.norm_street("best"))
@@ -131,18 +168,13 @@ def classify_streets(ordinance: DataFrame, register: DataFrame, threshold: float
     rest = o.join(exact, ["municipality_id", "street"], "left_anti")
     normal = rest.join(keys, (rest["municipality_id"] == keys["municipality_id"]) & (rest["k"] == keys["rk"])).select(rest["municipality_id"], "street", "best")
     rest = rest.join(normal, ["municipality_id", "street"], "left_anti")
-    floor = 0.0 if nearest else threshold
-
-    @F.pandas_udf("best array<string>, score array<double>")
-    def closest(wanted: pd.Series, keys: pd.Series, names: pd.Series) -> pd.DataFrame:
-        found = [_closest(list(w), [] if k is None else list(k), [] if n is None else list(n), floor) for w, k, n in zip(wanted, keys, names, strict=True)]
-        return pd.DataFrame({"best": [b for b, _ in found], "score": [s for _, s in found]})
-
-    listed = keys.filter(F.col("rk").isNotNull()).groupBy("municipality_id").agg(F.collect_list(F.struct("rk", "best")).alias("r"))
-    dealt = rest.groupBy("municipality_id", F.pmod(F.xxhash64("k"), F.lit(DEALT)).alias("deal")).agg(F.collect_list(F.struct("street", "k")).alias("o")).join(listed, "municipality_id", "left")
-    dealt = dealt.repartition("municipality_id", "deal")
-    found = dealt.select("municipality_id", F.col("o.street").alias("street"), closest("o.k", "r.rk", "r.best").alias("c"))
-    found = found.select("municipality_id", F.explode(F.arrays_zip("street", F.col("c.best").alias("best"), F.col("c.score").alias("score"))).alias("x")).select("municipality_id", "x.*")
+    rest = stored(rest)
+    found = stored(closest_keys(rest, keys, threshold))
+    if nearest:
+        open_ = rest.join(found.select("municipality_id", "k"), ["municipality_id", "k"], "left_anti")
+        found = found.unionByName(closest_keys(open_, keys, 0.0))
+    f = found.withColumnsRenamed({"municipality_id": "__m", "k": "__k"})
+    found = rest.join(f, (F.col("municipality_id") == F.col("__m")) & (F.col("k") == F.col("__k")), "left").select("municipality_id", "street", "best", F.coalesce("score", F.lit(0.0)).alias("score"))
     fuzzy = F.col("score") >= threshold
     shown = fuzzy | F.lit(nearest)
     kinds = lambda df, kind, best, score: df.select("municipality_id", "street", kind.alias("match_class"), best.alias("best"), score.cast("double").alias("score"))

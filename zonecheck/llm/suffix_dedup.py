@@ -9,6 +9,10 @@ as one row, about one for every 170 bytes. The second digit is all that a run's
 are repeated as a whole; the last, for the runs left and one of each settled kind, is the window itself, by a 128-bit
 hash: within a task for groups of a bounded size, by a shuffle for large ones. Counts are combined before each shuffle
 and keys that hold many rows are salted, so a passage that a third of all documents share is no task of its own.
+
+So digits here are hashes, not a suffix's own leading bytes, which departs from a radix sort to the letter: only which
+suffixes are equal matters, not their order, and of successive suffixes each would be a row by its leading bytes, while
+a digit that they share moves them as one.
 """
 
 from __future__ import annotations

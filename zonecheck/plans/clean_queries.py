@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geo as G, text as T
 from ..operators import clean, rules, serve, spatial
 from .queries import LATEST, query
-from .spatial_queries import HITS, PAIRS, SHARED, addresses, districts
+from .spatial_queries import CONSISTENT, HITS, PAIRS, SHARED, addresses, consistency, districts
 from .views import Views
 
 KIND_TEXT = "CASE s_suppkey % 5 WHEN 0 THEN 'Základná škola Horná' WHEN 1 THEN 'Materská škola Dolná' WHEN 2 THEN 'Základná umelecká škola' WHEN 3 THEN 'Špeciálna základná škola' ELSE 'Gymnázium' END"
@@ -197,11 +197,10 @@ def overlays_in_scope(v: Views) -> DataFrame:
     return spatial.overlays_in_scope(overlays, districts(v).filter("school_type = 'ZS'"), "school_id").select("school_id")
 
 
-@query(f"""WITH {HITS}, m AS (SELECT district_id, address_id FROM hits WHERE district_id % 2 = 0) SELECT m.address_id, m.district_id, a.x, a.y FROM m JOIN f_address a ON a.address_id = m.address_id WHERE m.address_id % 5 <> 0""")
+@query(f"""WITH {CONSISTENT}, m AS (SELECT address_id, unnest(vzn_districts) AS vzn_district_id, poly_district_id FROM cons WHERE result = 'MISMATCH') SELECT m.address_id, m.vzn_district_id, m.poly_district_id, a.x, a.y FROM m JOIN f_address a ON a.address_id = m.address_id WHERE m.address_id % 5 <> 0""")
 def mismatch_points(v: Views) -> DataFrame:
-    inside = spatial.points_in_polygons(addresses(v), districts(v)).select("address_id", "district_id").filter("district_id % 2 = 0")
     points = addresses(v).withColumn("x", F.when(F.col("address_id") % 5 != 0, F.col("x")))
-    return clean.mismatch_points(inside, points)
+    return clean.mismatch_points(spatial.mismatch_rows(consistency(v)), points)
 
 
 @query(f"""WITH l AS (SELECT d.district_id, s.x AS ax, s.y AS ay, d.x1 + 600 AS bx, d.y1 + 300 AS bz FROM f_district d JOIN f_school s ON s.school_id = d.district_id),

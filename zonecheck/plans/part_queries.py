@@ -117,6 +117,13 @@ def _pass_sql(cells: str, n: int) -> str:
     return f"{labelled_sql(cells, lab)}, {evidence_sql(lab, f'ev{n}')}, {empty}, {longest_sql(lab, f'long{n}')}, {absorbed_sql(lab, f'long{n}', f'empty{n}', f'cells{n}')}"
 
 
+@query(f"""WITH RECURSIVE {PARTS}, {HOUSES}, {evidence_sql('lab', 'ev')}, k AS (SELECT district_id, count(*) AS k, sum(area_m2) AS total_m2 FROM parts GROUP BY 1)
+ SELECT p.municipality_id, p.district_id, p.part, p.area_m2, p.area_m2 / k.total_m2 AS share, p.area_m2 > 0.1e0 * 1e6 AS refused FROM parts p JOIN k ON k.district_id = p.district_id AND k.k > 1 JOIN ev ON ev.municipality_id = p.municipality_id AND ev.district_id = p.district_id AND ev.part = p.part AND ev.houses = 0""")
+def evidenceless_candidates(v: Views) -> DataFrame:
+    found = tessellate.absorb_evidenceless(owned(v), houses(v), CELL, max_km2=0.10, passes=4, dry_run=True)
+    return found.select("municipality_id", "district_id", "part", "area_m2", "share", (F.col("area_m2") > 0.10 * 1e6).alias("refused"))
+
+
 @query(f"""WITH RECURSIVE {OWNED}, {HOUSES}, {_pass_sql('owned', 1)}, {_pass_sql('cells1', 2)} SELECT district_id, count(*) AS cells, count(*) * {CELL * CELL}e0 AS area FROM cells2 GROUP BY 1""")
 def absorb_evidenceless(v: Views) -> DataFrame:
     return tessellate.district_cells(tessellate.absorb_evidenceless(owned(v), houses(v), CELL, max_km2=10.0, passes=2), CELL)

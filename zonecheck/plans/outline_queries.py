@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import outline, spatial, tessellate
+from ..operators import outline, smooth, spatial, tessellate
 from .part_queries import CORRIDORS, LINKS, RANKED, SEED_CELLS, SHOTS, evidence_sql, labelled
 from .queries import query
 from .spatial_queries import BOUNDS, CELL, OWNED, addresses, districts
@@ -106,3 +106,29 @@ def gap_areas(v: Views) -> DataFrame:
 def join_islands(v: Views) -> DataFrame:
     joined = tessellate.join_islands(labelled(v), v("f_seed").select("municipality_id", "district_id", "x", "y"), CELL)
     return joined.groupBy("district_id").agg(F.count("*").alias("cells"))
+
+
+DISK = "disk AS (SELECT dx, dy FROM (SELECT unnest(range(-2, 3)) AS dx) a, (SELECT unnest(range(-2, 3)) AS dy) b WHERE dx * dx + dy * dy <= 4)"
+
+
+def _grown_sql(cells: str, name: str) -> str:
+    return f"{name} AS (SELECT DISTINCT municipality_id, cx + dx AS cx, cy + dy AS cy FROM {cells}, disk)"
+
+
+def _shrunk_sql(cells: str, name: str) -> str:
+    """Cells of which all thirteen of the disk are there."""
+    return f"{name} AS (SELECT c.municipality_id, c.cx, c.cy FROM {cells} c, disk JOIN {cells} o ON o.municipality_id = c.municipality_id AND o.cx = c.cx + dx AND o.cy = c.cy + dy GROUP BY 1, 2, 3 HAVING count(*) = 13)"
+
+
+SMOOTH = f"{RASTER}, {DISK}, {_grown_sql('held', 'g1')}, {_shrunk_sql('g1', 'g2')}, {_shrunk_sql('g2', 'g3')}, {_grown_sql('g3', 'g4')}"
+
+
+@query(f"WITH {SMOOTH} SELECT municipality_id, cx, cy FROM g4")
+def smoothed_cells(v: Views) -> DataFrame:
+    return smooth.smoothed_cells(outlines(v), 2 * CELL, CELL, "municipality_id")
+
+
+@query(f"""WITH {SMOOTH}, a AS (SELECT municipality_id, count(*) * {CELL * CELL}e0 AS area_before FROM held GROUP BY 1), b AS (SELECT municipality_id, count(*) * {CELL * CELL}e0 AS area_after FROM g4 GROUP BY 1)
+ SELECT a.municipality_id, area_before, coalesce(area_after, 0e0) AS area_after, coalesce(area_after, 0e0) / area_before - 1 AS drift FROM a LEFT JOIN b ON b.municipality_id = a.municipality_id""")
+def smooth_report(v: Views) -> DataFrame:
+    return smooth.smooth_report(outlines(v), 2 * CELL, CELL, "municipality_id")

@@ -33,6 +33,18 @@ def test_masking(spark):
     assert column(spark, once, lambda c: T.mask_pii(c, 500)) == once
 
 
+def test_addresses_are_masked_as_by_the_plain_pattern_and_long_words_read_once(spark):
+    import random
+    import re
+
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", "b9", ".", "@", "-", " ", "x@y.sk", ".com", "@d.org", "%", "ž"]) for _ in range(r.randrange(1, 30))) for _ in range(400)]
+    texts += ["a@b.com.x@d.org", "a@b.com@c.de", ".@..aa", "@a.bc"]
+    plain = [re.sub(T.PERSONAL, "[rč]", re.sub(T.PHONE, "[tel]", re.sub(T.MAIL, "[email]", t))) for t in texts]
+    assert column(spark, texts, T._masked) == plain
+    assert column(spark, ["q" * 2_000_000], lambda c: F.length(T.mask_pii(c, 300))) == [300]
+
+
 def test_street_keys(spark):
     same = [("Tehelná.", "Tehelná"), ("Mätová ulica", "Mätová"), ("Ulica Štefana Náhalku.", "Štefana Náhalku"), ("Pőschlova", "Pöschlova"), ("K Starej Tehelni", "K Starej tehelni"), ("Arm. gen. Svobodu", "Armádneho generála Svobodu")]
     a, b = (column(spark, [x[i] for x in same], T.norm_street) for i in range(2))

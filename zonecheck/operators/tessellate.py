@@ -32,13 +32,15 @@ def tessellate(cells: DataFrame, seeds: DataFrame, tile: float | None = None) ->
     the next pass with tiles of four times the size, until all have an owner. A pass joins on the tile, so that no cell
     meets the seeds of a whole municipality; the first tile, unless given, holds about four seeds.
     """
-    todo = cells.join(seeds.select("municipality_id").distinct(), "municipality_id", "left_semi")
-    s = seeds.select("municipality_id", "district_id", F.col("x").alias("sx"), F.col("y").alias("sy")).distinct()
+    # read by every pass: written once
+    s = stored(seeds.select("municipality_id", "district_id", F.col("x").alias("sx"), F.col("y").alias("sy")).distinct())
+    boxes = s.groupBy("municipality_id").agg(F.count("*").alias("n"), ((F.max("sx") - F.min("sx")) * (F.max("sy") - F.min("sy"))).alias("area"), F.max(F.greatest(F.abs("sx"), F.abs("sy"))).alias("extent"))
+    boxes = stored(boxes)
+    todo = cells.join(boxes.select("municipality_id"), "municipality_id", "left_semi")
+    n, area, extent = boxes.agg(F.sum("n"), F.sum("area"), F.max("extent")).first()
     if tile is None:
-        boxes = s.groupBy("municipality_id").agg(F.count("*").alias("n"), ((F.max("sx") - F.min("sx")) * (F.max("sy") - F.min("sy"))).alias("area"))
-        n, area = boxes.agg(F.sum("n"), F.sum("area")).first()
         tile = math.sqrt(4 * area / n) if n and area else 1000.0
-    extent = s.agg(F.max(F.greatest(F.abs("sx"), F.abs("sy")))).first()[0] or 0.0
+    extent = extent or 0.0
     far = cells.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
     done = None
     while True:

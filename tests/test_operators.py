@@ -410,6 +410,15 @@ def test_rows_to_be_shown(spark):
     assert sorted((r["school_id"], r["founder_name"]) for r in clean.school_markers(schools, founders).collect()) == [(1, "Mesto"), (2, None)]
     public = spark.createDataFrame([(1, "high", 4, False), (2, "critical", 5, False), (3, "medium", 3, True), (4, "low", 2, True)], "finding_id long, severity string, severity_rank int, is_demo boolean")
     assert [r["finding_id"] for r in serve.findings_panel_order(public).collect()] == [3, 2, 1]
+    assert sorted((r["place"], r["finding_id"]) for r in serve.findings_panel_places(public).collect()) == [(1, 3), (2, 2), (3, 1)]
+
+
+def test_places_in_an_order_are_numbered_range_by_range(spark):
+    rows = spark.range(0, 5000, 1, 7).select(F.col("id"), F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 1000).alias("x"))
+    got = serve.numbered(rows.repartition(9), F.col("x").desc_nulls_last(), F.col("id")).collect()
+    want = sorted(((r["x"], r["id"]) for r in got), key=lambda t: (t[0] is None, -(t[0] or 0), t[1]))
+    assert [(r["x"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(1, 5001))
+    assert serve.numbered(rows.limit(0), F.col("x"), F.col("id")).columns == ["id", "x", "place"] and serve.numbered(rows.limit(0), F.col("id")).count() == 0
 
 
 def test_prefix_match_with_a_common_beginning(spark):

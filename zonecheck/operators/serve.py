@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..sources.io import to_geojson
+from ..sources.shared import stored
 
 LEGAL, INDICATORS = ["S1", "S2", "S3"], ["Pa", "Pb", "Pc", "Pd"]
 
@@ -103,9 +104,27 @@ def findings_panel(public: DataFrame) -> DataFrame:
     return public.filter(F.col("severity").isin("critical", "high", "medium"))
 
 
+def _panel_order() -> list[Column]:
+    return [F.col("is_demo").desc(), F.col("severity_rank").desc(), F.col("finding_id")]
+
+
 def findings_panel_order(public: DataFrame) -> DataFrame:
     """The severe findings in the order of the panel: demo rows first, then the most severe, then by id."""
-    return findings_panel(public).orderBy(F.col("is_demo").desc(), F.col("severity_rank").desc(), "finding_id")
+    return findings_panel(public).orderBy(*_panel_order())
+
+
+def findings_panel_places(public: DataFrame) -> DataFrame:
+    """The severe findings, each with its ``place`` in the order of the panel."""
+    return numbered(findings_panel(public), *_panel_order())
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Adds ``name``, the place of each row in ``order`` from 1. Rows are sorted by ranges and numbered in their range; only the counts of ranges, a row each, meet in one task."""
+    at = F.monotonically_increasing_id()
+    ranges = stored(rows.orderBy(*order).withColumns({"__range": F.shiftright(at, 33), "__at": at.bitwiseAND((1 << 33) - 1)}))
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    return ranges.join(F.broadcast(before), "__range").select(*rows.columns, (F.col("__before") + F.col("__at") + 1).alias(name))
 
 
 def district_base(districts: DataFrame, schools: DataFrame) -> DataFrame:

@@ -155,10 +155,11 @@ def school_markers(v: Views) -> DataFrame:
     return clean.school_markers(schools, founders).select("school_id", "type", "x", "founder_name", "founder_type")
 
 
-@query("SELECT finding_id, severity, is_demo FROM f_finding f JOIN f_district d ON d.district_id = f.district_id WHERE severity IN ('critical', 'high', 'medium')")
+@query("""SELECT finding_id, severity, is_demo, row_number() OVER (ORDER BY is_demo DESC, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 ELSE 3 END DESC, finding_id) AS place
+FROM f_finding f JOIN f_district d ON d.district_id = f.district_id WHERE severity IN ('critical', 'high', 'medium')""")
 def findings_panel_order(v: Views) -> DataFrame:
     public = serve.findings_public(v("f_finding"), v("f_verdict"), v("f_district"), v("f_municipality"))
-    return serve.findings_panel_order(public).select("finding_id", "severity", "is_demo")
+    return serve.findings_panel_places(public.select("finding_id", "severity", "severity_rank", "is_demo")).select("finding_id", "severity", "is_demo", "place")
 
 
 @query("SELECT d.district_id, d.name, d.municipality_id, s.type AS own_school_type, s.is_public AS own_school_public, s.x AS school_x FROM f_district d LEFT JOIN f_school s ON s.school_id = d.school_id")

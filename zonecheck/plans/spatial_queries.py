@@ -105,9 +105,10 @@ def mismatch_counts(v: Views) -> DataFrame:
     return assign.mismatch_counts(spatial.mismatch_rows(consistency(v)), "vzn_district_id")
 
 
-@query(f"WITH {CONSISTENT} SELECT address_id, unnest(vzn_districts) AS vzn_district_id, poly_district_id FROM cons WHERE result = 'MISMATCH'")
+@query(f"""WITH {CONSISTENT}, m AS (SELECT address_id, unnest(vzn_districts) AS vzn_district_id, poly_district_id FROM cons WHERE result = 'MISMATCH')
+SELECT *, row_number() OVER (ORDER BY vzn_district_id DESC NULLS LAST, address_id) AS place FROM m""")
 def ordered_mismatches(v: Views) -> DataFrame:
-    return spatial.mismatch_rows(consistency(v)).orderBy(F.col("vzn_district_id").desc_nulls_last(), "address_id")
+    return serve.numbered(spatial.mismatch_rows(consistency(v)), F.col("vzn_district_id").desc_nulls_last(), F.col("address_id"))
 
 
 # --- tessellation

@@ -107,16 +107,31 @@ def probes(documents: DataFrame, own: DataFrame, containment: float = 0.8, width
     return got.select("doc_id", "class", F.xxhash64("domain").alias("set"), F.xxhash64(F.lit(1), "domain").alias("set2"), "domain", "path", "probes")
 
 
+def with_rarest(own: DataFrame, containment: float = 0.8) -> DataFrame:
+    """``own``, a stored table of distinct rows of ``item_shingles``, with ``rarest``: of n shingles the rarest n - ceil(containment n) + 1 among the items of the class.
+
+    A domain that holds an item to ``containment`` holds one of these, so the others, such as a beginning that all items
+    of a benchmark share, need not be looked up.
+    """
+    row = ["item_id", "class", "n", "__row"]
+    each = own.select("item_id", "class", "n", F.xxhash64("shingles").alias("__row"), F.explode("shingles").alias("s"))
+    held = stored(each.groupBy("class", "s").agg(F.count("*").alias("n")).withColumn("__often", F.col("n")))
+    counted = salted_join(each.withColumnRenamed("n", "__size"), held, ["class", "s"], ["item_id", "__row"]).withColumnRenamed("__size", "n")
+    ranked = counted.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("__often", "s"))).alias("r"))
+    need = F.greatest(F.ceil(F.col("n") * containment - 1e-9).cast("int"), F.lit(1))
+    return ranked.select("item_id", "class", "n", F.array_sort("r.s").alias("shingles"), F.slice("r.s", F.lit(1), F.col("n") - need + 1).alias("rarest"))
+
+
 def item_keys(own: DataFrame) -> DataFrame:
-    """(item_id, class, path, probe): what each item answers to: its minima, and its shingles for the domains that ask by these."""
+    """(item_id, class, path, probe): what each item answers to: its minima, and its rarest shingles for the domains that ask by shingles. ``own`` is a table of ``with_rarest``."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [minima(np.asarray(x.values).view(np.uint64), FUNCTIONS).view(np.int64) for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["item_id", "shingles", "class", "minima"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.list_(pa.int64()))], names=["item_id", "rarest", "class", "minima"])
 
-    keyed = map_batches(own.select("item_id", "shingles", "class"), rows, "item_id long, shingles array<long>, class int, minima array<long>")
+    keyed = map_batches(own.select("item_id", "shingles", "rarest", "class"), rows, "item_id long, rarest array<long>, class int, minima array<long>")
     one = lambda path, column: keyed.select("item_id", "class", F.lit(path).alias("path"), F.explode(F.array_distinct(column)).alias("probe"))
-    return one("minhash", "minima").unionByName(one("shingles", "shingles"))
+    return one("minhash", "minima").unionByName(one("shingles", "rarest"))
 
 
 def contaminated(documents: DataFrame, items: DataFrame, containment: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
@@ -127,13 +142,18 @@ def contaminated(documents: DataFrame, items: DataFrame, containment: float = 0.
     judged apart and the best is returned. Columns other than doc_id (item_id) and text are not looked at. More items
     fill the filter and make domains larger, not results different.
     """
-    own = stored(item_shingles(items, width).distinct())
+    own = stored(with_rarest(stored(item_shingles(items, width).distinct()), containment))
     held = stored(probes(documents, own, containment, width, recall))
     name = ["class", "set", "set2"]
     sets = stored(held.groupBy(*name).agg(F.count("*").alias("n"), F.any_value("domain").alias("domain"), F.any_value("path").alias("path"), F.any_value("probes").alias("probes")))
     # a pair met under several keys is one pair; the domain and the shingles follow by joins on the few pairs left
     asked = sets.select(*name, "path", F.explode(F.array_distinct("probes")).alias("probe"))
-    pairs = asked.join(item_keys(own), ["class", "path", "probe"]).select(*name, "item_id").distinct()
+    # a key that many domains ask by is dealt out: its row holds the items that answer to it, of the benchmark's number at most
+    key = ["class", "path", "probe"]
+    answers = item_keys(own).groupBy(*key).agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("unnamed"))
+    answers = stored(answers.join(asked.groupBy(*key).agg(F.count("*").alias("n")), key))
+    met = F.explode(F.when(F.col("unnamed"), F.array_append("ids", F.lit(None).cast("long"))).otherwise(F.col("ids")))
+    pairs = salted_join(asked, answers, key, ["set", "set2"]).select(*name, met.alias("item_id")).distinct()
     checked = (
         pairs.join(sets.select(*name, "n", "domain"), name)
         .join(own.select(F.col("item_id").alias("own_id"), F.col("class").alias("own_class"), "shingles", F.col("n").alias("n_item")), F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("class") == F.col("own_class")))

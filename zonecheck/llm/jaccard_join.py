@@ -246,10 +246,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # larger neighbours of each set go to its smallest neighbour (or itself), and so do the smaller ones then
         both = edges.unionByName(edges.select(F.col("to").alias("s"), F.col("s").alias("to")))
-        low = both.groupBy("s").agg(F.min("to").alias("m")).withColumn("m", F.least("s", "m"))
-        large = both.join(low, "s").filter("to > s").select(F.col("to").alias("s"), F.col("m").alias("to")).filter("s <> to").distinct()
-        least = large.groupBy("s").agg(F.min("to").alias("m"))
-        small = large.join(least, "s")
+        low = both.groupBy("s").agg(F.least("s", F.min("to")).alias("m"), F.count("*").alias("n"))
+        # the smallest set of a group may have all of it beside it
+        large = salted_join(both, stored(low), ["s"], ["to"]).filter("to > s").select(F.col("to").alias("s"), F.col("m").alias("to")).filter("s <> to").distinct()
+        large = stored(large)
+        least = stored(large.groupBy("s").agg(F.min("to").alias("m"), F.count("*").alias("n")))
+        small = salted_join(large, least, ["s"], ["to"])
         next_ = small.filter("to <> m").select(F.col("to").alias("s"), F.col("m").alias("to")).unionByName(least.select("s", F.col("m").alias("to"))).distinct()
         next_ = stored(next_)
         same = next_.join(edges, ["s", "to"], "left_anti").isEmpty() and edges.join(next_, ["s", "to"], "left_anti").isEmpty()
@@ -290,11 +292,12 @@ def link(documents: DataFrame, threshold: float = 0.8, width: int = 5, recall: f
     linked = stored(map_groups(pairs, "pair", lambda b: _links(b, threshold), "s long, links long, to long", rows=256))
     degree = linked.groupBy("s").agg(F.sum("links").alias("links"))
     roots = components(linked.select("s", "to"))
-    per_set = sets.select("a", "b", "s", "docs").join(degree, "s", "left").join(roots, "s", "left").select("a", "b", "docs", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "s").alias("root"))
-    full = members.join(per_set, ["a", "b"]).select("doc_id", "t", (F.col("links") + F.col("docs") - 1).alias("n_links"), "root")
+    per_set = sets.select("a", "b", "s", "docs").join(degree, "s", "left").join(roots, "s", "left").select("a", "b", F.col("docs").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), F.coalesce("root", "s").alias("root"))
+    # copies of one text, and the documents of one group, may be a third of all rows
+    full = stored(salted_join(members, stored(per_set), ["a", "b"], ["doc_id", "t"]).select("doc_id", "t", "n_links", "root"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
-    first = full.groupBy("root").agg(F.min(order).alias("f"))
-    marked = full.join(first, "root").select("doc_id", "t", F.coalesce("f.doc_id", "doc_id").alias("class_id"), "n_links", (order == F.col("f")).alias("leads"))
+    first = stored(full.groupBy("root").agg(F.min(order).alias("f"), F.count("*").alias("n")))
+    marked = salted_join(full, first, ["root"], ["doc_id", "t"]).select("doc_id", "t", F.coalesce("f.doc_id", "doc_id").alias("class_id"), "n_links", (order == F.col("f")).alias("leads"))
     others = hashed.select("doc_id", "t").distinct().join(members.select(F.col("doc_id").alias("d"), F.col("t").alias("mt")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("mt")), "left_anti")
     return marked.unionByName(others.select("doc_id", "t", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("leads")))
 

@@ -277,6 +277,19 @@ def test_jaccard_join_against_brute_force(spark, small):
     assert {i: r["class_id"] for i, r in got.items()} == root
 
 
+def test_jaccard_join_with_hot_keys(spark, monkeypatch):
+    """Copies of one text and a group of near copies hold most rows, and their keys are dealt out."""
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    near = prose("near", 120).split()
+    texts = [prose("copy", 60)] * 40 + [" ".join([*near[:i], f"x{i}", *near[i + 1 :]]) for i in range(0, 120, 4)] + [prose(f"own {i}", 60) for i in range(20)]
+    got = rows(jaccard_join.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    sets = [shingles(t) for t in texts]
+    links = {i: sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    assert {r["doc_id"]: r["n_links"] for r in got} == links and len(got) == 90
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: 0 if i < 40 else 40 if i < 70 else i for i in range(90)}
+    assert sorted(r["doc_id"] for r in got if r["leads"]) == [0, 40, *range(70, 90)]
+
+
 def test_jaccard_join_odd_rows(docs, empty):
     got = rows(jaccard_join.link(docs))
     assert sum(r["doc_id"] == 6 for r in got) == 1 and sum(r["doc_id"] is None for r in got) == 1
@@ -460,6 +473,23 @@ def test_decontamination_by_minhash_alone(spark, monkeypatch):
     assert got == {(d, i) for d, t in texts.items() for i, s in sets.items() if len(s & shingles(t)) >= 0.8 * len(s)}
 
 
+def test_decontamination_by_rarest_shingles_of_items_with_a_common_beginning(spark, monkeypatch):
+    """Items share their beginning; the domains ask by shingles alone, and keys that are hot are dealt out."""
+    head = prose("head", 40)
+    items = {i: head + " " + prose(f"item {i}", 12 + i) for i in range(20)} | {30: head, None: head + " " + prose("unnamed", 15)}
+    texts = {i: prose(f"before {i}", 10 * i) + " " + list(items.values())[i % 22] + " " + prose(f"after {i}", 30) for i in range(44)}
+    texts |= {100 + i: head + " " + prose(f"clean {i}", 60) for i in range(40)} | {200 + i: prose(f"other {i}", 60) for i in range(10)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    own = decontaminate.with_rarest(common.stored(decontaminate.item_shingles(table)))
+    assert all(len(r["shingles"]) == r["n"] and len(r["rarest"]) == r["n"] - -(-8 * r["n"] // 10) + 1 for r in rows(own))
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    monkeypatch.setattr(decontaminate, "functions_needed", lambda *_: None)
+    got = {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.contaminated(docs, table))}
+    sets = {i: shingles(t) for i, t in items.items()}
+    assert got == {(d, i) for d, t in texts.items() for i, s in sets.items() if len(s & shingles(t)) >= 0.8 * len(s)}
+
+
 # --- 8
 
 

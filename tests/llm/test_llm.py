@@ -439,6 +439,24 @@ def test_suffix_dedup_against_brute_force(docs, empty, spark, monkeypatch, group
     assert rows(suffix_dedup.cut(empty)) == []
 
 
+def test_suffix_dedup_of_thue_morse_texts(spark):
+    """Two texts of one run each, alike in the anchor in their middle only, whose polynomials modulo 2^64 are equal for every odd base."""
+    turn = [bin(i).count("1") % 2 for i in range(256)]
+    block = ["".join(pair[v] for v in turn) for pair in ("'u", "u'")]
+    for seed in range(100):
+        r = random.Random(seed)
+        middle = "".join(r.choice("cdefghijklm") for _ in range(128))
+        texts = [block[0] + middle + block[1], block[1] + middle + block[0]]
+        runs = [suffix_dedup._passes([t.encode()], 400) for t in texts]
+        if all(len(x[0]) == 1 for x in runs):
+            break
+    assert [list(x[3]) for x in runs][0] == [list(x[3]) for x in runs][1]
+    texts += [texts[0][:450]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows(suffix_dedup.cut(docs, 400)))
+    assert got == brute_cut([t.encode() for t in texts], 400)
+
+
 # --- 7
 
 

@@ -145,3 +145,12 @@ def test_raster_and_seeds_inside_an_outline(spark):
     houses = spark.createDataFrame([(1, 7, 50.0, 50.0), (1, 7, 500.0, 50.0), (2, 7, 50.0, 50.0)], "municipality_id long, district_id long, x double, y double")
     got = sorted((r["district_id"], r["x"], r["y"]) for r in tessellate.seeds(lines, fallback, houses, bounds).collect())
     assert got == [(5, 0.0, 50.0), (5, 100.0, 50.0), (5, 200.0, 50.0), (5, 300.0, 50.0), (5, 400.0, 50.0), (6, 10.0, 300.0), (7, 50.0, 50.0)]
+
+
+def test_seeds_on_an_edge_are_held_by_parity(spark):
+    bounds = frame(spark, {1: [box(0, 0, 400, 400)]})
+    lines = spark.createDataFrame([], "municipality_id long, district_id long, street_norm string, x double, y double")
+    fallback = spark.createDataFrame([(1, 5, "a", 0.0, 10.0), (1, 5, "b", 400.0, 10.0)], lines.schema)
+    houses = spark.createDataFrame([(1, 7, 10.0, 0.0), (1, 7, 10.0, 400.0), (1, 7, 0.0, 200.0), (1, 7, 400.0, 400.0)], "municipality_id long, district_id long, x double, y double")
+    got = sorted((r["district_id"], r["x"], r["y"]) for r in tessellate.seeds(lines, fallback, houses, bounds).collect())
+    assert got == [(5, 0.0, 10.0), (7, 0.0, 200.0), (7, 10.0, 0.0)]

@@ -43,6 +43,16 @@ def test_points_in_outlines_against_parity(spark):
     assert got == {i for i, x, y in points if x is not None and inside(POLYGONS[1], x, y)}
 
 
+def test_points_on_edges_by_parity(spark):
+    polygons = {1: [box(0, 0, 150, 150), box(50, 50, 100, 100)], 2: [box(150, 0, 300, 150)], 3: [[(0.0, 0.0), (90.0, 30.0), (0.0, 60.0), (0.0, 0.0)]]}
+    points = [(i * 100 + j, i * 10.0, j * 10.0) for i in range(-1, 32) for j in range(-1, 17)] + [(9001, 45.0, 15.0), (9002, 45.0, 45.0)]
+    df = spark.createDataFrame(points, "p long, x double, y double")
+    got = sorted((r["p"], r["municipality_id"]) for r in outline.points_in_outlines(df, frame(spark, polygons), "municipality_id", 40.0, None).collect())
+    assert got == sorted((p, k) for p, x, y in points for k, rings in polygons.items() if inside(rings, x, y))
+    # of boxes side by side one has the points of their common edge
+    assert [(1507, k) in got for k in (1, 2)] == [False, True]
+
+
 def test_cover_grows_with_the_rim(spark):
     small, large = (outline.cover(frame(spark, {1: [box(0.5, 0.5, w, w)]}), 10.0, "municipality_id").groupBy("rim").count().collect() for w in (1000.0, 16000.0))
     n = lambda rows: sum(r["count"] for r in rows)

@@ -36,7 +36,7 @@ def outline_cells(v: Views) -> DataFrame:
 
 @query(f"WITH {EDGES} {held_sql('f_address', 'p.address_id, p.municipality_id')}")
 def points_in_outlines(v: Views) -> DataFrame:
-    return outline.points_in_outlines(addresses(v), outlines(v), "municipality_id", CELL, same="municipality_id").select("address_id", "municipality_id")
+    return outline.points_in_outlines(addresses(v), outlines(v), "municipality_id", CELL, None, same="municipality_id").select("address_id", "municipality_id")
 
 
 @query(f"""WITH {RASTER}, inner_seeds AS ({held_sql('f_seed', 'p.municipality_id, p.district_id, p.x, p.y, p.l_orderkey, p.l_linenumber')}),
@@ -45,7 +45,7 @@ def points_in_outlines(v: Views) -> DataFrame:
  SELECT district_id, count(*) AS cells, count(*) * {CELL * CELL}e0 AS area FROM near GROUP BY 1""")
 def tessellate_outline(v: Views) -> DataFrame:
     bounds = outlines(v)
-    seeds = outline.points_in_outlines(v("f_seed").select("municipality_id", "district_id", "x", "y"), bounds, "municipality_id", 500.0, same="municipality_id")
+    seeds = outline.points_in_outlines(v("f_seed").select("municipality_id", "district_id", "x", "y"), bounds, "municipality_id", 500.0, None, same="municipality_id")
     return tessellate.district_cells(tessellate.tessellate(tessellate.raster(bounds, CELL), seeds), CELL)
 
 

@@ -1,11 +1,14 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shapes import box, frame, inside, star
 from zonecheck.operators import parts, spatial, sweep, tessellate
+from zonecheck.sources.shared import stored
 
 CELLS = "municipality_id long, cx long, cy long, district_id long"
 
@@ -154,3 +157,31 @@ def test_seeds_on_an_edge_are_held_by_parity(spark):
     houses = spark.createDataFrame([(1, 7, 10.0, 0.0), (1, 7, 10.0, 400.0), (1, 7, 0.0, 200.0), (1, 7, 400.0, 400.0)], "municipality_id long, district_id long, x double, y double")
     got = sorted((r["district_id"], r["x"], r["y"]) for r in tessellate.seeds(lines, fallback, houses, bounds).collect())
     assert got == [(5, 0.0, 10.0), (7, 0.0, 200.0), (7, 10.0, 0.0)]
+
+
+def cells_as_a_file(spark):
+    cells = spark.range(0, 400).select(F.lit(1).cast("long").alias("municipality_id"), (F.col("id") % 7).alias("district_id"), F.lit(0).alias("part"), (F.col("id") / 20).cast("long").alias("cx"), (F.col("id") % 20).alias("cy"))
+    return stored(cells)
+
+
+def joins(df):
+    return re.findall(r"BroadcastHashJoin|BroadcastNestedLoopJoin|SortMergeJoin", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_borders_do_not_broadcast_cells(spark):
+    assert joins(tessellate.neighbour_borders(cells_as_a_file(spark))) == ["SortMergeJoin"]
+
+
+def test_joined_islands_do_not_broadcast_cells(spark):
+    cells = cells_as_a_file(spark)
+    corridors = cells.select(F.lit("a").alias("line_id"), "municipality_id", F.lit(50).cast("long").alias("district_id"), "cx", "cy").limit(3).localCheckpoint()
+    assert joins(parts.corridor_conflicts(corridors, cells)) == ["SortMergeJoin"]
+    free = stored(corridors.select("line_id").distinct())
+    assert joins(parts.joined_cells(cells, corridors, free)).count("SortMergeJoin") >= 1
+    assert joins(parts.rim_cells(cells)) == []
+
+
+def test_evidence_does_not_broadcast_cells(spark):
+    cells = cells_as_a_file(spark)
+    houses = stored(cells.select("municipality_id", "district_id", (F.col("cx") * 10.0 + 5).alias("x"), (F.col("cy") * 10.0 + 5).alias("y")))
+    assert joins(tessellate.part_evidence(cells, houses, 10.0)) == ["SortMergeJoin"]

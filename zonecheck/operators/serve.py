@@ -14,7 +14,7 @@ LEGAL, INDICATORS = ["S1", "S2", "S3"], ["Pa", "Pb", "Pc", "Pd"]
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
-    """The latest verdict, ties by the higher id, of each district and condition; combined before the shuffle, no sort."""
+    """The latest verdict, ties by the higher id, of each district and condition; combined before the shuffle, no sort. All columns travel, so select those that are wanted first."""
     rest = [c for c in verdicts.columns if c not in ("district_id", "condition_code", "computed_at", "verdict_id")]
     best = verdicts.groupBy("district_id", "condition_code").agg(F.max_by(F.struct(*verdicts.columns), F.struct("computed_at", "verdict_id")).alias("b"))
     return best.select("district_id", "condition_code", "b.verdict_id", "b.computed_at", *[f"b.{c}" for c in rest])

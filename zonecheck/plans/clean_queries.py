@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo as G, text as T
 from ..operators import clean, rules, serve, spatial
+from ..sources.shared import stored
 from .queries import LATEST, query
 from .spatial_queries import CONSISTENT, HITS, PAIRS, SHARED, addresses, consistency, districts
 from .views import Views
@@ -169,7 +170,8 @@ def district_base(v: Views) -> DataFrame:
 
 @query(f"WITH {LATEST} SELECT l.district_id, l.condition_code, l.value, m.demo_value FROM latest l LEFT JOIN (SELECT district_id, condition_code, 'demo ' || value AS demo_value FROM latest WHERE is_illustrative) m ON m.district_id = l.district_id AND m.condition_code = l.condition_code")
 def with_demo_values(v: Views) -> DataFrame:
-    latest = serve.latest_verdicts(v("f_verdict"))
+    # without the evidence, whose texts would go through the shuffle; read twice: written once
+    latest = stored(serve.latest_verdicts(v("f_verdict").select("verdict_id", "district_id", "condition_code", "computed_at", "value", "is_illustrative")))
     mock = latest.filter("is_illustrative").select("district_id", "condition_code", F.concat(F.lit("demo "), "value").alias("demo_value"))
     return serve.with_demo_values(latest.select("district_id", "condition_code", "value"), mock)
 

@@ -476,3 +476,24 @@ def test_measured_catalogue(spark):
                     return {}
 
         shared.shared_dir(Fake)
+
+
+def test_scope_filter_meets_names_by_trigrams(spark):
+    targets = [("1", "Mesto A"), ("2", "ab"), (None, "Lesná"), ("4", None), ("5", "Mesto A")]
+    points = [(1, "1", None), (2, "9", "staré MESTO a1"), (3, None, "xABx"), (4, "4", "zzz"), (5, None, "lesná"), (6, "9", "lesn"), (7, None, None), (8, "5", "mesto a"), (8, "5", "mesto a"), (9, "9", "")]
+    t, p = spark.createDataFrame(targets, "code string, name string"), spark.createDataFrame(points, "id int, municipality_code string, municipality_name string")
+    want = lambda ts: sorted(i for i, c, n in points if any((c is not None and c == code) or (n is not None and name is not None and name.lower() in n.lower()) for code, name in ts))
+    got = clean.scope_filter(p, t)
+    assert sorted(r["id"] for r in got.collect()) == want(targets) and got.columns == p.columns
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    blank = [*targets, ("6", "")]
+    assert sorted(r["id"] for r in clean.scope_filter(p, spark.createDataFrame(blank, t.schema)).collect()) == want(blank)
+
+
+def test_demo_values_leave_the_evidence_behind(spark, monkeypatch):
+    from zonecheck.plans import QUERIES
+
+    seen, latest = [], serve.latest_verdicts
+    monkeypatch.setattr(serve, "latest_verdicts", lambda df: seen.append(df.columns) or latest(df))
+    assert QUERIES["with_demo_values"](spark, "/root/testdata/sf0.001").columns == ["district_id", "condition_code", "value", "demo_value"]
+    assert seen and not {"evidence_text", "source"} & set(seen[0])

@@ -193,7 +193,7 @@ def _grams(c: str, *sizes: int) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(one(n), F.array().cast("array<string>")) for n in sizes]))
 
 
-def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(x, y) of ``inner`` (x) and ``outer`` (y), both distinct, where y contains x.
 
     All trigrams of x (x itself if shorter) must be in y, so x is sought by that one which the fewest of ``outer`` hold.
@@ -214,7 +214,7 @@ def containment_match(streets: DataFrame, names: DataFrame) -> DataFrame:
     rest = s.join(exact, "street", "left_anti")
     first = n.groupBy("n").agg(F.min("name").alias("name"))
     left, right = rest.select("s").distinct(), first.select("n")
-    pairs = _contained(left.toDF("x"), right.toDF("y")).toDF("s", "n").unionByName(_contained(right.toDF("x"), left.toDF("y")).toDF("n", "s"))
+    pairs = contained(left.toDF("x"), right.toDF("y")).toDF("s", "n").unionByName(contained(right.toDF("x"), left.toDF("y")).toDF("n", "s"))
     best = pairs.join(first, "n").groupBy("s").agg(F.min("name").alias("name"))
     part = rest.join(best, "s").select("street", "name", F.lit("contained").alias("how"))
     none = rest.join(part, "street", "left_anti").select("street", F.lit(None).cast("string").alias("name"), F.lit("none").alias("how"))

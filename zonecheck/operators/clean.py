@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo as G, text as T
+from ..sources.shared import stored
+from .assign import contained
 
 # Kinds of school by the words in a free text, the first that occurs wins; the order keeps ZS_SPECIAL out of reach.
 SCHOOL_KINDS = [("základná škola", "ZS"), ("materská škola", "MS"), ("základná umelecká", "ZUS"), ("špeciálna základná škola", "ZS_SPECIAL")]
@@ -73,9 +75,17 @@ def _meets(points: str, bbox: tuple[float, float, float, float]) -> Column:
 
 
 def scope_filter(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """Points whose municipality is a target by code or by equal or contained lower-case name. ``targets`` (code, name) is a list of municipalities of a country, a few thousand at most."""
-    name, target = F.lower(points["municipality_name"]), F.lower(targets["name"])
-    return points.join(targets, (points["municipality_code"] == targets["code"]) | (name == target) | F.contains(name, target), "left_semi")
+    """Points whose municipality is a target (code, name) by code or by equal or contained lower-case name.
+
+    Each distinct name of the points is compared with the targets' names that share their rarest trigram with it; points
+    then meet codes and names by equality.
+    """
+    name = F.lower("municipality_name")
+    wanted = targets.select(F.lower("name").alias("x")).distinct()
+    found = contained(wanted, stored(points.select(name.alias("y")).filter("y is not null").distinct())).select(F.col("y").alias("__name"), F.lit(True).alias("__named")).distinct()
+    codes = targets.select(F.col("code").alias("__code"), F.lit(True).alias("__coded")).distinct()
+    met = points.withColumns({"__code": F.col("municipality_code"), "__name": name}).join(codes, "__code", "left").join(found, "__name", "left")
+    return met.filter("__coded or __named").select(*points.columns)
 
 
 def validate_required(df: DataFrame, fields: list[str], key: str) -> DataFrame:

@@ -497,3 +497,16 @@ def test_demo_values_leave_the_evidence_behind(spark, monkeypatch):
     monkeypatch.setattr(serve, "latest_verdicts", lambda df: seen.append(df.columns) or latest(df))
     assert QUERIES["with_demo_values"](spark, "/root/testdata/sf0.001").columns == ["district_id", "condition_code", "value", "demo_value"]
     assert seen and not {"evidence_text", "source"} & set(seen[0])
+
+
+def test_house_worklist_equals_its_steps_and_shuffles_no_house_numbers(spark):
+    rows = [(1, "a", "range", [1, 350]), (1, "a", "single", [7]), (1, "a", "single", [None]), (1, "b", "all", []), (1, "a", "single", None), (1, "c", "odd", [3]), (2, "a", "even", [2, 8]), (2, "a", "range", [4, 5, 9]), (2, None, "single", [3])]
+    ranges = spark.createDataFrame(rows, "district_id int, street string, range_type string, numbers array<int>")
+    done = spark.createDataFrame([(1, "a", 4), (1, "a", None), (1, "a", 7), (2, "a", 8), (2, None, 3), (3, "a", 1)], "district_id int, street string, house_number int")
+    keys = ["district_id", "street", "house_number"]
+    steps = assign.pending(assign.sample_evenly(assign.expand_ranges(ranges), keys[:2], keys[2:], 100), done, keys)
+    got = assign.house_worklist(ranges, done, 100)
+    count = lambda df: sorted(((tuple(r)) for r in df.collect()), key=str)
+    assert count(got) == count(steps) and got.columns == keys
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "house_number" in x]

@@ -145,13 +145,11 @@ def geocode_totals(geocodes: DataFrame, cost_per_1000: float = 5.0) -> DataFrame
     return geocodes.groupBy("status").agg(F.count("*").alias("n"), F.count_if("partial_match").alias("partial")).withColumn("cost", F.col("n") * cost_per_1000 / 1000)
 
 
-def expand_ranges(ranges: DataFrame, odd: tuple[int, int] = (1, 199), even: tuple[int, int] = (2, 200)) -> DataFrame:
-    """(district_id, street, house_number) of the ranges (range_type, numbers): none for 'all', the listed ones for 'single', every second one
-    between pairs for 'odd' and 'even' (all of the default bounds with fewer than two numbers), and for 'range' each pair that is more than one apart, else the number itself."""
-    n = F.col("numbers")
+def _houses(kind: Column, n: Column, odd: tuple[int, int], even: tuple[int, int]) -> Column:
+    """The house numbers of a range of this type and these numbers."""
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(n) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(F.get(n, 2 * i).alias("lo"), F.get(n, 2 * i + 1).alias("hi")))
     stepped = F.flatten(F.transform(F.filter(pairs, lambda p: p["lo"] <= p["hi"]), lambda p: F.sequence(p["lo"], p["hi"], F.lit(2))))
-    whole = F.when(F.col("range_type") == "odd", F.sequence(F.lit(odd[0]), F.lit(odd[1]), F.lit(2))).otherwise(F.sequence(F.lit(even[0]), F.lit(even[1]), F.lit(2)))
+    whole = F.when(kind == "odd", F.sequence(F.lit(odd[0]), F.lit(odd[1]), F.lit(2))).otherwise(F.sequence(F.lit(even[0]), F.lit(even[1]), F.lit(2)))
     # a walk over the numbers: a pair more than one apart is a range, else its first number stands alone
     empty = F.struct(F.array().cast("array<int>").alias("out"), F.lit(None).cast("int").alias("held"))
     step = lambda s, x: (
@@ -160,13 +158,36 @@ def expand_ranges(ranges: DataFrame, odd: tuple[int, int] = (1, 199), even: tupl
         .otherwise(F.struct(F.concat(s["out"], F.array(s["held"])).alias("out"), x.alias("held")))
     )
     walked = F.aggregate(n, empty, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
-    houses = (
-        F.when(F.col("range_type") == "all", F.array().cast("array<int>")).when(F.col("range_type") == "single", n)
-        .when(F.col("range_type").isin("odd", "even"), F.when(F.size(n) < 2, whole).otherwise(stepped)).otherwise(walked)
+    return (
+        F.when(kind == "all", F.array().cast("array<int>")).when(kind == "single", n)
+        .when(kind.isin("odd", "even"), F.when(F.size(n) < 2, whole).otherwise(stepped)).otherwise(walked)
     )
+
+
+def expand_ranges(ranges: DataFrame, odd: tuple[int, int] = (1, 199), even: tuple[int, int] = (2, 200)) -> DataFrame:
+    """(district_id, street, house_number) of the ranges (range_type, numbers): none for 'all', the listed ones for 'single', every second one
+    between pairs for 'odd' and 'even' (all of the default bounds with fewer than two numbers), and for 'range' each pair that is more than one apart, else the number itself."""
+    houses = _houses(F.col("range_type"), F.col("numbers"), odd, even)
     return ranges.select("district_id", "street", F.explode(houses).alias("house_number")).distinct()
 
 
+def house_worklist(ranges: DataFrame, done: DataFrame, cap: int, odd: tuple[int, int] = (1, 199), even: tuple[int, int] = (2, 200)) -> DataFrame:
+    """``expand_ranges`` sampled evenly to ``cap`` house numbers a street, without those in ``done`` (district_id, street, house_number).
+
+    Only ranges and what is done are shuffled, once, by the street; its house numbers, a street's worth, come into being after that.
+    """
+    keys = ["district_id", "street"]
+    held = ranges.groupBy(*keys).agg(F.collect_set(F.struct("range_type", "numbers")).alias("rs"))
+    none = F.array().cast("array<int>")
+    numbers = F.sort_array(F.array_distinct(F.flatten(F.transform("rs", lambda r: F.coalesce(_houses(r["range_type"], r["numbers"], odd, even), none)))))
+    # a street's row at a time, so that the numbers are computed once
+    some = lambda a: F.when(F.size(a) <= cap, a).otherwise(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: F.get(a, F.floor(i * F.size(a) / cap).cast("int"))))
+    picked = F.get(F.transform(F.array(numbers), some), 0)
+    known = done.groupBy(*keys).agg(F.collect_set("house_number").alias("known"))
+    left = F.array_except("picked", F.coalesce("known", none))
+    return held.select(*keys, picked.alias("picked")).join(known, keys, "left").select(*keys, F.explode(left).alias("house_number"))
+
+
 def sample_evenly(df: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
     """At most ``cap`` rows per key: all where there are no more, else those at the places floor(i * n / cap)."""
     one = Window.partitionBy(*keys)
